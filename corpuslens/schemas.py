@@ -12,11 +12,9 @@ ANALYSIS_DOCUMENT = (
     f"classes:{CLASSES},parse_error:string>>"
 )
 
-RESULT_FIELDS = ["path", "rule_based_issues", "ai_status", "ai_analysis", "file_hash"]
-
 REVIEW_SNAPSHOT = (
     "project string, path string, rule_based_issues array<string>, ai_status string, "
     "ai_analysis string, file_hash string, model string, run_id string, run_ts timestamp"
 )
 
-RUN_STATE = "project string, run_id string, started_at double"
+RUN_STATE = "project string, started_at double, run_id string"

@@ -1,0 +1,39 @@
+"""Request admission as a stateful stream."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def stream_rate_limiter(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """Streaming form of :func:`corpuslens.operators.admission.admission_schedule`.
+
+    ``requests`` has ``key, id, t``. The state of a key is its last ``limit``
+    admit times, however long the stream runs. Rows must arrive in time order
+    from one batch to the next; within a batch they are sorted here.
+    """
+
+    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = list(state.get[0]) if state.exists else []
+        # The rows of one key in one micro-batch, which the trigger bounds.
+        rows = pd.concat(batches).sort_values(["t", "id"])
+        times = []
+        for t in rows["t"]:
+            at = max(int(t), last[0] + window_us) if len(last) == limit else int(t)
+            last = [*last, at][-limit:]
+            times.append(at)
+        state.update((last,))
+        yield rows.assign(admit=times)[["key", "id", "t", "admit"]]
+
+    key_type = requests.schema["key"].dataType.simpleString()
+    return requests.groupBy("key").applyInPandasWithState(
+        admit,
+        outputStructType=f"key {key_type}, id bigint, t bigint, admit bigint",
+        stateStructType="last array<bigint>",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout,
+    )
