@@ -17,6 +17,7 @@ from corpuslens.functions import paths as P
 from corpuslens.functions import review_text as R
 from corpuslens.functions import structure as S
 from corpuslens.functions import text as T
+from corpuslens.functions.arrays import pinned
 from corpuslens.operators import admission as A
 from corpuslens.operators import analysis as N
 from corpuslens.operators import incremental as C
@@ -244,7 +245,7 @@ def write_analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNAPSHOT_SQL = f"""snapshot as (select project, cast(floor(pos / 500) as bigint) as part, count(*) as files,
   '{{"root":"' || project || '","files":[' || string_agg(to_json({{'path': path, 'headers': headers, 'classes': classes,
     'parse_error': parse_error}})::varchar, ',' order by pos) || ']}}' as document
-  from (select *, {POSITION_SQL} as pos from analysis) group by all)"""
+  from (select *, {POSITION_SQL} as pos from analysis) group by project, cast(floor(pos / 500) as bigint))"""
 
 
 @query(Q.upto("analysis", f", {SNAPSHOT_SQL} select project, part, files, document from snapshot"))
@@ -511,8 +512,8 @@ def cooldown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.reviews("select doc_id, n, sha256(line) as line, fenced from fences"))
 def fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir).select("doc_id", F.split("ai_analysis", "\n", -1).alias("lines"))
-    rows = rows.withColumn("lines", R.fence_state(F.col("lines")))
+    rows = results(spark, sf_dir).select("doc_id", F.split("ai_analysis", "\n", -1).alias("raw"))
+    rows = pinned(rows, raw=F.col("raw"), lines=R.fence_state(F.col("raw")))
     return rows.select("doc_id", F.posexplode("lines").alias("n", "l")).select(
         "doc_id", big(F.col("n")).alias("n"), F.sha2("l.line", 256).alias("line"), F.col("l.fenced").alias("fenced")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pinned(rows: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns one after the other, each worked out once per row.
+
+    Catalyst copies a column's expression into every later filter and into
+    projections that name it once, lambdas included. For the long expressions
+    here that multiplies the work, so each is put behind the explode of a
+    one-element array, which nothing is moved across.
+    """
+    for name, value in values.items():
+        kept = [F.col(c) for c in rows.columns if c != name]
+        rows = rows.select(*kept, F.explode(F.array(value)).alias(name))
+    return rows
+
+
 def running(
     items: Column,
     zero: Column,

@@ -6,67 +6,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import structure as S
+from corpuslens.functions.arrays import pinned
 
 
 def with_stripped(files: DataFrame, text: str = "text") -> DataFrame:
-    return files.withColumn("stripped", S.strip_comments(F.col(text)))
+    return pinned(files, stripped=S.strip_comments(F.col(text)))
 
 
 def with_headers(files: DataFrame) -> DataFrame:
-    return files.withColumn("headers", S.extract_headers(F.col("stripped")))
+    return pinned(files, headers=S.extract_headers(F.col("stripped")))
 
 
 def with_braces(files: DataFrame) -> DataFrame:
     """Adds ``marks`` (braces outside literals) and ``pairs`` (matching braces)."""
-    return (
-        files.withColumn("marks", S.brace_steps(F.col("stripped")))
-        .withColumn("marks", S.brace_marks(F.col("marks")))
-        .withColumn("pairs", S.brace_pairs(F.col("marks")))
-    )
+    steps = pinned(files, _steps=S.brace_steps(F.col("stripped")))
+    return pinned(
+        steps, marks=S.brace_marks(F.col("_steps")), pairs=S.brace_pairs(F.col("marks"))
+    ).drop("_steps")
 
 
 def with_heads(files: DataFrame) -> DataFrame:
     """Adds ``heads``: every class or struct head, enums still marked."""
-    return files.withColumn("heads", S.head_steps(F.col("stripped"))).withColumn(
-        "heads", S.type_heads(F.col("heads"))
-    )
+    steps = pinned(files, _steps=S.head_steps(F.col("stripped")))
+    return pinned(steps, heads=S.type_heads(F.col("_steps"))).drop("_steps")
 
 
 def with_bodies(files: DataFrame) -> DataFrame:
     """Adds ``bodies``: types that close, with the positions of their braces."""
-    placed = with_braces(with_heads(files)).withColumn("heads", S.exclude_enum(F.col("heads")))
-    return (
-        placed.withColumn("loose", S.heads_in_literals(F.col("heads"), F.col("marks")))
-        .withColumn("loose_marks", S.restarted_steps(F.col("stripped"), F.col("loose")))
-        .withColumn("loose_marks", F.transform("loose_marks", S.brace_marks))
-        .withColumn(
-            "bodies",
-            F.array_sort(
-                F.concat(
-                    S.bodies_in_code(F.col("heads"), F.col("pairs")),
-                    S.bodies_in_literals(F.col("loose"), F.col("loose_marks")),
-                )
-            ),
-        )
-        .drop("loose", "loose_marks", "marks", "pairs", "heads")
+    placed = with_braces(pinned(with_heads(files), heads=S.exclude_enum(F.col("heads"))))
+    loose = pinned(
+        placed,
+        _loose=S.heads_in_literals(F.col("heads"), F.col("marks")),
+        _steps=S.restarted_steps(F.col("stripped"), F.col("_loose")),
+        _marks=F.transform("_steps", S.brace_marks),
+    )
+    bodies = F.concat(
+        S.bodies_in_code(F.col("heads"), F.col("pairs")),
+        S.bodies_in_literals(F.col("_loose"), F.col("_marks")),
+    )
+    return pinned(loose, bodies=F.array_sort(bodies)).drop(
+        "_loose", "_steps", "_marks", "marks", "pairs", "heads"
     )
 
 
 def with_traces(files: DataFrame) -> DataFrame:
     """Adds ``traces``: per type, one entry for every ``(){};`` of its body."""
-    return (
-        with_bodies(files)
-        .withColumn("traces", S.statement_pieces(F.col("stripped"), F.col("bodies")))
-        .withColumn("traces", S.statement_traces(F.col("bodies"), F.col("traces")))
-    )
+    return pinned(
+        with_bodies(files),
+        _pieces=S.statement_pieces(F.col("stripped"), F.col("bodies")),
+        traces=S.statement_traces(F.col("bodies"), F.col("_pieces")),
+    ).drop("_pieces")
 
 
 def with_classes(files: DataFrame) -> DataFrame:
-    return (
-        with_traces(files)
-        .withColumn("classes", S.collect_classes(F.col("bodies"), F.col("traces")))
-        .drop("bodies", "traces")
-    )
+    return pinned(
+        with_traces(files), classes=S.collect_classes(F.col("bodies"), F.col("traces"))
+    ).drop("bodies", "traces")
 
 
 def with_structure(files: DataFrame, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import review_text as R
+from corpuslens.functions.arrays import pinned
 
 
 def with_flags(results: DataFrame) -> DataFrame:
@@ -19,16 +20,17 @@ def with_flags(results: DataFrame) -> DataFrame:
 
 def with_sections(results: DataFrame) -> DataFrame:
     """Adds ``summary``, ``issues`` and ``suggestions`` of every answer."""
-    marked = (
-        results.withColumn("_lines", F.split("ai_analysis", "\n", -1))
-        .withColumn("_marks", R.fence_state(F.col("_lines")))
-        .withColumn("_marks", R.section_marks(F.col("_marks")))
+    lines, marks = F.col("_lines"), F.col("_marks")
+    marked = pinned(
+        results,
+        _lines=F.split("ai_analysis", "\n", -1),
+        _fenced=R.fence_state(lines),
+        _marks=R.section_marks(F.col("_fenced")),
+        summary=R.extract_section(lines, marks, "SUMMARY"),
+        issues=R.extract_section(lines, marks, "ISSUES"),
+        suggestions=R.extract_section(lines, marks, "SUGGESTIONS"),
     )
-    for name in ("SUMMARY", "ISSUES", "SUGGESTIONS"):
-        marked = marked.withColumn(
-            name.lower(), R.extract_section(F.col("_lines"), F.col("_marks"), name)
-        )
-    return marked.drop("_lines", "_marks")
+    return marked.drop("_lines", "_fenced", "_marks")
 
 
 def graded(results: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def graded(results: DataFrame) -> DataFrame:
         rows = rows.withColumn(
             name, F.when(F.col("is_error") | F.col("is_skipped"), "").otherwise(F.col(name))
         )
-    rows = rows.withColumn("has_issues", R.meaningful_issues(F.col("issues")))
+    rows = pinned(rows, has_issues=R.meaningful_issues(F.col("issues")))
     return rows.withColumn(
         "verdict",
         R.verdict(

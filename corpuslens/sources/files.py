@@ -1,54 +1,111 @@
-"""Source trees and text tables as rows ``path, content, mtime, length``."""
+"""Source trees and text tables as rows ``path, relative_path, content, mtime, length``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.paths import SOURCE_EXTENSIONS, in_skipped_directory, is_source_file
+from corpuslens.functions.paths import SKIPPED_DIRECTORIES, in_skipped_directory, is_source_file
+from corpuslens.operators.storage import materialised
 
-FILE_GLOB = "*.{" + ",".join(e[1:] for e in SOURCE_EXTENSIONS) + "}"
+ENTRIES = "path string, kind string, mtime timestamp, length bigint"
+FILES = "path string, relative_path string, content binary, mtime timestamp, length bigint"
 
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/*", "/")
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a root, which may be a URI or a local path."""
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
-def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
-    """Source files below ``root``, skipped directories left out.
+def _entries(infos: list[fs.FileInfo]) -> pd.DataFrame:
+    kinds = {fs.FileType.Directory: "directory", fs.FileType.File: "file"}
+    frame = pd.DataFrame(
+        [(i.path, kinds.get(i.type, "other"), i.mtime_ns, max(i.size or 0, 0)) for i in infos],
+        columns=["path", "kind", "mtime", "length"],
+    )
+    frame["mtime"] = pd.to_datetime(frame["mtime"])
+    return frame
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Entries below ``root``, level by level; skipped directories are not entered.
 
-    The name filter runs while files are listed, and the directory filter
-    before any content is read. Spark lists no names that start with a dot or
-    an underscore; keep trees that need those in a text table.
+    The built-in file reader leaves out empty files and names that start with a
+    dot or an underscore, so the folders of a level are listed by tasks here.
+    There is one small job per level of the tree.
     """
-    root = root.rstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", FILE_GLOB)
-        .load(root)
-    )
-    plain = root.split(":", 1)[-1] if root.startswith("file:") else root
-    relative = F.expr(f"substring(path, locate('{plain}/', path) + {len(plain) + 1})")
-    return (
-        files.withColumn("path", _plain(F.col("path")))
-        .withColumn("relative_path", relative)
-        .filter(is_source_file(F.col("path")) & ~in_skipped_directory(F.col("relative_path")))
-        .select(
-            "path", "relative_path", "content", F.col("modificationTime").alias("mtime"), "length"
+    _, top = _open(root)
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, _ = _open(root)
+        for batch in batches:
+            for path in batch["path"]:
+                yield _entries(files.get_file_info(fs.FileSelector(path)))
+
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    level = spark.createDataFrame([(top.rstrip("/"),)], "path string")
+    levels = []
+    while True:
+        found = materialised(level.mapInPandas(children, ENTRIES))
+        levels.append(found)
+        level = found.filter((F.col("kind") == "directory") & ~name.isin(SKIPPED_DIRECTORIES)).select(
+            "path"
         )
-    )
+        if level.isEmpty():
+            break
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+    entries = levels[0]
+    for more in levels[1:]:
+        entries = entries.unionByName(more)
+    return entries
+
+
+def _with_content(root: str, files: DataFrame) -> DataFrame:
+    _, top = _open(root)
+    skip = len(top.rstrip("/")) + 1
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _open(root)
+
+        def content(path: str) -> bytes | None:
+            try:
+                with store.open_input_stream(path) as stream:
+                    return stream.read()
+            except OSError:
+                return None
+
+        for batch in batches:
+            # One file at a time, so that a batch of large files is never held whole.
+            for i in range(len(batch)):
+                row = batch.iloc[i : i + 1]
+                path = row["path"].iloc[0]
+                yield row.assign(relative_path=path[skip:], content=[content(path)])[
+                    ["path", "relative_path", "content", "mtime", "length"]
+                ]
+
+    return files.mapInPandas(read, FILES)
+
+
+def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
+    """Source files below ``root``; a file that cannot be read has null content.
+
+    Names are filtered before any content is read.
+    """
+    found = list_tree(spark, root).filter((F.col("kind") == "file") & is_source_file(F.col("path")))
+    spread = found.repartition(spark.sparkContext.defaultParallelism)
+    return _with_content(root, spread.select("path", "mtime", "length"))
 
 
 def scan_single_file(spark: SparkSession, path: str) -> DataFrame:
     """One file as a root: no rows, and no error, when it is not a source file."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .withColumn("path", _plain(F.col("path")))
-        .filter(is_source_file(F.col("path")))
-        .select("path", "content", F.col("modificationTime").alias("mtime"), "length")
-    )
+    store, plain = _open(path)
+    found = spark.createDataFrame(_entries([store.get_file_info(plain)]), ENTRIES)
+    kept = found.filter((F.col("kind") == "file") & is_source_file(F.col("path")))
+    return _with_content(path.rsplit("/", 1)[0], kept.select("path", "mtime", "length"))
 
 
 def filter_source_rows(files: DataFrame, relative_path: Column) -> DataFrame:
