@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslens.sources.files import spread
+
 # One source text per case; @ stands for the row's own type name.
 TEMPLATES = [
     "#include <vector>\n#include \"p.hpp\"\n#include <vector>\nclass @ {\npublic:\n  void run();\nprivate:\n  int x_;\n};\n",
@@ -141,22 +143,24 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``project, path, k, text, relative_path, parse_error``."""
-    return run_sql(
+    rows = run_sql(
         spark,
         sf_dir,
         "select project, path, k, content as text, substring(path, length(project) + 2) as relative_path, "
         f"'' as parse_error from ({CODE_FILES}) f",
     )
+    return spread(rows)
 
 
 def review_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(
+    rows = run_sql(
         spark,
         sf_dir,
         "select project, path, doc_id, ai_analysis, raw_status as ai_status, "
         "filter(array(rule_text), x -> x <> '') as rule_based_issues "
         f"from ({REVIEW_RESULTS}) r",
     )
+    return spread(rows)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,8 +394,8 @@ CONTEXT_SQL = f""", {SNAPSHOT_SQL}, contexts as (
 @query(Q.upto("analysis", f"""{CONTEXT_SQL} select path, context_parts, sha256(context) as context
   from analysis join contexts using (project)"""))
 def attach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analysis(spark, sf_dir)
-    with_context = V.attach_context(rows.select(*KEYS), N.project_snapshot(rows))
+    files = source_files(spark, sf_dir)
+    with_context = V.attach_context(files.select(*KEYS), N.project_snapshot(N.analyze(files)))
     return with_context.select("path", "context_parts", F.sha2("context", 256).alias("context"))
 
 
@@ -705,7 +705,7 @@ REQUEST_SQL = f"""select f.path, sha256('Review one C or C++ file as part of its
 @query(Q.upto("analysis", f"{CONTEXT_SQL} {REQUEST_SQL}"))
 def build_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
-    shape = N.analyze(files)
+    shape = materialised(N.analyze(files))
     rows = shape.join(files.select(*KEYS, "text"), KEYS)
     request = V.build_request(V.attach_context(rows, N.project_snapshot(shape)))
     return request.select("path", F.sha2("request", 256).alias("request"))

@@ -215,12 +215,27 @@ def restarted_steps(stripped: Column, heads: Column) -> Column:
     )
 
 
-def bodies_in_literals(heads: Column, marks_per_head: Column) -> Column:
-    first = lambda marks: F.get(
-        F.filter(brace_pairs(marks), lambda pair: pair["open"] == 0), F.lit(0)
+def _first_close(steps: Column) -> Column:
+    """Closing position for a text that starts with an opening brace."""
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x["mark"] == "{", 1).when(x["mark"] == "}", -1).otherwise(0)
+        closes = s["close"].isNull() & (x["mark"] == "}") & (s["depth"] == 1)
+        return F.struct(
+            (s["at"] + x["len"]).alias("at"),
+            depth.alias("depth"),
+            F.when(closes, s["at"] + x["len"] - 1).otherwise(s["close"]).alias("close"),
+        )
+
+    zero = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("close")
     )
+    return F.aggregate(steps, zero, step, lambda s: s["close"])
+
+
+def bodies_in_literals(heads: Column, steps_per_head: Column) -> Column:
     bodies = F.zip_with(
-        heads, marks_per_head, lambda head, marks: _body(head, head["open"] + first(marks)["close"])
+        heads, steps_per_head, lambda head, steps: _body(head, head["open"] + _first_close(steps))
     )
     return F.filter(bodies, lambda body: body["close"].isNotNull())
 

@@ -6,6 +6,9 @@ no task has to hold one key's whole history.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,14 +89,30 @@ def admission_schedule(
 INTERVALS_PER_SLICE = 64
 
 
-def _chain(times: list[int], start: int | None, interval: int) -> list[int]:
-    """Times accepted one after the other, each an interval after the last."""
-    accepted, last = [], start
+def _slice_exits(times: list[int], first_end: int, interval: int) -> list[tuple[int, int]]:
+    """Per group of entries with one outcome: its last entry and the slice's last accepted time."""
+    after = np.searchsorted(times, np.asarray(times) + interval)
+    out = list(times)
+    for i in range(len(times) - 1, -1, -1):
+        if after[i] < len(times):
+            out[i] = out[after[i]]
+    rows: list[tuple[int, int]] = []
+    for t, exit_time in zip(times, out, strict=True):
+        if rows and rows[-1][1] == exit_time:
+            rows.pop()
+        rows.append((t, exit_time))
+        if t >= first_end:
+            break
+    return rows
+
+
+def _accepted(times: list[int], last: int | None, interval: int) -> list[int]:
+    picked = []
     for t in times:
         if last is None or t - last >= interval:
-            accepted.append(t)
+            picked.append(t)
             last = t
-    return accepted
+    return picked
 
 
 def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
@@ -107,62 +126,74 @@ def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
     starting point, and each slice then marks its own events.
     """
     width = interval_us * INTERVALS_PER_SLICE
-    times = log.groupBy("key", "t").count().select(
-        "key", "t", F.floor(F.col("t") / width).cast("bigint").alias("slice")
+    key_type = log.schema["key"].dataType.simpleString()
+    cut = F.floor(F.col("t") / width).cast("bigint").alias("slice")
+    slices = (
+        log.groupBy("key", "t").agg(F.min("id").alias("id"))
+        .groupBy("key", cut)
+        .agg(F.array_sort(F.collect_list("t")).alias("times"))
     )
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = sorted(pdf["t"])
-        first_end = int(pdf["slice"].iloc[0]) * width + interval_us
-        after = pd.Series(ts).searchsorted([t + interval_us for t in ts])
-        out = [0] * len(ts)
-        for i in range(len(ts) - 1, -1, -1):
-            out[i] = out[after[i]] if after[i] < len(ts) else ts[i]
-        rows = []
-        for i, t in enumerate(ts):
-            if rows and rows[-1][1] == out[i]:
-                rows[-1] = (t, out[i])
-            else:
-                rows.append((t, out[i]))
-            if t >= first_end:
-                break
-        table = pd.DataFrame(rows, columns=["upto", "exit"])
-        table.insert(0, "slice", pdf["slice"].iloc[0])
-        table.insert(0, "key", pdf["key"].iloc[0])
-        return table
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = None, []
-        ordered = pdf.sort_values(["slice", "upto"])
-        for number, table in ordered.groupby("slice", sort=True):
-            rows.append((pdf["key"].iloc[0], number, last))
-            open_from = table["upto"].iloc[0] if last is None else last + interval_us
-            reach = table[table["upto"] >= open_from]
-            if len(reach):
-                last = int(reach["exit"].iloc[0])
-        out = pd.DataFrame(rows, columns=["key", "slice", "last"])
-        out["last"] = out["last"].astype("Int64")
-        return out
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        last = pdf["last"].iloc[0]
-        picked = _chain(sorted(pdf["t"]), None if pd.isna(last) else int(last), interval_us)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "t": picked})
-
-    key_type = log.schema["key"].dataType.simpleString()
-    tables = times.groupBy("key", "slice").applyInPandas(
-        exits, f"key {key_type}, slice bigint, upto bigint, exit bigint"
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tables = [
+                _slice_exits([int(t) for t in times], number * width + interval_us, interval_us)
+                for number, times in zip(batch["slice"], batch["times"], strict=True)
+            ]
+            yield pd.DataFrame(
+                {
+                    "key": batch["key"],
+                    "slice": batch["slice"],
+                    "upto": [[row[0] for row in table] for table in tables],
+                    "exit": [[row[1] for row in table] for table in tables],
+                }
+            )
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, tables in zip(batch["key"], batch["tables"], strict=True):
+                last = None
+                for table in tables:
+                    rows.append((key, table["slice"], last))
+                    upto, leave = table["upto"], table["exit"]
+                    entry = 0 if last is None else int(np.searchsorted(upto, last + interval_us))
+                    if entry < len(upto):
+                        last = int(leave[entry])
+            out = pd.DataFrame(rows, columns=["key", "slice", "last"])
+            yield out.astype({"last": "Int64"})
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lasts = [None if pd.isna(last) else int(last) for last in batch["last"]]
+            yield pd.DataFrame(
+                {
+                    "key": batch["key"],
+                    "times": [
+                        _accepted([int(t) for t in times], last, interval_us)
+                        for times, last in zip(batch["times"], lasts, strict=True)
+                    ],
+                }
+            )
+
+    entries = slices.mapInPandas(
+        exits, f"key {key_type}, slice bigint, upto array<bigint>, exit array<bigint>"
+    )
+    # One short table per slice of a key: as many as its time span has slices.
+    starts = (
+        entries.groupBy("key")
+        .agg(F.array_sort(F.collect_list(F.struct("slice", "upto", "exit"))).alias("tables"))
+        .mapInPandas(walk, f"key {key_type}, slice bigint, last bigint")
     )
-    starts = tables.groupBy("key").applyInPandas(walk, f"key {key_type}, slice bigint, last bigint")
     picked = (
-        times.join(starts, ["key", "slice"])
-        .groupBy("key", "slice")
-        .applyInPandas(mark, f"key {key_type}, t bigint")
-        .withColumn("_picked", F.lit(True))
+        slices.join(starts, ["key", "slice"])
+        .select("key", "times", "last")
+        .mapInPandas(mark, f"key {key_type}, times array<bigint>")
+        .select("key", F.explode("times").alias("t"))
     )
     # Of several runs at one instant the first id is the accepted one.
     first = log.groupBy("key", "t").agg(F.min("id").alias("id"))
-    chosen = picked.join(first, ["key", "t"]).select("key", "id", "_picked")
+    chosen = picked.join(first, ["key", "t"]).select("key", "id", F.lit(True).alias("_picked"))
     return log.join(chosen, ["key", "id"], "left").withColumn(
         "accepted", F.coalesce("_picked", F.lit(False))
     ).drop("_picked")

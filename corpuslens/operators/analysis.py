@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.paths import path_order
 from corpuslens.operators.order import with_positions
 from corpuslens.operators.parse import with_structure
+from corpuslens.operators.storage import materialised
 from corpuslens.schemas import CLASSES
 
 
@@ -52,8 +53,13 @@ def project_snapshot(analysis: DataFrame, files_per_part: int = FILES_PER_PART)
     larger one is cut into numbered parts of that many files, each a document of
     its own, so no group grows with the project.
     """
-    slim = analysis.select("project", "path", F.to_json(file_record()).alias("record"))
-    placed = with_positions(slim, [path_order(F.col("path"))], ["project"])
+    # Written once: sorting samples its input, which must not parse all files again.
+    slim = materialised(
+        analysis.select("project", "path", F.to_json(file_record()).alias("record"))
+    )
+    keys = ["project", "path"]
+    places = with_positions(slim.select(*keys), [path_order(F.col("path"))], ["project"])
+    placed = slim.join(places, keys)
     part = F.floor(F.col("pos") / files_per_part).cast("bigint").alias("part")
     parts = placed.groupBy("project", part).agg(
         F.array_sort(F.collect_list(F.struct("pos", "record"))).alias("rows"),

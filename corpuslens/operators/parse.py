@@ -38,14 +38,13 @@ def with_bodies(files: DataFrame) -> DataFrame:
         placed,
         _loose=S.heads_in_literals(F.col("heads"), F.col("marks")),
         _steps=S.restarted_steps(F.col("stripped"), F.col("_loose")),
-        _marks=F.transform("_steps", S.brace_marks),
     )
     bodies = F.concat(
         S.bodies_in_code(F.col("heads"), F.col("pairs")),
-        S.bodies_in_literals(F.col("_loose"), F.col("_marks")),
+        S.bodies_in_literals(F.col("_loose"), F.col("_steps")),
     )
     return pinned(loose, bodies=F.array_sort(bodies)).drop(
-        "_loose", "_steps", "_marks", "marks", "pairs", "heads"
+        "_loose", "_steps", "marks", "pairs", "heads"
     )
 
 

@@ -83,8 +83,9 @@ def review_run(
     """
     options = options or ReviewOptions()
     spark = files.sparkSession
-    analysis = analyze(files)
-    manifest = (analysis if manifest is None else manifest).select(*KEYS)
+    # Several steps need the parsed files; they are parsed once.
+    analysis = materialised(analyze(files))
+    manifest = (files if manifest is None else manifest).select(*KEYS)
     facts = I.file_facts(files.select(*KEYS, "text", "mtime"))
     stored = read_review_snapshot(spark, folder).filter(F.col("run_id") != run_id)
     previous = I.dedupe_last(stored, KEYS, "run_ts")

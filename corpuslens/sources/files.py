@@ -27,7 +27,7 @@ def _entries(infos: list[fs.FileInfo]) -> pd.DataFrame:
         [(i.path, kinds.get(i.type, "other"), i.mtime_ns, max(i.size or 0, 0)) for i in infos],
         columns=["path", "kind", "mtime", "length"],
     )
-    frame["mtime"] = pd.to_datetime(frame["mtime"])
+    frame["mtime"] = pd.to_datetime(frame["mtime"]).dt.floor("us")
     return frame
 
 
@@ -108,6 +108,15 @@ def scan_single_file(spark: SparkSession, path: str) -> DataFrame:
     return _with_content(path.rsplit("/", 1)[0], kept.select("path", "mtime", "length"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Rows over all cores, where a table comes in fewer pieces than there are.
+
+    A large table has many row groups and is left as it is.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
+
+
 def filter_source_rows(files: DataFrame, relative_path: Column) -> DataFrame:
     """The same two filters for files that are kept in a table."""
     return files.filter(is_source_file(relative_path) & ~in_skipped_directory(relative_path))
