@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 MINUTE_US = 60_000_000
 
 
+def _slice_of(t: Column, width: int) -> Column:
+    """Number of the time slice, whole also for times before the epoch."""
+    return ((t - F.pmod(t, F.lit(width))) / width).cast("bigint")
+
+
 def rate_window_count(log: DataFrame, window_us: int = MINUTE_US) -> DataFrame:
     """Adds ``in_window``: requests of the same key in (t - window, t].
 
     A request counts for its own slice of one window length and the next, so
     every frame lies inside one slice.
     """
-    own = F.floor(F.col("t") / window_us).cast("bigint")
+    own = _slice_of(F.col("t"), window_us)
     twice = log.withColumn("_own", own).withColumn(
         "_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
     )
@@ -38,7 +43,7 @@ RUN_LENGTH = 4096
 
 def _ranked(log: DataFrame, slice_us: int) -> DataFrame:
     """Adds the 0-based ``rn`` by (t, id) within the key."""
-    cut = log.withColumn("_slice", F.floor(F.col("t") / slice_us).cast("bigint"))
+    cut = log.withColumn("_slice", _slice_of(F.col("t"), slice_us))
     earlier = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cut.groupBy("key", "_slice")
@@ -127,7 +132,7 @@ def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
     """
     width = interval_us * INTERVALS_PER_SLICE
     key_type = log.schema["key"].dataType.simpleString()
-    cut = F.floor(F.col("t") / width).cast("bigint").alias("slice")
+    cut = _slice_of(F.col("t"), width).alias("slice")
     slices = (
         log.groupBy("key", "t").agg(F.min("id").alias("id"))
         .groupBy("key", cut)

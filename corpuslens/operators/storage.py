@@ -1,10 +1,12 @@
-"""Cutting lineage on storage every executor can reach."""
+"""Cutting lineage on shared storage, and joins that depend on a stored size."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,8 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """The rows written once, so that every reader sees the same ones."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """The rows as a table in the shared folder, so that every reader sees the same ones.
+
+    Lost executors cost no more than the step that was running, later steps read
+    only the columns they need, and Catalyst knows the real size.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins a narrow, stored side that is often small.
+
+    It is counted first. Up to 100,000 rows it is broadcast, so that the wide
+    side stays where it is; beyond that both sides are shuffled.
+    """
+    small = few.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(few) if small else few, keys, how)

@@ -21,7 +21,7 @@ from corpuslens.operators.review import (
     offline_reviewer,
     review_or_explain,
 )
-from corpuslens.operators.storage import materialised
+from corpuslens.operators.storage import join_few, materialised
 from corpuslens.sources.files import read_text, scan_code_files
 from corpuslens.sources.sinks import (
     load_run_state,
@@ -59,9 +59,11 @@ def pending_requests(
 ) -> DataFrame:
     """Texts and structure join the pending entries only."""
     todo = decided.filter(F.col("action") == "pending").select(*KEYS, "rule_based_issues", "file_hash")
-    texts = files.select(*KEYS, "text")
-    shape = analysis.select(*KEYS, "headers", "classes", "parse_error")
-    rows = todo.join(texts, KEYS).join(shape, KEYS)
+    texts = join_few(files.select(*KEYS, "text"), todo, KEYS)
+    shape = join_few(
+        analysis.select(*KEYS, "headers", "classes", "parse_error"), todo.select(*KEYS), KEYS, "left_semi"
+    )
+    rows = texts.join(shape, KEYS)
     return build_request(attach_context(rows, snapshot))
 
 
@@ -93,7 +95,8 @@ def review_run(
     left = L.cooldown_remaining(
         F.lit(now), F.col("last_started_at"), F.lit(float(options.min_run_interval))
     )
-    gated = manifest.join(starts.withColumn("_left", left).select("project", "_left"), "project", "left")
+    waits = starts.withColumn("_left", left).select("project", "_left")
+    gated = join_few(manifest, waits, ["project"], "left")
     decided = I.decide_action(
         gated, facts, previous, KEYS, F.coalesce("_left", F.lit(0.0)), F.lit(None).cast("timestamp")
     )
