@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,11 +87,12 @@ def write_tree(files: DataFrame, root: str) -> None:
     """Writes the files as a source tree, each task its own rows."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = FS.open_store(root)
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"], strict=True):
-                target = os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as out:
+                target = f"{top}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(target) as out:
                     out.write(text.encode())
             yield batch[["path"]]
 
@@ -103,7 +103,7 @@ def write_tree(files: DataFrame, root: str) -> None:
 
 @query(f"with {Q.FILES} select path, cast(strlen(content) as bigint) as length, sha256(content) as digest from files where {SOURCE_FILTER}")
 def scan_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch(spark, "tree").removeprefix("file:")
+    root = scratch(spark, "tree")
     write_tree(source_files(spark, sf_dir), root)
     found = FS.scan_code_files(spark, root)
     return found.select(
@@ -115,7 +115,7 @@ def scan_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
   where path in (select min(path) from files where {SOURCE_FILTER})""")
 def scan_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first source file and the first other one, each as a root of its own."""
-    root = scratch(spark, "tree").removeprefix("file:")
+    root = scratch(spark, "tree")
     files = materialised(source_files(spark, sf_dir).select("path", "text", "relative_path"))
     write_tree(files, root)
     good = FS.filter_source_rows(files, F.col("relative_path")).agg(F.min("path")).first()[0]
@@ -123,8 +123,9 @@ def scan_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = FS.scan_single_file(spark, f"{root}/{good}").unionByName(
         FS.scan_single_file(spark, f"{root}/{other}")
     )
+    top = FS.open_store(root)[1]
     return found.select(
-        F.expr(f"substring(path, {len(root) + 2})").alias("path"), F.sha2("content", 256).alias("digest")
+        F.expr(f"substring(path, {len(top) + 2})").alias("path"), F.sha2("content", 256).alias("digest")
     )
 
 
@@ -395,7 +396,8 @@ CONTEXT_SQL = f""", {SNAPSHOT_SQL}, contexts as (
   from analysis join contexts using (project)"""))
 def attach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
-    with_context = V.attach_context(files.select(*KEYS), N.project_snapshot(N.analyze(files)))
+    snapshot = materialised(N.project_snapshot(N.analyze(files)))
+    with_context = V.attach_context(files.select(*KEYS), snapshot)
     return with_context.select("path", "context_parts", F.sha2("context", 256).alias("context"))
 
 
@@ -707,7 +709,7 @@ def build_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
     shape = materialised(N.analyze(files))
     rows = shape.join(files.select(*KEYS, "text"), KEYS)
-    request = V.build_request(V.attach_context(rows, N.project_snapshot(shape)))
+    request = V.build_request(V.attach_context(rows, materialised(N.project_snapshot(shape))))
     return request.select("path", F.sha2("request", 256).alias("request"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import structure as S
@@ -17,9 +17,9 @@ def with_headers(files: DataFrame) -> DataFrame:
     return pinned(files, headers=S.extract_headers(F.col("stripped")))
 
 
-def with_braces(files: DataFrame) -> DataFrame:
+def with_braces(files: DataFrame, text: Column | None = None) -> DataFrame:
     """Adds ``marks`` (braces outside literals) and ``pairs`` (matching braces)."""
-    steps = pinned(files, _steps=S.brace_steps(F.col("stripped")))
+    steps = pinned(files, _steps=S.brace_steps(F.col("stripped") if text is None else text))
     return pinned(
         steps, marks=S.brace_marks(F.col("_steps")), pairs=S.brace_pairs(F.col("marks"))
     ).drop("_steps")
@@ -33,7 +33,9 @@ def with_heads(files: DataFrame) -> DataFrame:
 
 def with_bodies(files: DataFrame) -> DataFrame:
     """Adds ``bodies``: types that close, with the positions of their braces."""
-    placed = with_braces(pinned(with_heads(files), heads=S.exclude_enum(F.col("heads"))))
+    headed = pinned(with_heads(files), heads=S.exclude_enum(F.col("heads")))
+    # Braces matter only where a type begins.
+    placed = with_braces(headed, F.when(F.size("heads") > 0, F.col("stripped")).otherwise(""))
     loose = pinned(
         placed,
         _loose=S.heads_in_literals(F.col("heads"), F.col("marks")),

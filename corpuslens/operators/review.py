@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import limits as L
 from corpuslens.operators.incremental import UNAVAILABLE, unavailable_results
+from corpuslens.operators.storage import join_few, materialised
 
 Reviewer = Callable[[Mapping[str, Any]], str]
 ReviewerFactory = Callable[[], Reviewer]
@@ -27,6 +28,8 @@ ReviewerFactory = Callable[[], Reviewer]
 # Largest project document that is copied into each of its requests.
 INLINE_CONTEXT_CHARS = 200_000
 
+SHARDS = 1024
+
 # Fixed value: stands in when the parser had nothing to report.
 PARSER_OK = "Parser completed without file-level errors."
 
@@ -34,20 +37,25 @@ PARSER_OK = "Parser completed without file-level errors."
 def attach_context(
     pending: DataFrame, snapshot: DataFrame, inline_chars: int = INLINE_CONTEXT_CHARS
 ) -> DataFrame:
-    """Adds ``context`` and ``context_parts`` from the project's snapshot.
+    """Adds ``context`` and ``context_parts`` from a stored snapshot of the projects.
 
     A project held in one part of at most ``inline_chars`` is copied in as a
     whole; such a project has few files, so no copy multiplies without bound. A
     larger one gets a reference: its parts stay in the snapshot table, where a
-    reviewer reads them by project and part number.
+    reviewer reads them by project and part number. Files of large projects take
+    part in the join under many shards, so that none fills one task.
     """
-    whole = snapshot.groupBy("project").agg(
-        F.count("*").alias("context_parts"),
-        F.sum(F.length("document")).alias("_chars"),
-        # Null for a project of several parts, whose documents are not gathered.
-        F.max(
-            F.when((F.col("part") == 0) & (F.length("document") <= inline_chars), F.col("document"))
-        ).alias("_document"),
+    sizes = materialised(
+        snapshot.groupBy("project").agg(
+            F.count("*").alias("context_parts"), F.sum(F.length("document")).alias("_chars")
+        )
+    )
+    fits = (F.col("context_parts") == 1) & (F.col("_chars") <= inline_chars)
+    rows = join_few(pending, sizes, ["project"], "left").withColumn(
+        "_shard", F.when(fits, F.lit(-1)).otherwise(F.pmod(F.hash("path"), F.lit(SHARDS)))
+    )
+    whole = snapshot.filter((F.col("part") == 0) & (F.length("document") <= inline_chars)).select(
+        "project", F.lit(-1).alias("_shard"), F.col("document").alias("_document")
     )
     reference = F.concat(
         F.lit('{"root":'),
@@ -56,11 +64,10 @@ def attach_context(
         F.col("context_parts").cast("string"),
         F.lit("}"),
     )
-    fits = (F.col("context_parts") == 1) & F.col("_document").isNotNull()
     return (
-        pending.join(whole, "project", "left")
-        .withColumn("context", F.when(fits, F.col("_document")).otherwise(reference))
-        .drop("_chars", "_document")
+        rows.join(whole, ["project", "_shard"], "left")
+        .withColumn("context", F.coalesce("_document", reference))
+        .drop("_chars", "_document", "_shard")
     )
 
 

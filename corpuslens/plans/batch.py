@@ -102,7 +102,7 @@ def review_run(
     )
     # Later steps read the decisions several times; the reviewer must see them once.
     decided = materialised(decided.drop("_left"))
-    requests = pending_requests(decided, files, analysis, project_snapshot(analysis))
+    requests = pending_requests(decided, files, analysis, materialised(project_snapshot(analysis)))
     reviewed, started = review_or_explain(
         requests,
         options.factory,

@@ -16,8 +16,13 @@ ENTRIES = "path string, kind string, mtime timestamp, length bigint"
 FILES = "path string, relative_path string, content binary, mtime timestamp, length bigint"
 
 
-def _open(root: str) -> tuple[fs.FileSystem, str]:
+BYTES_PER_TASK = 256 * 1024 * 1024
+
+
+def open_store(root: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a root, which may be a URI or a local path."""
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root[5:].lstrip("/")
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
@@ -38,10 +43,10 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     dot or an underscore, so the folders of a level are listed by tasks here.
     There is one small job per level of the tree.
     """
-    _, top = _open(root)
+    _, top = open_store(root)
 
     def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, _ = _open(root)
+        files, _ = open_store(root)
         for batch in batches:
             for path in batch["path"]:
                 yield _entries(files.get_file_info(fs.FileSelector(path)))
@@ -65,11 +70,11 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _with_content(root: str, files: DataFrame) -> DataFrame:
-    _, top = _open(root)
+    _, top = open_store(root)
     skip = len(top.rstrip("/")) + 1
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = _open(root)
+        store, _ = open_store(root)
 
         def content(path: str) -> bytes | None:
             try:
@@ -96,13 +101,14 @@ def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
     Names are filtered before any content is read.
     """
     found = list_tree(spark, root).filter((F.col("kind") == "file") & is_source_file(F.col("path")))
-    spread = found.repartition(spark.sparkContext.defaultParallelism)
-    return _with_content(root, spread.select("path", "mtime", "length"))
+    total = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
+    return _with_content(root, found.select("path", "mtime", "length").repartition(tasks))
 
 
 def scan_single_file(spark: SparkSession, path: str) -> DataFrame:
     """One file as a root: no rows, and no error, when it is not a source file."""
-    store, plain = _open(path)
+    store, plain = open_store(path)
     found = spark.createDataFrame(_entries([store.get_file_info(plain)]), ENTRIES)
     kept = found.filter((F.col("kind") == "file") & is_source_file(F.col("path")))
     return _with_content(path.rsplit("/", 1)[0], kept.select("path", "mtime", "length"))
