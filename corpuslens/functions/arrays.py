@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +18,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def pinned(rows: DataFrame, **values: Column) -> DataFrame:
+_built: dict[Callable[[], Column], tuple[SparkContext, Column]] = {}
+
+
+def _once(rows: DataFrame, build: Callable[[], Column]) -> Column:
+    """Builds a long expression once per Spark context instead of once per use.
+
+    Each part of an expression is a call into the JVM, which would add seconds
+    to every micro-batch of a stream.
+    """
+    context = rows.sparkSession.sparkContext
+    made_for, column = _built.get(build, (None, None))
+    if made_for is not context:
+        column = build()
+        _built[build] = (context, column)
+    return column
+
+
+def pinned(rows: DataFrame, **values: Column | Callable[[], Column]) -> DataFrame:
     """Adds columns one after the other, each worked out once per row.
 
     Catalyst copies a column's expression into every later filter and into
     projections that name it once, lambdas included. For the long expressions
     here that multiplies the work, so each is put behind the explode of a
-    one-element array, which nothing is moved across.
+    one-element array, which nothing is moved across. A module-level function in
+    place of a column is called once per Spark context.
     """
     for name, value in values.items():
+        column = value if isinstance(value, Column) else _once(rows, value)
         kept = [F.col(c) for c in rows.columns if c != name]
-        rows = rows.select(*kept, F.explode(F.array(value)).alias(name))
+        rows = rows.select(*kept, F.explode(F.array(column)).alias(name))
     return rows
 
 

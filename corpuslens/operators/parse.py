@@ -9,60 +9,103 @@ from corpuslens.functions import structure as S
 from corpuslens.functions.arrays import pinned
 
 
+def _headers() -> Column:
+    return S.extract_headers(F.col("stripped"))
+
+
+def _all_brace_steps() -> Column:
+    return S.brace_steps(F.col("stripped"))
+
+
+def _brace_steps_of_types() -> Column:
+    # Braces matter only where a type begins.
+    return S.brace_steps(F.when(F.size("heads") > 0, F.col("stripped")).otherwise(""))
+
+
+def _marks() -> Column:
+    return S.brace_marks(F.col("_steps"))
+
+
+def _pairs() -> Column:
+    return S.brace_pairs(F.col("marks"))
+
+
+def _head_steps() -> Column:
+    return S.head_steps(F.col("stripped"))
+
+
+def _heads() -> Column:
+    return S.type_heads(F.col("_steps"))
+
+
+def _heads_but_enums() -> Column:
+    return S.exclude_enum(F.col("heads"))
+
+
+def _heads_in_literals() -> Column:
+    return S.heads_in_literals(F.col("heads"), F.col("marks"))
+
+
+def _restarted_steps() -> Column:
+    return S.restarted_steps(F.col("stripped"), F.col("_loose"))
+
+
+def _bodies() -> Column:
+    in_code = S.bodies_in_code(F.col("heads"), F.col("pairs"))
+    in_literals = S.bodies_in_literals(F.col("_loose"), F.col("_steps"))
+    return F.array_sort(F.concat(in_code, in_literals))
+
+
+def _pieces() -> Column:
+    return S.statement_pieces(F.col("stripped"), F.col("bodies"))
+
+
+def _traces() -> Column:
+    return S.statement_traces(F.col("bodies"), F.col("_pieces"))
+
+
+def _classes() -> Column:
+    return S.collect_classes(F.col("bodies"), F.col("traces"))
+
+
 def with_stripped(files: DataFrame, text: str = "text") -> DataFrame:
     return pinned(files, stripped=S.strip_comments(F.col(text)))
 
 
 def with_headers(files: DataFrame) -> DataFrame:
-    return pinned(files, headers=S.extract_headers(F.col("stripped")))
+    return pinned(files, headers=_headers)
 
 
-def with_braces(files: DataFrame, text: Column | None = None) -> DataFrame:
+def with_braces(files: DataFrame) -> DataFrame:
     """Adds ``marks`` (braces outside literals) and ``pairs`` (matching braces)."""
-    steps = pinned(files, _steps=S.brace_steps(F.col("stripped") if text is None else text))
-    return pinned(
-        steps, marks=S.brace_marks(F.col("_steps")), pairs=S.brace_pairs(F.col("marks"))
-    ).drop("_steps")
+    return pinned(files, _steps=_all_brace_steps, marks=_marks, pairs=_pairs).drop("_steps")
 
 
 def with_heads(files: DataFrame) -> DataFrame:
     """Adds ``heads``: every class or struct head, enums still marked."""
-    steps = pinned(files, _steps=S.head_steps(F.col("stripped")))
-    return pinned(steps, heads=S.type_heads(F.col("_steps"))).drop("_steps")
+    return pinned(files, _steps=_head_steps, heads=_heads).drop("_steps")
 
 
 def with_bodies(files: DataFrame) -> DataFrame:
     """Adds ``bodies``: types that close, with the positions of their braces."""
-    headed = pinned(with_heads(files), heads=S.exclude_enum(F.col("heads")))
-    # Braces matter only where a type begins.
-    placed = with_braces(headed, F.when(F.size("heads") > 0, F.col("stripped")).otherwise(""))
-    loose = pinned(
-        placed,
-        _loose=S.heads_in_literals(F.col("heads"), F.col("marks")),
-        _steps=S.restarted_steps(F.col("stripped"), F.col("_loose")),
-    )
-    bodies = F.concat(
-        S.bodies_in_code(F.col("heads"), F.col("pairs")),
-        S.bodies_in_literals(F.col("_loose"), F.col("_steps")),
-    )
-    return pinned(loose, bodies=F.array_sort(bodies)).drop(
-        "_loose", "_steps", "marks", "pairs", "heads"
+    placed = pinned(
+        with_heads(files),
+        heads=_heads_but_enums,
+        _steps=_brace_steps_of_types,
+        marks=_marks,
+        pairs=_pairs,
     )
+    bodies = pinned(placed, _loose=_heads_in_literals, _steps=_restarted_steps, bodies=_bodies)
+    return bodies.drop("_loose", "_steps", "marks", "pairs", "heads")
 
 
 def with_traces(files: DataFrame) -> DataFrame:
     """Adds ``traces``: per type, one entry for every ``(){};`` of its body."""
-    return pinned(
-        with_bodies(files),
-        _pieces=S.statement_pieces(F.col("stripped"), F.col("bodies")),
-        traces=S.statement_traces(F.col("bodies"), F.col("_pieces")),
-    ).drop("_pieces")
+    return pinned(with_bodies(files), _pieces=_pieces, traces=_traces).drop("_pieces")
 
 
 def with_classes(files: DataFrame) -> DataFrame:
-    return pinned(
-        with_traces(files), classes=S.collect_classes(F.col("bodies"), F.col("traces"))
-    ).drop("bodies", "traces")
+    return pinned(with_traces(files), classes=_classes).drop("bodies", "traces")
 
 
 def with_structure(files: DataFrame, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import review_text as R
@@ -18,19 +18,45 @@ def with_flags(results: DataFrame) -> DataFrame:
     )
 
 
+def _lines() -> Column:
+    return F.split("ai_analysis", "\n", -1)
+
+
+def _fenced() -> Column:
+    return R.fence_state(F.col("_lines"))
+
+
+def _section_marks() -> Column:
+    return R.section_marks(F.col("_fenced"))
+
+
+def _summary() -> Column:
+    return R.extract_section(F.col("_lines"), F.col("_marks"), "SUMMARY")
+
+
+def _issues() -> Column:
+    return R.extract_section(F.col("_lines"), F.col("_marks"), "ISSUES")
+
+
+def _suggestions() -> Column:
+    return R.extract_section(F.col("_lines"), F.col("_marks"), "SUGGESTIONS")
+
+
+def _has_issues() -> Column:
+    return R.meaningful_issues(F.col("issues"))
+
+
 def with_sections(results: DataFrame) -> DataFrame:
     """Adds ``summary``, ``issues`` and ``suggestions`` of every answer."""
-    lines, marks = F.col("_lines"), F.col("_marks")
-    marked = pinned(
+    return pinned(
         results,
-        _lines=F.split("ai_analysis", "\n", -1),
-        _fenced=R.fence_state(lines),
-        _marks=R.section_marks(F.col("_fenced")),
-        summary=R.extract_section(lines, marks, "SUMMARY"),
-        issues=R.extract_section(lines, marks, "ISSUES"),
-        suggestions=R.extract_section(lines, marks, "SUGGESTIONS"),
-    )
-    return marked.drop("_lines", "_fenced", "_marks")
+        _lines=_lines,
+        _fenced=_fenced,
+        _marks=_section_marks,
+        summary=_summary,
+        issues=_issues,
+        suggestions=_suggestions,
+    ).drop("_lines", "_fenced", "_marks")
 
 
 def graded(results: DataFrame) -> DataFrame:
@@ -40,7 +66,7 @@ def graded(results: DataFrame) -> DataFrame:
         rows = rows.withColumn(
             name, F.when(F.col("is_error") | F.col("is_skipped"), "").otherwise(F.col(name))
         )
-    rows = pinned(rows, has_issues=R.meaningful_issues(F.col("issues")))
+    rows = pinned(rows, has_issues=_has_issues)
     return rows.withColumn(
         "verdict",
         R.verdict(
