@@ -265,6 +265,12 @@ def write_review_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(Q.decided("""select project, to_json({'path': path, 'rule_based_issues': issues, 'ai_status': ai_status,
+  'ai_analysis': ai_analysis, 'file_hash': file_hash})::varchar as result from results where action <> 'pending'"""))
+def report_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.report_view(C.settled_results(decided(spark, sf_dir), ["project"]))
+
+
 # --- filters and predicates --------------------------------------------------
 
 

@@ -202,8 +202,3 @@ def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
     return log.join(chosen, ["key", "id"], "left").withColumn(
         "accepted", F.coalesce("_picked", F.lit(False))
     ).drop("_picked")
-
-
-def send_offset(place: Column, limit: int, window_seconds: int = 60) -> Column:
-    """Seconds after the start at which the request in that place may go out."""
-    return F.floor(place / limit).cast("bigint") * window_seconds

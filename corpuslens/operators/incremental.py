@@ -158,13 +158,6 @@ def merge_results(*branches: DataFrame) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right), branches)
 
 
-def one_per_path(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries listed twice have equal results; keeps one of each."""
-    rest = [c for c in results.columns if c not in keys]
-    first = F.first(F.struct(*rest)).alias("_any")
-    return results.groupBy(*keys).agg(first).select(*keys, "_any.*").select(*results.columns)
-
-
 def order_results(manifest: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Results of the manifest entries, with their place; one row per entry."""
     return manifest.select(*keys, "pos").join(results, keys)

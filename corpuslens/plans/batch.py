@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import limits as L
-from corpuslens.functions.paths import path_order
 from corpuslens.operators import incremental as I
 from corpuslens.operators.analysis import analyze, project_snapshot
-from corpuslens.operators.order import with_positions
 from corpuslens.operators.report import graded, verdict_totals
 from corpuslens.operators.review import (
     RetryPolicy,
@@ -39,11 +37,6 @@ def scan_project(spark: SparkSession, root: str, project: str | None = None) ->
     return files.select("project", "path", "text", "parse_error", "mtime")
 
 
-def manifest_of(analysis: DataFrame) -> DataFrame:
-    """Project, path and place in path order."""
-    return with_positions(analysis.select(*KEYS), [path_order(F.col("path"))], ["project"])
-
-
 @dataclass
 class ReviewOptions:
     model: str = "offline-rules"
