@@ -26,6 +26,7 @@ SHARE = 0.75  # of the rows that a concentration step keeps
 STEPS = 3
 CUTOFF = 0.99999  # chi-square share beyond which a row is rejected
 LEAST_ROWS = 60  # a smaller group of language and source is judged with its language
+CELL = 32  # of the 1/1024ths, for the first medians
 FINE = 16  # histogram cells in a doubling of the squared distance
 GROUPS_SENT = 20_000  # of this many estimates, about 600 bytes each, a copy goes to every task
 # Spread below which a statistic is not trusted to be narrower, in doublings.
@@ -164,8 +165,9 @@ def _joined(rows: DataFrame, groups: DataFrame, count: int) -> DataFrame:
 
 
 def _first(rows: DataFrame) -> DataFrame:
-    """Medians and quartiles of every statistic, from counts of its whole values."""
-    values = rows.select("grp", F.posexplode("v").alias("d", "x")).groupBy("grp", "d", "x").agg(F.count("*").alias("k"))
+    """Medians and quartiles of every statistic, to 1/32 of a doubling, from counts of its values."""
+    spread = rows.select("grp", F.posexplode("v").alias("d", "y")).withColumn("x", F.floor(F.col("y") / CELL) * CELL)
+    values = spread.groupBy("grp", "d", "x").agg(F.count("*").alias("k"))
     upto = Window.partitionBy("grp", "d").orderBy("x")
     ranked = values.withColumn("c", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(Window.partitionBy("grp", "d")))
     at = lambda q: F.min(F.when(F.col("c") >= F.col("n") * q, F.col("x")))
@@ -199,7 +201,7 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     """``grp``, ``centre``, ``inverse``, ``scale`` of rows ``grp``, ``v``, and their number."""
     groups = materialised(_first(rows))
     count = groups.count()
-    names = [c.split(".")[-1] for c in ["n", *[f"s{i}" for i in range(len(DIMS))]]]
+    names = ["n", *[f"s{i}" for i in range(len(DIMS))]]
     names += [f"s{i}_{j}" for i in range(len(DIMS)) for j in range(len(DIMS)) if i <= j]
     for _ in range(STEPS):
         kept, _edge = _nearest(rows, groups, count)
@@ -287,6 +289,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     own = docs.columns
     counted = materialised(with_counts(docs.select("text", "lang", "source")).select("lang", "source", "base_failed", "v"))
     found = assess(counted)
-    _, hidden = unused(docs, "_x", "_row")
+    (hidden,) = unused(docs, "_row")
     packed = docs.select(F.struct(*own).alias(hidden), "text", "lang", "source")
     return judge(with_counts(packed), found).where("kept").select(*[F.col(hidden)[c].alias(c) for c in own])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import line_dedup, quality
+from corpuslens.llm import chat, decontaminate, line_dedup, packing, quality, secrets, simhash, token_counts, url_filter, warc
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,99 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts every document, then again after an edit in its middle that names its language and source."""
+    docs = table(spark, sf_dir, "documents")
+    middle = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)
+    put = F.concat(F.lit(" "), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.lit(" "))
+    edited = docs.withColumn("edits", token_counts.one_edit(middle, F.lit(7), put))
+    before = token_counts.count_tokens(edited, ["edits"])
+    after = token_counts.apply_edits(before.withColumn("doc_id", F.struct("doc_id", "n_tokens")))
+    return after.select(
+        "doc_id.doc_id", "doc_id.n_tokens", F.col("n_tokens").alias("n_tokens_edited"), "n_encoded",
+        F.size("piece_chars").cast("bigint").alias("n_pretokens"),
+    )
+
+
 @query()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, folder = warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_records(archives, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query()
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+HARD = r"\### Assistant: </turn> ok"
+
+
+@query(
+    rf"""
+    with told as (
+        select conv_id, turn, role, coalesce(text, '') as text from conversations
+        union all values (-7, 0, 'user', '{HARD}'), (-7, 1, 'assistant', '{HARD}')),
+    marked as (
+        select *, length('### ' || regexp_replace(role, '([\\#<:])', '\\\1', 'g') || ': '
+            || regexp_replace(text, '([\\#<:])', '\\\1', 'g') || '</turn>' || chr(10)) as chars from told)
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+        cast(sum(chars) as bigint) as formatted_chars
+    from marked group by conv_id
+    """
+)
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], rows.schema)
+    done = chat.read_back(chat.formatted(chat.reply_chain(rows.unionByName(more))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    big = lambda c: c.cast("bigint")
+    return done.select(
+        F.col("conv").alias("conv_id"),
+        big(F.size("turns")).alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        big(F.length("learned")).alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        big(F.length("formatted")).alias("formatted_chars"),
+    )
+
+
+# The rules that the query is given, as host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query()
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the documents with a page's number are its outcome: bad if of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
+    outcomes = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad), "page_id").select("url", "bad")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(pages, rules, outcomes).drop("low")
