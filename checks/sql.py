@@ -34,6 +34,7 @@ headers as (
   select project, path, list(header order by n) as headers
   from (select project, path, header, min(n) as n from includes group by all) group by all)"""
 
+# The head of a type.
 HEAD = (
     r"(?:template\s*<[^;{]*>\s*)*(?:\[\[[^\]]+\]\]\s*)*\b(class|struct)\s+([A-Za-z_]\w*)[^;{]*\{"
 )
@@ -99,6 +100,7 @@ STATEMENTS = f"""statements as (
     trim(string_agg(rest, '' order by i), {WS}) as statement
   from levels group by project, path, open, seg having bool_or(flush))"""
 
+# What a statement that is no method begins with; below, tails of methods and control words.
 NOT_METHOD = (
     "^(using |typedef |friend |enum |class |struct |static_assert|if[ (]|for[ (]|while[ (]|switch[ (]"
     "|return |catch |else|#)"

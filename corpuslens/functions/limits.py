@@ -43,15 +43,18 @@ def cooldown_remaining(now: Column, last_start: Column, min_interval: Column) ->
     return F.when(min_interval <= 0, F.lit(0.0)).otherwise(F.coalesce(left, F.lit(0.0)))
 
 
+# The text for a file left out, before and behind the seconds.
+COOLDOWN_TEXT = (
+    "[SKIPPED]\nAI analysis was skipped because the cooldown window is still active.\n\n"
+    "Next AI run is available in about "
+)
+COOLDOWN_END = " seconds."
+
+
 def cooldown_message(remaining: Column) -> Column:
     """Text for a file left out; seconds round half to even, 1 at least."""
     seconds = F.greatest(F.lit(1), F.bround(remaining).cast("bigint"))
-    return F.concat(
-        F.lit("[SKIPPED]\nAI analysis was skipped because the cooldown window is still active.\n\n"),
-        F.lit("Next AI run is available in about "),
-        seconds.cast("string"),
-        F.lit(" seconds."),
-    )
+    return F.concat(F.lit(COOLDOWN_TEXT), seconds.cast("string"), F.lit(COOLDOWN_END))
 
 
 def is_retryable_error(message: Column) -> Column:

@@ -24,10 +24,14 @@ def _no_issues() -> Column:
     return F.array().cast("array<string>")
 
 
-def dedupe_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row per key, as an aggregate: it combines before the shuffle."""
+def dedupe_last(rows: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
+    """The last row per key, as an aggregate: it combines before the shuffle.
+
+    ``order`` may name several columns; later ones settle ties.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.col(order)).alias("_last")
+    by = F.col(order) if isinstance(order, str) else F.struct(*order)
+    last = F.max_by(F.struct(*rest), by).alias("_last")
     return rows.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*rows.columns)
 
 

@@ -83,7 +83,7 @@ def review_run(
     manifest = (files if manifest is None else manifest).select(*KEYS)
     facts = I.file_facts(files.select(*KEYS, "text", "mtime"))
     stored = read_review_snapshot(spark, folder).filter(F.col("run_id") != run_id)
-    previous = I.dedupe_last(stored, KEYS, "run_ts")
+    previous = I.dedupe_last(stored, KEYS, ["run_ts", "run_id"])
     starts = load_run_state(spark, f"{folder}/state", besides=run_id)
     left = L.cooldown_remaining(
         F.lit(now), F.col("last_started_at"), F.lit(float(options.min_run_interval))

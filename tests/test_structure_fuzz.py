@@ -28,21 +28,18 @@ def texts(count, seed):
 def test_parsing_equals_plain_python(spark):
     rows = texts(20000, 7)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string")
-    parsed = parse.with_traces(parse.with_headers(parse.with_stripped(df.repartition(8))))
-    got = parsed.withColumn("classes", S.collect_classes(F.col("bodies"), F.col("traces"))).collect()
+    got = parse.with_traces(parse.with_headers(parse.with_stripped(df.repartition(8)))).collect()
     wrong = []
     for row in got:
         stripped = brute.strip_comments(rows[row.i])
         want = (
             stripped,
             brute.headers(stripped),
-            brute.classes(stripped),
             [(k, n, o, c) for k, n, o, c in brute.types(stripped)],
         )
         have = (
             row.stripped,
             row.headers,
-            [(c.name, c.public_methods) for c in row.classes],
             [(b.keyword, b.name, b.open, b.close) for b in row.bodies],
         )
         if want != have:
@@ -50,24 +47,73 @@ def test_parsing_equals_plain_python(spark):
     assert not wrong, (len(wrong), wrong[:3])
 
 
-def test_statement_predicates_equal_plain_python(spark):
-    rng = random.Random(3)
-    parts = ["f", "(", ")", " ", "\n", "\t", "*", "&", ":", ";", "{", "if", "for", "return", "~", "_a",
-             "1", "const", "= 0;", "= default;", "noexcept", "->", "else", "#", "using ", "operator",
-             "requires", "sizeof", "catch ", "static_assert", "switch(", "void "]
-    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))).strip(brute.WS) for _ in range(20000)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, s string")
-    got = df.select(
-        "i",
-        S.is_filtered_statement(F.col("s")).alias("filtered"),
-        S.looks_like_method(F.col("s")).alias("method"),
-    ).collect()
-    wrong = [
-        rows[r.i]
-        for r in got
-        if (r.filtered, r.method) != (brute.is_filtered(rows[r.i]), brute.looks_like_method(rows[r.i]))
-    ]
-    assert not wrong, wrong[:5]
+# What a statement may begin with that is never a method.
+WORD_STARTS = ["using", "typedef", "friend", "enum", "class", "struct", "if", "for", "while", "switch", "return", "catch"]
+OTHER_STARTS = ["if(", "for(", "while(", "switch(", "static_assert", "else", "#"]
+# Words before a parenthesis that name no method.
+CONTROL_WORDS = ["if", "for", "while", "switch", "catch", "return", "sizeof", "alignof", "decltype", "requires"]
+# What may follow a method's last parenthesis, whole or as a beginning.
+WHOLE_TAILS = ["", ";", "{", "= default;", "= delete;", "= 0;"]
+TAIL_STARTS = ["const", "noexcept", "override", "final", "requires", "->", "&"]
+
+
+def test_statement_predicates(spark):
+    """Statements put together out of parts, so that the answer is known from the parts."""
+    filtered = [(f"{w} x;", True) for w in WORD_STARTS] + [(f"{w}x", True) for w in OTHER_STARTS]
+    filtered += [(f"{w}x;", False) for w in WORD_STARTS] + [(f"my{w}x", False) for w in OTHER_STARTS]
+    method = [(f"int {n}(int a){gap}{t}", True) for n in ("f", "_g", "~H", "A::k") for t in WHOLE_TAILS for gap in ("", " ", "\n")]
+    method += [(f"T* f(){t} x;", True) for t in TAIL_STARTS] + [(f"{w} (x);", False) for w in CONTROL_WORDS]
+    method += [(f"int f() {t}", False) for t in ("= 1;", "x", "= default", ": a_", ",")]
+    method += [(s, False) for s in ("int x;", "int f(", "int f)", ")(", "int (*p)(int);", "int (&r)(int);", "int 1f();", "(x);")]
+    df = spark.createDataFrame(
+        [(s, want, "filtered") for s, want in filtered] + [(s, want, "method") for s, want in method], "s string, want boolean, kind string"
+    )
+    have = F.when(F.col("kind") == "filtered", S.is_filtered_statement(F.col("s"))).otherwise(S.looks_like_method(F.col("s")))
+    assert df.where(~have.eqNullSafe(F.col("want"))).collect() == []
+
+
+# Member text, and the statement that is found for it in a public section (None: none).
+MEMBERS = [
+    ("void m#();", "void m#();"),
+    ("int m#(int a, char b) const;", "int m#(int a, char b) const;"),
+    ("virtual ~D#() = default;", "virtual ~D#() = default;"),
+    ("auto m#() -> int;", "auto m#() -> int;"),
+    ("void m#() noexcept;", "void m#() noexcept;"),
+    ("void m#() { if (x) { y(); } }", "void m#() {"),
+    ("bool m#() { return f(1); }", "bool m#() {"),
+    ("static int n#;", None),
+    ("int n# = 3;", None),
+    ("using U# = int;", None),
+    ("friend void g#();", None),
+    ("int (*p#)(int);", None),
+    ("void a#(X x = {});", None),
+]
+
+
+def test_files_of_known_types(spark):
+    """Files are written out of types and members, so that what must be found is known."""
+    rng, files = random.Random(11), []
+    for number in range(3000):
+        text, want = "", []
+        for k in range(rng.randint(0, 4)):
+            keyword = rng.choice(["class", "struct"])
+            access, methods, body = "public" if keyword == "struct" else "private", [], ""
+            for j in range(rng.randint(0, 7)):
+                if rng.random() < 0.3:
+                    access = rng.choice(["public", "private", "protected"])
+                    body += f" {access}:" + rng.choice(["\n", " "])
+                member, found = rng.choice(MEMBERS)
+                body += "  " + member.replace("#", f"{k}_{j}") + rng.choice(["\n", "\n\n", " "])
+                if found and access == "public":
+                    methods.append(found.replace("#", f"{k}_{j}"))
+            want.append((f"T{k}", methods))
+            text += rng.choice(["", "// class No {\n", "/* struct No { void n(); }; */\n", "#include <v>\n", "enum class E { A };\n"])
+            text += f"{keyword} T{k} {{\n{body}}};\n"
+        files.append((number, text, want))
+    df = spark.createDataFrame([f[:2] for f in files], "i int, text string").repartition(8)
+    got = {r.i: [(c.name, c.public_methods) for c in r.classes] for r in parse.with_structure(df).select("i", "classes").collect()}
+    wrong = [(text, want, got[i]) for i, text, want in files if got[i] != want]
+    assert not wrong, (len(wrong), wrong[:2])
 
 
 def test_long_literals_and_many_braces(spark):
