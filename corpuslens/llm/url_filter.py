@@ -55,13 +55,17 @@ def _weight() -> Column:
     return F.when(n == 0, F.lit(LEAST_WEIGHT)).otherwise(F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), p * (1 - p) / excess - 1))).alias("weight")
 
 
-def _level(rows: DataFrame, parents: DataFrame, up: str) -> DataFrame:
+def _level(rows: DataFrame, parents: DataFrame, up: str | None = None) -> DataFrame:
     """Posterior means of a level, ``mean``, with ``a`` and ``b``, given its parents' means.
 
-    The weight of the level is one number.
+    The weight of the level is one number; without ``up`` so is the mean above it.
     """
-    few = parents.count() <= HOSTS_SENT
-    with_prior = rows.join(F.broadcast(parents) if few else parents, up).withColumn("prior", F.col("parent_mean"))
+    if up:
+        few = parents.count() <= HOSTS_SENT
+        rows = rows.join(F.broadcast(parents) if few else parents, up)
+    else:
+        rows = rows.withColumn("parent_mean", F.lit(parents.first()[0]))
+    with_prior = rows.withColumn("prior", F.col("parent_mean"))
     weight = F.lit(with_prior.agg(_weight()).first()[0] or LEAST_WEIGHT)
     a = F.col("bad") + weight * F.col("prior")
     b = F.col("n") - F.col("bad") + weight * (1 - F.col("prior"))
@@ -92,9 +96,9 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, long: tuple[str, ...] = LO
     )
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = materialised(spread.groupBy("domain", "suffix").agg(*sums))
-    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("top", F.lit(1))
-    whole = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("parent_mean")).withColumn("top", F.lit(1))
-    by_suffix = materialised(_level(suffixes, whole, "top").select("suffix", F.col("mean").alias("parent_mean")))
+    suffixes = domains.groupBy("suffix").agg(*sums)
+    whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1.0)).alias("parent_mean"))
+    by_suffix = materialised(_level(suffixes, whole).select("suffix", F.col("mean").alias("parent_mean")))
     by_domain = materialised(_level(domains, by_suffix, "suffix").select("domain", F.col("mean").alias("parent_mean")))
     by_host = _level(spread, by_domain, "domain")
     spread_of = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
