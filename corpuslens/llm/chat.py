@@ -64,21 +64,24 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             F.col("node").alias("root"),
         )
     )
-    levels = [jumps.select("conv", "node", "up").where("up is not null")]
+    # What has arrived at its root is set aside; only what is still under way is joined again.
+    moving, arrived = jumps.where("up is not null"), jumps.where("up is null")
+    levels = [moving.select("conv", "node", "up")]
     rows = links.count()
     while 2 ** len(levels) <= 2 * rows and not levels[-1].isEmpty():
-        far = jumps.select(
+        far = moving.unionByName(arrived).select(
             F.col("conv").alias("c"), F.col("node").alias("at"), F.col("up").alias("next"), F.col("sum").alias("more"),
             F.col("depth").alias("deeper"), F.col("root").alias("top"),
         )
-        jumps = materialised(
-            jumps.join(far, meets("conv", "c", ("up", "at")), "left").select(
-                *KEY, F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"),
-                (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"), F.coalesce("top", "root").alias("root"),
+        moved = materialised(
+            moving.join(far, meets("conv", "c", ("up", "at"))).select(
+                *KEY, F.col("next").alias("up"), (F.col("sum") + F.col("more")).alias("sum"),
+                (F.col("depth") + F.col("deeper")).alias("depth"), F.col("top").alias("root"),
             )
         )
-        levels.append(jumps.select("conv", "node", "up").where("up is not null"))
-    ended = jumps.where("up is null")
+        moving, arrived = moved.where("up is not null"), arrived.unionByName(moved.where("up is null"))
+        levels.append(moving.select("conv", "node", "up"))
+    ended = arrived
     leaves = ended.join(
         links.select(F.col("conv").alias("c"), F.col("parent").alias("p")).where("p is not null").distinct(),
         meets("conv", "c", ("node", "p")), "left_anti",
