@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ class Counter:
         import regex
 
         own = encoder(json_path, rank_path)
-        self.split = regex.compile(own.pattern).finditer
+        pattern = regex.compile(own.pattern)
+        self.split, self.pieces = pattern.finditer, pattern.findall
         self.tokens = lru_cache(KNOWN)(lambda piece: len(own.quick.encode_ordinary(piece)))
 
 
@@ -175,10 +177,9 @@ def count_tokens(docs: DataFrame, carry: list[str] | None = None, paths: tuple[s
         for frame in frames:
             states, totals = [[] for _ in STATE_NAMES], []
             for text in frame.column("text"):
-                found = own.split(text.as_py() or "")
-                tree = TokenTree.of([(m.end() - m.start(), own.tokens(m.group())) for m in found])
+                tree = TokenTree.of([(len(p), own.tokens(p)) for p in own.pieces(text.as_py() or "")])
                 for column, value in zip(states, tree.stored()):
-                    column.append(value)
+                    column.append(np.array(value, np.int32))
                 totals.append(tree.total)
             yield pa.RecordBatch.from_arrays(
                 [*[frame.column(c) for c in kept], *[pa.array(c, TREE) for c in states], pa.array(totals, pa.int64())],
@@ -223,7 +224,7 @@ def apply_edits(state: DataFrame, paths: tuple[str, str] | None = None) -> DataF
                     fresh += n
                 texts.append(text)
                 for column, value in zip(states, tree.stored()):
-                    column.append(value)
+                    column.append(np.array(value, np.int32))
                 totals.append(tree.total)
                 encoded.append(fresh)
             yield pa.RecordBatch.from_arrays(
