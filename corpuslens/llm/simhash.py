@@ -95,6 +95,12 @@ def _ball(segment: int, value: Column, masks: list[int]) -> Column:
     return F.transform(takes, lambda m: F.struct(F.lit(segment).alias("seg"), value.bitwiseXOR(m).alias("value")))
 
 
+def _around(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``mid``: every value within ``radius`` bits of each fingerprint."""
+    masks = F.array(*[F.lit(_signed(m)) for m in _masks(BITS, radius)])
+    return materialised(prints.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid")))
+
+
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links ``a``, ``b`` of stored, distinct fingerprints ``fp``, enough for their components.
 
@@ -102,9 +108,10 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs. Of two values that differ in a mask, one holds at least half of the
     mask's bits, and only it looks the other up. In an entry with more than
     ``CROWD`` members all pairs would be too many: such crowded fingerprints are
-    linked by midpoints instead. Two that differ in at most 4 bits have a common
-    value within 2 bits of both, and two with a common value are within 4; each
-    points at the smallest member of every value it shares.
+    linked by midpoints instead. Two that differ in at most ``distance`` bits have
+    a common value within half of that of one (rounded down) and of the other
+    (rounded up), and two such are within ``distance``; each points at the
+    smallest member, by the lesser radius, of every value it shares.
     """
     count = prints.count()
     segments = plan_segments(count, distance)
@@ -135,10 +142,11 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     ).distinct()
     if not crowds:
         return found
-    half = F.array(*[F.lit(_signed(m)) for m in _masks(BITS, distance // 2)])
-    middles = materialised(crowd.select("fp", F.explode(F.transform(half, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid")))
-    least = middles.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    stars = middles.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    # Both balls are one where the distance is even; else members of the smaller name the entry.
+    near_ball = _around(crowd, distance // 2)
+    wide_ball = near_ball if distance % 2 == 0 else _around(crowd, distance - distance // 2)
+    least = near_ball.groupBy("mid").agg(F.min("fp").alias("b"))
+    stars = wide_ball.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return found.unionByName(stars).distinct()
 
 
