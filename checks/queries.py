@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -161,7 +162,7 @@ def class_text(column: str = "classes") -> Column:
 POSITION_SQL = "row_number() over (partition by project order by string_split(path, '/')) - 1"
 
 
-@query(Q.upto("analysis", f"""select project, cast(pos % 500 as bigint) as pos, path, array_to_string(headers, ' | ') as headers,
+@query(Q.upto("analysis", f"""select project, cast(pos as bigint) as pos, path, array_to_string(headers, ' | ') as headers,
   {CLASS_TEXT_SQL} as classes, parse_error from (select *, {POSITION_SQL} as pos from analysis)"""))
 def load_analysis_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "documents")
@@ -243,15 +244,15 @@ def write_analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SNAPSHOT_SQL = f"""snapshot as (select project, cast(floor(pos / 500) as bigint) as part, count(*) as files,
+SNAPSHOT_SQL = f"""snapshot as (select project, count(*) as files,
   '{{"root":"' || project || '","files":[' || string_agg(to_json({{'path': path, 'headers': headers, 'classes': classes,
     'parse_error': parse_error}})::varchar, ',' order by pos) || ']}}' as document
-  from (select *, {POSITION_SQL} as pos from analysis) group by project, cast(floor(pos / 500) as bigint))"""
+  from (select *, {POSITION_SQL} as pos from analysis) group by project)"""
 
 
-@query(Q.upto("analysis", f", {SNAPSHOT_SQL} select project, part, files, document from snapshot"))
+@query(Q.upto("analysis", f", {SNAPSHOT_SQL} select project, files, document from snapshot"))
 def project_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.project_snapshot(analysis(spark, sf_dir))
+    return N.project_documents(N.project_snapshot(analysis(spark, sf_dir)))
 
 
 @query(Q.decided("""select project, path, array_to_string(issues, ' | ') as issues, ai_status, ai_analysis, file_hash,
@@ -392,19 +393,23 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("pos")
 
 
-CONTEXT_SQL = f""", {SNAPSHOT_SQL}, contexts as (
-  select project, count(*) as context_parts, case when count(*) = 1 then max(document)
-    else '{{"root":"' || project || '","parts":' || count(*) || '}}' end as context
-  from snapshot group by project)"""
+def digest_reviewer(field: str):
+    """A reviewer that answers with the SHA-256 of what it is given."""
 
+    def review(request):
+        return hashlib.sha256(request[field].encode()).hexdigest()
 
-@query(Q.upto("analysis", f"""{CONTEXT_SQL} select path, context_parts, sha256(context) as context
-  from analysis join contexts using (project)"""))
+    return lambda: review
+
+
+@query(Q.upto("analysis", f""", {SNAPSHOT_SQL} select path, sha256(document) as context
+  from analysis join snapshot using (project)"""))
 def attach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
     snapshot = materialised(N.project_snapshot(N.analyze(files)))
-    with_context = V.attach_context(files.select(*KEYS), snapshot)
-    return with_context.select("path", "context_parts", F.sha2("context", 256).alias("context"))
+    rows = files.select(*KEYS, F.lit("").alias("request"), F.array().cast("array<string>").alias("rule_based_issues"))
+    seen = V.review_files(rows, digest_reviewer("context"), ["path"], concurrency=8, snapshot=snapshot)
+    return seen.select("path", F.col("ai_analysis").alias("context"))
 
 
 @query(Q.upto("files", """, versions as (
@@ -703,20 +708,22 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REQUEST_SQL = f"""select f.path, sha256('Review one C or C++ file as part of its project. Answer with the three sections '
     || '[SUMMARY], [ISSUES] and [SUGGESTIONS], each marker on a line of its own.'
-    || nl || '## Project' || chr(10) || context || nl || '## Path' || chr(10) || f.path
+    || nl || '## Project' || chr(10) || document || nl || '## Path' || chr(10) || f.path
     || nl || '## Includes' || chr(10) || to_json(headers)::varchar || nl || '## Types' || chr(10) || to_json(classes)::varchar
     || nl || '## Parser' || chr(10) || 'Parser completed without file-level errors.'
     || nl || '## Code' || chr(10) || {I.FENCE} || 'cpp' || chr(10) || content || chr(10) || {I.FENCE}) as request
-  from analysis a join contexts using (project) join files f using (project, path), (select chr(10) || chr(10) as nl)"""
+  from analysis a join snapshot using (project) join files f using (project, path), (select chr(10) || chr(10) as nl)"""
 
 
-@query(Q.upto("analysis", f"{CONTEXT_SQL} {REQUEST_SQL}"))
+@query(Q.upto("analysis", f", {SNAPSHOT_SQL} {REQUEST_SQL}"))
 def build_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
     shape = materialised(N.analyze(files))
     rows = shape.join(files.select(*KEYS, "text"), KEYS)
-    request = V.build_request(V.attach_context(rows, materialised(N.project_snapshot(shape))))
-    return request.select("path", F.sha2("request", 256).alias("request"))
+    requests = V.build_request(rows).withColumn("rule_based_issues", F.array().cast("array<string>"))
+    snapshot = materialised(N.project_snapshot(shape))
+    seen = V.review_files(requests, digest_reviewer("request"), ["path"], concurrency=8, snapshot=snapshot)
+    return seen.select("path", F.col("ai_analysis").alias("request"))
 
 
 @query("""select event_id as id, '[SKIPPED]' || chr(10) || 'AI analysis was skipped because the cooldown window is still active.'

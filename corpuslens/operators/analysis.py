@@ -43,15 +43,15 @@ def file_record() -> Column:
     return F.struct("path", "headers", "classes", "parse_error")
 
 
-FILES_PER_PART = 500
+FILES_PER_PART = 500  # how many files travel in one row; what a project's document holds does not depend on it
 
 
 def project_snapshot(analysis: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
-    """Per project its analysis document ``{root, files}``, files in path order.
+    """Each project's analysis document in pieces: ``project, part, first, files, records``.
 
-    A project of up to ``files_per_part`` files is one document, as a whole. A
-    larger one is cut into numbered parts of that many files, each a document of
-    its own, so no group grows with the project.
+    ``records`` are the files of one piece in path order, parted by commas, and
+    ``first`` is the place of the piece's first file in the project. No group
+    grows with the project; the pieces in order are the whole document.
     """
     # Written once: sorting samples its input, which must not parse all files again.
     slim = materialised(
@@ -61,11 +61,31 @@ def project_snapshot(analysis: DataFrame, files_per_part: int = FILES_PER_PART)
     places = with_positions(slim.select(*keys), [path_order(F.col("path"))], ["project"])
     placed = slim.join(places, keys)
     part = F.floor(F.col("pos") / files_per_part).cast("bigint").alias("part")
-    parts = placed.groupBy("project", part).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "record"))).alias("rows"),
+    pieces = placed.groupBy("project", part).agg(
+        F.min("pos").alias("first"),
         F.count("*").alias("files"),
+        F.array_sort(F.collect_list(F.struct("pos", "record"))).alias("rows"),
     )
+    records = F.array_join(F.transform("rows", lambda r: r["record"]), ",")
+    return pieces.select("project", "part", "first", "files", records.alias("records"))
+
+
+def document_start() -> Column:
+    """A document up to its list of files: ``{"root":"name"``."""
     root = F.regexp_replace(F.to_json(F.array("project")), r"\A\[|\]\z", "")
-    body = F.array_join(F.transform("rows", lambda r: r["record"]), ",")
-    document = F.concat(F.lit('{"root":'), root, F.lit(',"files":['), body, F.lit("]}"))
-    return parts.select("project", "part", "files", document.alias("document"))
+    return F.concat(F.lit('{"root":'), root)
+
+
+def project_documents(snapshot: DataFrame) -> DataFrame:
+    """Whole documents ``{root, files}``: a row ``project, files, document`` for each project.
+
+    For readers that want one text for a project, which then has to fit a row.
+    Reviews take the pieces instead.
+    """
+    whole = snapshot.groupBy("project").agg(
+        F.sum("files").alias("files"), F.array_sort(F.collect_list(F.struct("part", "records"))).alias("parts")
+    )
+    body = F.array_join(F.transform("parts", lambda p: p["records"]), ",")
+    return whole.select(
+        "project", "files", F.concat(document_start(), F.lit(',"files":['), body, F.lit("]}")).alias("document")
+    )

@@ -1,8 +1,9 @@
 """Requests to a reviewer and its answers.
 
 The reviewer is a callable made once per task by a factory the caller passes
-in. It gets a mapping with ``path``, ``request`` and ``rule_based_issues`` and
-returns the answer text. Nothing here talks to a network.
+in. It gets a mapping with ``path``, ``request``, ``rule_based_issues`` and, where
+documents are given, the project's whole document as ``context``, and returns the
+answer text. Nothing here talks to a network.
 """
 
 from __future__ import annotations
@@ -17,81 +18,93 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from corpuslens.functions import limits as L
+from corpuslens.operators.analysis import document_start
 from corpuslens.operators.incremental import UNAVAILABLE, unavailable_results
-from corpuslens.operators.storage import join_few, materialised
 
 Reviewer = Callable[[Mapping[str, Any]], str]
 ReviewerFactory = Callable[[], Reviewer]
 
-# Largest project document that is copied into each of its requests.
-INLINE_CONTEXT_CHARS = 200_000
-
-SHARDS = 1024
-
 # Fixed value: stands in when the parser had nothing to report.
 PARSER_OK = "Parser completed without file-level errors."
 
 
-def attach_context(
-    pending: DataFrame, snapshot: DataFrame, inline_chars: int = INLINE_CONTEXT_CHARS
-) -> DataFrame:
-    """Adds ``context`` and ``context_parts`` from a stored snapshot of the projects.
-
-    A project held in one part of at most ``inline_chars`` is copied in as a
-    whole; such a project has few files, so no copy multiplies without bound. A
-    larger one gets a reference: its parts stay in the snapshot table, where a
-    reviewer reads them by project and part number. Files of large projects take
-    part in the join under many shards, so that none fills one task.
-    """
-    sizes = materialised(
-        snapshot.groupBy("project").agg(
-            F.count("*").alias("context_parts"), F.sum(F.length("document")).alias("_chars")
-        )
-    )
-    fits = (F.col("context_parts") == 1) & (F.col("_chars") <= inline_chars)
-    rows = join_few(pending, sizes, ["project"], "left").withColumn(
-        "_shard", F.when(fits, F.lit(-1)).otherwise(F.pmod(F.hash("path"), F.lit(SHARDS)))
-    )
-    whole = snapshot.filter((F.col("part") == 0) & (F.length("document") <= inline_chars)).select(
-        "project", F.lit(-1).alias("_shard"), F.col("document").alias("_document")
-    )
-    reference = F.concat(
-        F.lit('{"root":'),
-        F.regexp_replace(F.to_json(F.array("project")), r"\A\[|\]\z", ""),
-        F.lit(',"parts":'),
-        F.col("context_parts").cast("string"),
-        F.lit("}"),
-    )
-    return (
-        rows.join(whole, ["project", "_shard"], "left")
-        .withColumn("context", F.coalesce("_document", reference))
-        .drop("_chars", "_document", "_shard")
-    )
+# A request begins with this; the project's document follows it.
+REQUEST_START = (
+    "Review one C or C++ file as part of its project. Answer with the three sections "
+    "[SUMMARY], [ISSUES] and [SUGGESTIONS], each marker on a line of its own.\n\n## Project\n"
+)
 
 
 def build_request(rows: DataFrame) -> DataFrame:
-    """Adds ``request``: everything a reviewer needs to know about one file."""
-    section = lambda title, body: F.concat(F.lit(f"## {title}\n"), body)
+    """Adds ``request``: what a reviewer needs to know about one file, but for the project's document.
+
+    The document is put in by the reviewing task, where it is held once for all
+    files of a project.
+    """
+    section = lambda title, body: F.concat(F.lit(f"\n\n## {title}\n"), body)
     return rows.withColumn(
         "request",
-        F.concat_ws(
-            "\n\n",
-            F.lit(
-                "Review one C or C++ file as part of its project. Answer with the three sections "
-                "[SUMMARY], [ISSUES] and [SUGGESTIONS], each marker on a line of its own."
-            ),
-            section("Project", F.col("context")),
+        F.concat(
+            F.lit(REQUEST_START),
             section("Path", F.col("path")),
             section("Includes", F.to_json("headers")),
             section("Types", F.to_json("classes")),
             section("Parser", F.coalesce(F.nullif(F.col("parse_error"), F.lit("")), F.lit(PARSER_OK))),
-            section("Code", F.concat(F.lit("```cpp\n"), F.col("text"), F.lit("\n```"))),
+            section("Code", F.concat(F.lit("```cpp\n"), F.coalesce("text", F.lit("")), F.lit("\n```"))),
         ),
     )
 
 
+def attach_context(pending: DataFrame, snapshot: DataFrame, tasks: int) -> DataFrame:
+    """Deals requests to ``tasks`` partitions, each behind its project's document.
+
+    Rows of the document's pieces (``_part`` and ``_piece`` set) come before the
+    requests of their project (both null), in order. A project's requests are
+    spread over all tasks, and a task gets each piece once, whatever the number
+    of requests: what is shuffled grows with the texts, not with files times
+    documents.
+    """
+    slot = F.pmod(F.xxhash64("project", "path"), F.lit(tasks)).cast("int").alias("_slot")
+    asked = pending.select("project", slot).distinct()
+    # Numbers are filled in, so that a null does not turn a whole pandas column into floats.
+    blank = {
+        f.name: F.lit(0 if isinstance(f.dataType, NumericType) else None).cast(f.dataType)
+        for f in pending.schema if f.name != "project"
+    }
+    pieces = snapshot.withColumn("_root", F.concat(document_start(), F.lit(',"files":['))).join(asked, "project").select(
+        *[blank[c].alias(c) if c in blank else c for c in pending.columns],
+        "_slot",
+        F.col("part").alias("_part"),
+        F.when(F.col("part") == 0, F.concat("_root", "records")).otherwise(F.concat(F.lit(","), "records")).alias("_piece"),
+    )
+    rows = pending.select("*", slot, F.lit(None).cast("bigint").alias("_part"), F.lit(None).cast("string").alias("_piece"))
+    dealt = rows.unionByName(pieces).repartitionById(tasks, F.col("_slot"))
+    return dealt.sortWithinPartitions("project", F.asc_nulls_last("_part")).drop("_slot")
+
+
+class ProjectDocument:
+    """The document of the project whose requests a task is at."""
+
+    def __init__(self) -> None:
+        self.project, self.pieces, self.text = None, [], ""
+
+    def add(self, project: str, piece: str) -> None:
+        if project != self.project or self.text:
+            self.project, self.pieces, self.text = project, [], ""
+        self.pieces.append(piece)
+
+    def of(self, project: str | None) -> str:
+        """The whole text; empty for a project without a document."""
+        if project is None or project != self.project:
+            return ""
+        if not self.text:
+            self.text, self.pieces = "".join([*self.pieces, "]}"]), []
+        return self.text
+
+
 def offline_reviewer() -> Reviewer:
     """Deterministic answers out of the rule messages alone."""
 
@@ -176,28 +189,43 @@ def review_files(
     concurrency: int = L.MAX_CONCURRENT_REQUESTS,
     per_minute: int = 0,
     clock: Callable[[], Clock] = Clock,
+    snapshot: DataFrame | None = None,
 ) -> DataFrame:
     """Calls the reviewer for every pending row; failures come back as rows.
 
+    With a stored ``snapshot`` of the projects each request of :func:`build_request`
+    gets its project's whole document; ``pending`` then needs ``project``.
+
     There are as many tasks as calls may be open at once, each with its own
     reviewer, made when first needed. A limit per minute is split among the
     tasks, so it holds for the whole job without talk between them; every
     attempt takes a slot. A task that is run again first lets a window pass.
     """
     tasks = max(1, min(concurrency, per_minute) if per_minute > 0 else concurrency)
-    kept = pending.select(*dict.fromkeys([*keep, "path", "request", "rule_based_issues"]))
+    named = ["project"] if snapshot is not None else []
+    kept = pending.select(*dict.fromkeys([*keep, *named, "path", "request", "rule_based_issues"]))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
 
+    with_documents = snapshot is not None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context, own_clock, reviewer = TaskContext.get(), clock(), None
+        context, own_clock, reviewer, document = TaskContext.get(), clock(), None, ProjectDocument()
         quota = None
         if per_minute > 0:
             quota = Quota(task_share(per_minute, tasks, context.partitionId() % tasks), own_clock)
             if context.attemptNumber() > 0:
                 own_clock.sleep(quota.window)
         for batch in batches:
-            answers = []
-            for row in batch.to_dict("records"):
+            answers, rows = [], batch.to_dict("records")
+            if with_documents:
+                batch = batch[batch["_piece"].isna()]
+            for row in rows:
+                if with_documents:
+                    if isinstance(row["_piece"], str):
+                        document.add(row["project"], row["_piece"])
+                        continue
+                    row["context"] = document.of(row["project"])
+                    row["request"] = row["request"].replace(REQUEST_START, REQUEST_START + row["context"], 1)
                 calls: list[float] = []
                 while True:
                     try:
@@ -213,9 +241,11 @@ def review_files(
                         own_clock.sleep(retry.pause(len(calls)))
             columns = ["ai_status", "ai_analysis", "attempts", "first_call", "last_call"]
             answered = pd.DataFrame(answers, columns=columns, index=batch.index)
-            yield pd.concat([batch[keep], answered], axis=1)
+            if answers:
+                yield pd.concat([batch[keep], answered], axis=1)
 
-    return kept.repartition(tasks).mapInPandas(run, f"{schema}, {ANSWER}")
+    dealt = attach_context(kept, snapshot, tasks) if with_documents else kept.repartition(tasks)
+    return dealt.mapInPandas(run, f"{schema}, {ANSWER}")
 
 
 def review_or_explain(
@@ -233,5 +263,3 @@ def review_or_explain(
     return answers.select(
         *keep, "path", "rule_based_issues", "ai_status", "ai_analysis", "file_hash"
     ), True
-
-

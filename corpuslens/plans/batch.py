@@ -14,7 +14,6 @@ from corpuslens.operators.report import graded, verdict_totals
 from corpuslens.operators.review import (
     RetryPolicy,
     ReviewerFactory,
-    attach_context,
     build_request,
     offline_reviewer,
     review_or_explain,
@@ -48,7 +47,7 @@ class ReviewOptions:
 
 
 def pending_requests(
-    decided: DataFrame, files: DataFrame, analysis: DataFrame, snapshot: DataFrame
+    decided: DataFrame, files: DataFrame, analysis: DataFrame
 ) -> DataFrame:
     """Texts and structure join the pending entries only."""
     todo = decided.filter(F.col("action") == "pending").select(*KEYS, "rule_based_issues", "file_hash")
@@ -57,7 +56,7 @@ def pending_requests(
         analysis.select(*KEYS, "headers", "classes", "parse_error"), todo.select(*KEYS), KEYS, "left_semi"
     )
     rows = texts.join(shape, KEYS)
-    return build_request(attach_context(rows, snapshot))
+    return build_request(rows)
 
 
 def review_run(
@@ -95,7 +94,7 @@ def review_run(
     )
     # Later steps read the decisions several times; the reviewer must see them once.
     decided = materialised(decided.drop("_left"))
-    requests = pending_requests(decided, files, analysis, materialised(project_snapshot(analysis)))
+    requests = pending_requests(decided, files, analysis)
     reviewed, started = review_or_explain(
         requests,
         options.factory,
@@ -103,6 +102,7 @@ def review_run(
         retry=options.retry,
         concurrency=options.concurrency,
         per_minute=options.per_minute,
+        snapshot=materialised(project_snapshot(analysis)),
     )
     if started:
         began = decided.filter(F.col("action") == "pending").select("project").distinct()

@@ -8,7 +8,7 @@ FILE_ANALYSIS = (
 )
 
 ANALYSIS_DOCUMENT = (
-    "root string, files array<struct<path:string,headers:array<string>,"
+    "root string, first bigint, files array<struct<path:string,headers:array<string>,"
     f"classes:{CLASSES},parse_error:string>>"
 )
 

@@ -14,14 +14,15 @@ def load_analysis_doc(spark: SparkSession, path: str) -> DataFrame:
     """Analysis documents as rows ``project, pos, path, headers, classes, parse_error``.
 
     One object per line, as :func:`corpuslens.sources.sinks.write_snapshot` writes
-    them, so a document is the unit of parallel reading.
+    them, so a line is the unit of parallel reading. ``pos`` is the file's place
+    in its project.
     """
     documents = spark.read.schema(ANALYSIS_DOCUMENT).json(path)
     return documents.select(
-        F.col("root").alias("project"), F.posexplode("files").alias("pos", "file")
+        F.col("root").alias("project"), "first", F.posexplode("files").alias("pos", "file")
     ).select(
         "project",
-        F.col("pos").cast("bigint").alias("pos"),
+        (F.coalesce("first", F.lit(0)) + F.col("pos")).cast("bigint").alias("pos"),
         "file.path",
         F.coalesce("file.headers", F.array().cast("array<string>")).alias("headers"),
         F.coalesce("file.classes", F.array().cast(CLASSES)).alias("classes"),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import utc_stamp
-from corpuslens.operators.analysis import file_record
+from corpuslens.operators.analysis import document_start, file_record
 from corpuslens.operators.incremental import status_counts
 from corpuslens.schemas import REVIEW_SNAPSHOT, RUN_STATE
 
@@ -20,8 +20,11 @@ def write_analysis_json(analysis: DataFrame, path: str) -> None:
 
 
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
-    """Analysis documents, one per line."""
-    snapshot.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
+    """Analysis documents, one object per line; a piece names the place of its ``first`` file."""
+    line = F.concat(
+        document_start(), F.lit(',"first":'), F.col("first").cast("string"), F.lit(',"files":['), F.col("records"), F.lit("]}")
+    )
+    snapshot.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_review_snapshot(

@@ -13,6 +13,8 @@ from corpuslens.operators import analysis as N
 from corpuslens.operators import review as V
 from corpuslens.operators.order import with_positions
 from corpuslens.plans import batch as B
+from corpuslens.schemas import CLASSES
+from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import sinks as K
 
@@ -93,27 +95,45 @@ def analysis_rows(spark, count):
     )
 
 
-def test_large_projects_are_cut_into_whole_documents(spark):
-    parts = N.project_snapshot(analysis_rows(spark, 400), files_per_part=120).collect()
-    assert Counter(r.project for r in parts) == {"p\"q": 3, "small": 1}
+def test_documents_hold_all_files_in_order(spark, tmp_path):
+    snapshot = N.project_snapshot(analysis_rows(spark, 1600), files_per_part=120)
+    assert Counter(r.project for r in snapshot.collect()) == {"p\"q": 10, "small": 4}
+    for row in N.project_documents(snapshot).collect():
+        document = json.loads(row.document)
+        paths = [f["path"] for f in document["files"]]
+        assert document["root"] == row.project and paths == sorted(paths)
+        assert len(paths) == row.files == (400 if row.project == "small" else 1200)
+    K.write_snapshot(snapshot, str(tmp_path / "documents"))
+    places = D.load_analysis_doc(spark, str(tmp_path / "documents")).collect()
     for project in ("p\"q", "small"):
-        documents = [json.loads(r.document) for r in sorted(parts, key=lambda r: r.part) if r.project == project]
-        assert {d["root"] for d in documents} == {project}
-        paths = [f["path"] for d in documents for f in d["files"]]
-        assert paths == sorted(paths) and len(paths) == (300 if project != "small" else 100)
+        own = sorted((r.pos, r.path) for r in places if r.project == project)
+        assert [p for p, _ in own] == list(range(len(own))) and [f for _, f in own] == sorted(f for _, f in own)
 
 
-def test_context_is_copied_or_referred_to(spark):
-    rows = analysis_rows(spark, 400)
+def context_reader():
+    def review(request):
+        start, rest = request["request"].split(request["context"]) if request["context"] else (request["request"], "")
+        files = json.loads(request["context"])["files"] if request["context"] else []
+        own = any(f["path"] == request["path"] for f in files)
+        return f"{len(files)} {own} {start == V.REQUEST_START} {rest.startswith(chr(10) * 2 + '## Path')}"
+
+    return review
+
+
+def test_reviewers_see_whole_projects(spark):
+    """1,200 files of one project, 400 of another, one without a document and one without a project."""
+    rows = analysis_rows(spark, 1600)
+    more = spark.createDataFrame([("none", "x.c"), (None, "y.c")], "project string, path string")
+    pending = rows.unionByName(more, allowMissingColumns=True).withColumn("text", F.lit("int a;"))
+    pending = V.build_request(pending.withColumn("headers", F.coalesce("headers", F.array().cast("array<string>"))).withColumn(
+        "classes", F.coalesce("classes", F.array().cast(CLASSES))
+    )).select("project", "path", "request", F.array().cast("array<string>").alias("rule_based_issues"), F.lit(2**60 + 1).alias("big"))
     snapshot = N.project_snapshot(rows, files_per_part=120)
-    got = V.attach_context(rows.select("project", "path"), snapshot).collect()
-    assert len(got) == 400
-    for r in got:
-        context = json.loads(r.context)
-        assert context["root"] == r.project
-        assert len(context["files"]) == 100 if r.project == "small" else context["parts"] == 3
-    tiny = V.attach_context(rows.select("project", "path"), snapshot, inline_chars=10).collect()
-    assert all(json.loads(r.context).get("parts") for r in tiny)
+    got = V.review_files(pending, context_reader, ["project", "path", "big"], snapshot=snapshot).collect()
+    assert len(got) == 1602 and {r.big for r in got} == {2**60 + 1}
+    want = {"p\"q": "1200 True True True", "small": "400 True True True"}
+    assert {(r.project, r.ai_analysis) for r in got if r.project in want} == set(want.items())
+    assert {r.ai_analysis for r in got if r.project not in want} == {"0 False False False"}
 
 
 def requests(spark, count):
