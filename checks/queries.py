@@ -138,12 +138,11 @@ def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("text")
 
 
-@query(f"""with {Q.FILES} select path, case when k % 11 = 0 then '' else sha256(content) end as digest,
+@query(f"""with {Q.FILES} select path, sha256(case when k % 11 = 0 then content || chr(255) else content end) as digest,
   case when k % 11 = 0 then '{FS.NOT_UTF8}' else '' end as parse_error from files""")
 def read_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = FS.read_text(byte_files(spark, sf_dir))
-    digest = F.when(F.col("parse_error") == "", F.sha2("text", 256)).otherwise("")
-    return rows.select("path", digest.alias("digest"), "parse_error")
+    return rows.select("path", F.sha2("text", 256).alias("digest"), "parse_error")
 
 
 CLASS_TEXT_SQL = """array_to_string(list_transform(classes,

@@ -80,7 +80,8 @@ def review_run(
     # Several steps need the parsed files; they are parsed once.
     analysis = materialised(analyze(files))
     manifest = (files if manifest is None else manifest).select(*KEYS)
-    facts = I.file_facts(files.select(*KEYS, "text", "mtime"))
+    # A file that cannot be read counts as missing: it is neither taken over nor reviewed as empty.
+    facts = I.file_facts(files.filter(F.col("text").isNotNull()).select(*KEYS, "text", "mtime"))
     stored = read_review_snapshot(spark, folder).filter(F.col("run_id") != run_id)
     previous = I.dedupe_last(stored, KEYS, ["run_ts", "run_id"])
     starts = load_run_state(spark, f"{folder}/state", besides=run_id)

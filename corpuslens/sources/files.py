@@ -133,7 +133,11 @@ NOT_UTF8 = "File content is not valid UTF-8"
 
 
 def read_text(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds ``text`` and ``parse_error``; a bad file is a row, not a failed job."""
+    """Adds ``text`` and ``parse_error``; a bad file is a row, not a failed job.
+
+    Bytes that are no UTF-8 are read as Latin-1, which keeps every byte, so hash
+    and rules follow what the file holds. A file that cannot be read has null text.
+    """
     decoded = F.col(content).cast("string")
     valid = F.is_valid_utf8(decoded)
     return files.withColumn(
@@ -141,4 +145,4 @@ def read_text(files: DataFrame, content: str = "content") -> DataFrame:
         F.when(F.col(content).isNull(), "File content could not be read")
         .when(~valid, NOT_UTF8)
         .otherwise(""),
-    ).withColumn("text", F.when(valid, decoded).otherwise(""))
+    ).withColumn("text", F.when(valid, decoded).otherwise(F.decode(F.col(content), "ISO-8859-1")))

@@ -17,6 +17,7 @@ from corpuslens.schemas import CLASSES
 from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import sinks as K
+from corpuslens.sources.files import read_text
 
 
 def log_rows(seed, count, span, keys=("hot", "hot", "hot", "a", "b")):
@@ -203,6 +204,22 @@ def test_runs_reuse_cool_down_and_repeat(spark, tmp_path):
     assert runs["r3", "p"] == {"generated": 1, "cached": 1, "skipped": 0, "errors": 1}
 
 
+def test_changed_bytes_are_reviewed_and_unreadable_files_are_errors(spark, tmp_path):
+    folder, options = str(tmp_path), B.ReviewOptions(min_run_interval=0.0, per_minute=0)
+
+    def files(content):
+        rows = spark.createDataFrame([("p", "a.c", content, 1.0), ("p", "gone.c", None, 1.0)], "project string, path string, content binary, mtime double")
+        return read_text(rows).select("project", "path", "text", "parse_error", F.timestamp_seconds("mtime").alias("mtime"))
+
+    def status(content, run, now):
+        return {r.path: (r.ai_status, r.rule_based_issues) for r in B.review_run(files(content), folder, run, now, options).collect()}
+
+    assert status(b"\xff", "r1", 1000.0) == {"a.c": ("generated", []), "gone.c": ("error", [])}
+    assert status(b"\xff", "r2", 2000.0)["a.c"][0] == "cached"
+    changed = status(b"\xfe new X;", "r3", 3000.0)
+    assert changed["a.c"][0] == "generated" and len(changed["a.c"][1]) == 1 and changed["gone.c"][0] == "error"
+
+
 def test_no_run_start_without_a_reviewer(spark, tmp_path):
     def none():
         raise RuntimeError("no key")
