@@ -138,7 +138,12 @@ def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("text")
 
 
-@query(f"""with {Q.FILES} select path, sha256(case when k % 11 = 0 then content || chr(255) else content end) as digest,
+# The bytes of a text, each read as one character.
+LATIN_SQL = """array_to_string(list_transform(regexp_extract_all(hex(content), '..'),
+  lambda x: chr(cast('0x' || x as integer))), '')"""
+
+
+@query(f"""with {Q.FILES} select path, sha256(case when k % 11 = 0 then {LATIN_SQL} || chr(255) else content end) as digest,
   case when k % 11 = 0 then '{FS.NOT_UTF8}' else '' end as parse_error from files""")
 def read_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = FS.read_text(byte_files(spark, sf_dir))
