@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.order import running_sum, with_positions
+from corpuslens.operators.storage import materialised
+
 MINUTE_US = 60_000_000
 
 
@@ -24,52 +27,38 @@ def _slice_of(t: Column, width: int) -> Column:
 def rate_window_count(log: DataFrame, window_us: int = MINUTE_US) -> DataFrame:
     """Adds ``in_window``: requests of the same key in (t - window, t].
 
-    A request counts for its own slice of one window length and the next, so
-    every frame lies inside one slice.
+    A request adds one at its time and takes it back a window later, so the
+    count is a running sum over a key's instants. Instants are summed up before
+    the shuffle and the sum runs in blocks, so a busy key or window is no larger
+    than others. Null keys are a key; a null time has a null count.
     """
-    own = _slice_of(F.col("t"), window_us)
-    twice = log.withColumn("_own", own).withColumn(
-        "_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
-    )
-    frame = (
-        Window.partitionBy("key", "_slice").orderBy("t").rangeBetween(-(window_us - 1), Window.currentRow)
+    step = lambda t, n: F.struct(t.alias("_t"), F.lit(n).alias("_n"))
+    steps = (
+        log.select(
+            F.col("key").alias("_key"),
+            F.inline(F.array(step(F.col("t"), 1), step(F.col("t") + window_us, -1))),
+        )
+        .groupBy("_key", "_t")
+        .agg(F.sum("_n").alias("_change"))
     )
-    counted = twice.withColumn("in_window", F.count("*").over(frame))
-    return counted.filter(F.col("_slice") == F.col("_own")).drop("_own", "_slice")
+    counts = running_sum(steps, ["_t"], ["_key"], "_change", "in_window").drop("_change")
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("t") == F.col("_t"))
+    return log.drop("in_window").join(counts, same, "left").drop("_key", "_t")
 
 
 RUN_LENGTH = 4096
 
 
-def _ranked(log: DataFrame, slice_us: int) -> DataFrame:
-    """Adds the 0-based ``rn`` by (t, id) within the key."""
-    cut = log.withColumn("_slice", _slice_of(F.col("t"), slice_us))
-    earlier = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cut.groupBy("key", "_slice")
-        .agg(F.count("*").alias("_n"))
-        .select("key", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy("key", "_slice").orderBy("t", "id")
-    return (
-        cut.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(starts, ["key", "_slice"])
-        .withColumn("rn", F.col("_start") + F.col("_rank"))
-        .drop("_slice", "_rank", "_start")
-    )
-
-
-def admission_schedule(
-    log: DataFrame, limit: int, window_us: int = MINUTE_US, slice_us: int | None = None
-) -> DataFrame:
+def admission_schedule(log: DataFrame, limit: int, window_us: int = MINUTE_US) -> DataFrame:
     """Adds ``admit``: the earliest first-in-first-out send time per request.
 
     A request waits until ``limit`` places earlier is a window old:
     ``admit(i) = max(t(i), admit(i - limit) + window)``. With i = limit * j + c
     this is ``window * j`` plus the running maximum of ``t - window * j`` along
-    j. The runs are cut every 4,096 places and joined by their maxima.
+    j. The runs are cut every 4,096 places and joined by their maxima. Places come
+    from range-partitioned blocks, so a burst of one key is shared out.
     """
-    ranked = _ranked(log, slice_us or 60 * window_us)
+    ranked = with_positions(log, [F.col("t"), F.col("id")], ["key"], "rn")
     placed = (
         ranked.withColumn("_c", F.col("rn") % limit)
         .withColumn("_j", F.floor(F.col("rn") / limit).cast("bigint"))
@@ -92,6 +81,10 @@ def admission_schedule(
 
 
 INTERVALS_PER_SLICE = 64
+# Neighbouring tables that one task puts together.
+TABLES_PER_BLOCK = 64
+# Later than any entry.
+ALWAYS = 1 << 62
 
 
 def _slice_exits(times: list[int], first_end: int, interval: int) -> list[tuple[int, int]]:
@@ -120,6 +113,31 @@ def _accepted(times: list[int], last: int | None, interval: int) -> list[int]:
     return picked
 
 
+def _through(upto: list[int], leave: list[int], last: int | None, interval: int) -> int | None:
+    """The last accepted time behind a stretch that is entered with ``last``."""
+    entry = 0 if last is None else int(np.searchsorted(upto, last + interval))
+    return int(leave[entry]) if entry < len(upto) else last
+
+
+def _composed(tables: list[dict], interval: int) -> tuple[list[int], list[int]]:
+    """The table of several neighbouring stretches.
+
+    Who passes the first stretch without a run enters the second at its first
+    event, as an interval is over by then.
+    """
+
+    def behind(last: int | None) -> int | None:
+        for table in tables[1:]:
+            last = _through(table["upto"], table["exit"], last, interval)
+        return last
+
+    entries = list(zip(tables[0]["upto"], [behind(int(t)) for t in tables[0]["exit"]], strict=True))
+    if len(tables) > 1 and entries[-1][0] != ALWAYS:
+        entries.append((ALWAYS, behind(None)))
+    kept = [e for e, after in zip(entries, [*entries[1:], None], strict=True) if after is None or after[1] != e[1]]
+    return [int(upto) for upto, _ in kept], [leave for _, leave in kept]
+
+
 def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
     """Adds ``accepted``: at least an interval since the last accepted run.
 
@@ -127,8 +145,10 @@ def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
     that are worked on at once. A slice can only be entered by an event of its
     first interval or the one after that; for each such entry the last accepted
     time of the slice is worked out, and entries with the same outcome are
-    merged. Walking a key's slices over these short tables gives each slice its
-    starting point, and each slice then marks its own events.
+    merged. Tables of neighbouring slices are put together in blocks of 64, level
+    by level, until a key has one block; walking down again gives each slice its
+    starting point, and each slice then marks its own events. A task holds the
+    different instants of one slice, or 64 short tables.
     """
     width = interval_us * INTERVALS_PER_SLICE
     key_type = log.schema["key"].dataType.simpleString()
@@ -148,25 +168,28 @@ def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "key": batch["key"],
-                    "slice": batch["slice"],
+                    "n": batch["slice"],
                     "upto": [[row[0] for row in table] for table in tables],
                     "exit": [[row[1] for row in table] for table in tables],
                 }
             )
 
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [_composed(list(tables), interval_us) for tables in batch["tables"]]
+            yield pd.DataFrame(
+                {"key": batch["key"], "n": batch["block"], "upto": [m[0] for m in made], "exit": [m[1] for m in made]}
+            )
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, tables in zip(batch["key"], batch["tables"], strict=True):
-                last = None
+            for key, tables, last in zip(batch["key"], batch["tables"], batch["last"], strict=True):
+                last = None if pd.isna(last) else int(last)
                 for table in tables:
-                    rows.append((key, table["slice"], last))
-                    upto, leave = table["upto"], table["exit"]
-                    entry = 0 if last is None else int(np.searchsorted(upto, last + interval_us))
-                    if entry < len(upto):
-                        last = int(leave[entry])
-            out = pd.DataFrame(rows, columns=["key", "slice", "last"])
-            yield out.astype({"last": "Int64"})
+                    rows.append((key, table["n"], last))
+                    last = _through(table["upto"], table["exit"], last, interval_us)
+            yield pd.DataFrame(rows, columns=["key", "n", "last"]).astype({"last": "Int64"})
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,15 +204,25 @@ def cooldown_gate(log: DataFrame, interval_us: int) -> DataFrame:
                 }
             )
 
-    entries = slices.mapInPandas(
-        exits, f"key {key_type}, slice bigint, upto array<bigint>, exit array<bigint>"
-    )
-    # One short table per slice of a key: as many as its time span has slices.
+    table_type = f"key {key_type}, n bigint, upto array<bigint>, exit array<bigint>"
+    start_type = f"key {key_type}, n bigint, last bigint"
+    in_order = F.array_sort(F.collect_list(F.struct("n", "upto", "exit"))).alias("tables")
+
+    def blocks(tables: DataFrame) -> DataFrame:
+        return tables.groupBy("key", _slice_of(F.col("n"), TABLES_PER_BLOCK).alias("block")).agg(in_order)
+
+    levels = [materialised(slices.mapInPandas(exits, table_type))]
+    while not levels[-1].groupBy("key").count().filter(F.col("count") > TABLES_PER_BLOCK).isEmpty():
+        levels.append(materialised(blocks(levels[-1]).mapInPandas(compose, table_type)))
     starts = (
-        entries.groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("slice", "upto", "exit"))).alias("tables"))
-        .mapInPandas(walk, f"key {key_type}, slice bigint, last bigint")
+        levels[-1].groupBy("key").agg(in_order)
+        .withColumn("last", F.lit(None).cast("bigint"))
+        .mapInPandas(walk, start_type)
     )
+    for level in reversed(levels[:-1]):
+        above = starts.withColumnRenamed("n", "block")
+        starts = blocks(level).join(above, ["key", "block"]).select("key", "tables", "last").mapInPandas(walk, start_type)
+    starts = starts.withColumnRenamed("n", "slice")
     picked = (
         slices.join(starts, ["key", "slice"])
         .select("key", "times", "last")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,32 +16,52 @@ def sort_paths(files: DataFrame, path: str = "path") -> DataFrame:
     return files.orderBy(path_order(F.col(path)))
 
 
-def with_positions(
-    rows: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "pos"
-) -> DataFrame:
-    """Adds the 0-based place of each row within its group.
+def _in_blocks(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows range-partitioned by group and order and written once.
 
-    Rows are range-partitioned by group and order and written once, so a block
-    is one bounded slice of the sorted rows whatever the group sizes are. Block
-    counts give each slice its start; ranks inside a block are a small window.
-    Pass narrow rows: they are shuffled twice.
+    A ``_block`` is one bounded slice of the sorted rows whatever the group sizes are.
     """
-    keys = list(group or [])
     blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(k) for k in keys] + list(order)
-    cut = materialised(
-        rows.repartitionByRange(blocks, *sort).withColumn("_block", F.spark_partition_id())
-    )
+    return materialised(rows.repartitionByRange(blocks, *sort).withColumn("_block", F.spark_partition_id()))
+
+
+def _with_starts(cut: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """Adds ``_start``: the sum of ``size`` over a group's earlier blocks. Null keys are a group."""
     # One row per group and block: a group adds no more than one row per block.
-    sizes = cut.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    sizes = cut.groupBy(*keys, "_block").agg(size.alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_of{i}" for i in range(len(keys) + 1)]
     starts = sizes.select(
-        *keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+        *[F.col(k).alias(n) for k, n in zip([*keys, "_block"], names, strict=True)],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
     )
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, "_block"], names, strict=True)]
+    return cut.join(starts, reduce(lambda a, b: a & b, same)).drop(*names)
+
+
+def with_positions(
+    rows: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "pos"
+) -> DataFrame:
+    """Adds the 0-based place of each row within its group.
+
+    Block counts give each block its start; ranks inside a block are a small
+    window. Pass narrow rows: they are shuffled twice.
+    """
+    keys = list(group or [])
+    started = _with_starts(_in_blocks(rows, keys, order), keys, F.count("*"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    return (
-        cut.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(starts, [*keys, "_block"])
-        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop("_block", "_rank", "_start")
-    )
+    return started.withColumn(
+        name, (F.col("_start") + F.row_number().over(inside) - 1).cast("bigint")
+    ).drop("_block", "_start")
+
+
+def running_sum(rows: DataFrame, order: list[str], group: list[str], value: str, name: str = "total") -> DataFrame:
+    """Adds the sum of ``value`` over a group's rows up to and with each row.
+
+    ``order`` must tell a group's rows apart. Works in blocks like
+    :func:`with_positions`.
+    """
+    started = _with_starts(_in_blocks(rows, group, [F.col(c) for c in order]), group, F.sum(value))
+    inside = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return started.withColumn(name, F.col("_start") + F.sum(value).over(inside)).drop("_block", "_start")

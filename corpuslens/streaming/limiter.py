@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,16 +19,18 @@ def stream_rate_limiter(requests: DataFrame, limit: int, window_us: int) -> Data
     """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        # The rows of one key in one micro-batch, which the trigger bounds.
+        last = np.array(state.get[0] if state.exists else [], np.int64)
+        # The rows of one key in one micro-batch, which the source's trigger options bound.
         rows = pd.concat(batches).sort_values(["t", "id"])
-        times = []
-        for t in rows["t"]:
-            at = max(int(t), last[0] + window_us) if len(last) == limit else int(t)
-            last = [*last, at][-limit:]
-            times.append(at)
-        state.update((last,))
-        yield rows.assign(admit=times)[["key", "id", "t", "admit"]]
+        # A request waits for the one ``limit`` places before it: in a table of ``limit``
+        # columns that is the one above, and a running maximum down the columns.
+        place = np.arange(len(last) + len(rows))
+        steps = place // limit * window_us
+        table = np.full((-(-len(place) // limit), limit), np.iinfo(np.int64).min, np.int64)
+        table.flat[: len(place)] = np.concatenate([last, rows["t"].to_numpy(np.int64)]) - steps
+        times = np.maximum.accumulate(table, axis=0).flat[: len(place)] + steps
+        state.update((times[-limit:].tolist(),))
+        yield rows.assign(admit=times[len(last) :])[["key", "id", "t", "admit"]]
 
     key_type = requests.schema["key"].dataType.simpleString()
     return requests.groupBy("key").applyInPandasWithState(

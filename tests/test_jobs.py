@@ -41,7 +41,7 @@ def test_admission_equals_a_queue(spark, span):
             sent.append(at)
             want[i] = at
     log = spark.createDataFrame(rows, "key string, id bigint, t bigint")
-    got = {r.id: r.admit for r in A.admission_schedule(log, 7, 60, slice_us=500).collect()}
+    got = {r.id: r.admit for r in A.admission_schedule(log, 7, 60).collect()}
     assert got == want
 
 
