@@ -384,13 +384,18 @@ def test_edits_keep_the_counts(spark):
     some = lambda n: "".join(rng.choice(parts) for _ in range(n))
     for _ in range(500):
         text = some(rng.choice([0, 3, 300]))
-        tree = token_counts.TokenTree.of([(len(m.group()), own.tokens(m.group())) for m in own.split(text)])
+        tree = own.tree(text)
         for _ in range(5):
             at, cut, put = rng.randint(0, len(text)), rng.choice([0, 1, 40]), some(rng.choice([0, 1, 90]))
             want = text[:at] + put + text[at + cut :]
             text, tree, fresh = tree.edit(text, at, cut, put, own)
             assert text == want and tree.total == len(quick.encode_ordinary(text))
-            assert [c for leaf in tree.leaves for c, _ in leaf] == [len(m.group()) for m in own.split(text)]
+            assert tree.piece_chars.tolist() == [len(m.group()) for m in own.split(text)]
+            assert tree.piece_tokens.tolist() == [len(quick.encode_ordinary(m.group())) for m in own.split(text)]
+            ends = tree.sizes.cumsum().tolist()
+            for heap, values in ((tree.chars, tree.piece_chars), (tree.tokens, tree.piece_tokens)):
+                assert all(heap[tree.base + i] == values[e - n : e].sum() for i, (e, n) in enumerate(zip(ends, tree.sizes)))
+                assert all(heap[k] == heap[2 * k] + heap[2 * k + 1] for k in range(1, tree.base))
 
 
 def test_edits_as_a_table(spark):
