@@ -803,7 +803,8 @@ ARRIVAL_SQL = f"""with f as (select source as project, {I.FILE_PATH} as path, do
 
 @query(ARRIVAL_SQL)
 def stream_incremental_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two halves arrive; then all files again, a quarter of them changed."""
+    """Two halves arrive, the second within the cooldown of the first; it is reviewed
+    with the third drop, which holds the first half again. Then all files, a quarter of them changed."""
     files = I.run_sql(
         spark,
         sf_dir,
@@ -811,18 +812,19 @@ def stream_incremental_review(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast('2024-01-01' as timestamp) as mtime, doc_id from documents",
     )
     drops, folder, checkpoint = (scratch(spark, n) for n in ("drops", "reviews", "stream"))
-    options = B.ReviewOptions(per_minute=0, min_run_interval=0.0, concurrency=8)
+    options = B.ReviewOptions(per_minute=0, concurrency=8)
     changed = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("while(true)\n"))).otherwise(F.col("text"))
     arrivals = [
         files.filter(F.col("doc_id") % 2 == 0),
         files.filter(F.col("doc_id") % 2 == 1),
+        files.filter(F.col("doc_id") % 2 == 0),
         files.withColumn("text", changed),
     ]
-    clock = iter(range(1, 1000))
+    clock = iter([1000.0, 1060.0, 1200.0, 1400.0])
     for arrival in arrivals:
         arrival.drop("doc_id").write.mode("append").parquet(drops)
         stream = spark.readStream.schema(arrival.drop("doc_id").schema).parquet(drops)
-        SI.stream_incremental_review(stream, folder, checkpoint, options, lambda: float(next(clock))).awaitTermination()
+        SI.stream_incremental_review(stream, folder, checkpoint, options, lambda: next(clock)).awaitTermination()
     latest = C.dedupe_last(K.read_review_snapshot(spark, folder), KEYS, "run_ts")
     return latest.select(
         *KEYS, "ai_status", "file_hash",

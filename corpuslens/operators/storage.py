@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +20,30 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="corpuslens-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_open_stages: ContextVar[list[str] | None] = ContextVar("open_stages", default=None)
+
+
+@contextmanager
+def stages_dropped(spark: SparkSession) -> Iterator[None]:
+    """Stages written inside are removed at its end; no frame that reads them may be handed out."""
+    folders: list[str] = []
+    before = _open_stages.set(folders)
+    try:
+        yield
+    finally:
+        _open_stages.reset(before)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, so that every reader sees the same ones.
 
@@ -29,6 +51,9 @@ def materialised(df: DataFrame) -> DataFrame:
     only the columns they need, and Catalyst knows the real size.
     """
     folder = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    stages = _open_stages.get()
+    if stages is not None:
+        stages.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from corpuslens.operators.review import (
     offline_reviewer,
     review_or_explain,
 )
-from corpuslens.operators.storage import join_few, materialised
+from corpuslens.operators.storage import join_few, materialised, stages_dropped
 from corpuslens.sources.files import read_text, scan_code_files
 from corpuslens.sources.sinks import (
     load_run_state,
@@ -66,6 +67,7 @@ def review_run(
     now: float,
     options: ReviewOptions | None = None,
     manifest: DataFrame | None = None,
+    context: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One incremental run over ``files``; its results are stored under ``folder``.
 
@@ -74,8 +76,24 @@ def review_run(
     is stored before the first call, and only where there is work to do. What an
     earlier try of the same run id has stored is not looked at, so trying again
     gives the same results. ``manifest`` may list files that are gone.
+    ``context`` makes the structure rows that reviewers see of the ones of these
+    files. The steps' own tables are removed at the end.
     """
-    options = options or ReviewOptions()
+    spark = files.sparkSession
+    with stages_dropped(spark):
+        _run(files, folder, run_id, now, options or ReviewOptions(), manifest, context or (lambda rows: rows))
+    return read_review_snapshot(spark, folder).filter(F.col("run_id") == run_id)
+
+
+def _run(
+    files: DataFrame,
+    folder: str,
+    run_id: str,
+    now: float,
+    options: ReviewOptions,
+    manifest: DataFrame | None,
+    context: Callable[[DataFrame], DataFrame],
+) -> None:
     spark = files.sparkSession
     # Several steps need the parsed files; they are parsed once.
     analysis = materialised(analyze(files))
@@ -103,14 +121,13 @@ def review_run(
         retry=options.retry,
         concurrency=options.concurrency,
         per_minute=options.per_minute,
-        snapshot=materialised(project_snapshot(analysis)),
+        snapshot=materialised(project_snapshot(context(analysis))),
     )
     if started:
         began = decided.filter(F.col("action") == "pending").select("project").distinct()
         save_run_state(began.withColumn("started_at", F.lit(now)), f"{folder}/state", run_id)
     results = I.merge_results(I.settled_results(decided, ["project"]), reviewed)
     write_review_snapshot(results, folder, run_id, options.model, F.timestamp_seconds(F.lit(now)))
-    return read_review_snapshot(spark, folder).filter(F.col("run_id") == run_id)
 
 
 def report_totals(results: DataFrame) -> DataFrame:
