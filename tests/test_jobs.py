@@ -3,6 +3,7 @@
 import json
 import random
 from collections import Counter, deque
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import sinks as K
 from corpuslens.sources.files import read_text
+from corpuslens.streaming import incremental as SI
 
 
 def log_rows(seed, count, span, keys=("hot", "hot", "hot", "a", "b")):
@@ -76,6 +78,27 @@ def test_cooldown_gate_is_greedy(spark, span, interval):
     assert len(got) == len(rows) and {r.id for r in got if r.accepted} == want
 
 
+def test_cooldown_tables_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(A, "TABLES_PER_BLOCK", 2)
+    monkeypatch.setattr(A, "INTERVALS_PER_SLICE", 3)
+    test_cooldown_gate_is_greedy(spark, 5000, 7)
+    test_cooldown_gate_is_greedy(spark, 100_000, 11)
+
+
+def test_bursts_of_one_key(spark):
+    """300,000 requests of one key inside one window, and a null key and time."""
+    burst = spark.range(300_000).selectExpr("'hot' as key", "id", "id div 2 as t")
+    odd = spark.createDataFrame([(None, -1, 5), (None, -2, 5), ("hot", -3, None)], "key string, id bigint, t bigint")
+    got = A.rate_window_count(burst.unionByName(odd), 1_000_000)
+    wrong = F.when(F.col("id") >= 0, ~F.col("in_window").eqNullSafe(2 * F.col("t") + 2)).otherwise(
+        ~F.col("in_window").eqNullSafe(F.when(F.col("key").isNull(), 2))
+    )
+    assert got.count() == 300_003 and got.filter(wrong).count() == 0
+    sent = A.admission_schedule(burst, 1000, 1_000_000)
+    late = F.col("admit") != F.floor(F.col("id") / 1000) * 1_000_000 + F.floor(F.pmod("id", F.lit(1000)) / 2)
+    assert sent.filter(late).count() == 0
+
+
 def test_positions_of_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("mono" if i % 3 else f"p{i % 7}", f"d{rng.randint(0, 9)}/f{i}.c") for i in range(3000)]
@@ -220,6 +243,33 @@ def test_changed_bytes_are_reviewed_and_unreadable_files_are_errors(spark, tmp_p
     assert changed["a.c"][0] == "generated" and len(changed["a.c"][1]) == 1 and changed["gone.c"][0] == "error"
 
 
+def test_waiting_files_come_again_in_a_stream(spark, tmp_path):
+    """The second file comes within the cooldown and is reviewed with the third batch."""
+    drops, folder, seen = str(tmp_path / "drops"), str(tmp_path / "out"), []
+    schema = "project string, path string, text string, parse_error string, mtime timestamp"
+    clock = iter([1000.0, 1060.0, 1200.0])
+    for name in ("a.c", "b.c", "a.c"):
+        rows = spark.createDataFrame([("p", name, f"#include <{name}>\n", "", None)], schema)
+        rows.write.mode("append").parquet(drops)
+        stream = spark.readStream.schema(schema).parquet(drops)
+        options = B.ReviewOptions(factory=context_reader, per_minute=0)
+        SI.stream_incremental_review(stream, folder, str(tmp_path / "state"), options, lambda: next(clock)).awaitTermination()
+        last = f"batch-{len(seen):010d}"
+        stored = K.read_review_snapshot(spark, folder).filter(F.col("run_id") == last)
+        seen.append({r.path: (r.ai_status, r.ai_analysis) for r in stored.collect()})
+    assert [{p: status for p, (status, _) in batch.items()} for batch in seen] == [
+        {"a.c": "generated"}, {"b.c": "skipped"}, {"a.c": "cached", "b.c": "generated"}
+    ]
+    assert seen[2]["b.c"][1].startswith("2 True")
+
+
+def test_steps_leave_no_tables(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in shared.glob("stage-*")}
+    done = B.review_run(source_rows(spark, ("p", "a.c", "int x;")), str(tmp_path), "one", 1000.0, B.ReviewOptions(per_minute=0))
+    assert done.count() == 1 and {p.name for p in shared.glob("stage-*")} == before
+
+
 def test_no_run_start_without_a_reviewer(spark, tmp_path):
     def none():
         raise RuntimeError("no key")
