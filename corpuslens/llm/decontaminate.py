@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman as proof.
+"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman as proof.
 
 Every passage of a document around an n-gram that a test item has is cut out.
-Over all documents it is counted how often each of those n-grams occurs; of
-every few neighbouring n-grams of an item the rarest is a seed. Passages are
-joined to items over seeds, and each such pair is aligned word by word.
+Passages are joined to items over all n-grams that they share, and each such
+pair is aligned word by word.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from corpuslens.llm.common import lowered, unused, word_list
 from corpuslens.operators.storage import materialised
 
 GRAM = 5
-NEAR = 4  # of so many n-grams that begin next to each other, the rarest is a seed
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.6  # of the score that the whole item against itself has
 BLOCK_WORDS = 2_000_000  # of test items that every task is sent at once, about 100 MB as n-grams
@@ -124,14 +122,13 @@ def align(words: list[str], item: list[str]) -> int:
     return best
 
 
-def seeds(items: DataFrame, counts: DataFrame, gram: int = GRAM, near: int = NEAR) -> DataFrame:
-    """``item_id``, ``gram``: of any ``near`` neighbouring n-grams of an item, the rarest that occurs."""
-    placed = items.select("item_id", F.posexplode(_grams(F.col("words"), gram)).alias("at", "gram"))
-    counted = placed.join(counts, "gram")
-    # In each window of neighbours the least count wins; ties go to the hash, alike in every item.
-    rank = F.struct("n", F.xxhash64("gram").alias("h"), "gram")
-    windows = counted.select("item_id", F.explode(F.sequence(F.col("at") - near + 1, F.col("at"))).alias("w"), rank.alias("r"))
-    return windows.groupBy("item_id", "w").agg(F.min("r").alias("r")).select("item_id", "r.gram").distinct()
+def seeds(items: DataFrame, gram: int = GRAM) -> DataFrame:
+    """``item_id``, ``gram``: every n-gram of every item, once.
+
+    All are seeds: a passage that shares any of them with an item is aligned to
+    it, whatever other documents hold.
+    """
+    return items.select("item_id", F.explode(_grams(F.col("words"), gram)).alias("gram")).distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, least: float = LEAST_SCORE) -> DataFrame:
@@ -145,8 +142,7 @@ def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, least: float = LE
     """
     tests = materialised(item_words(items))
     stored = materialised(passages(docs, tests, gram).withColumn("id", F.monotonically_increasing_id()))
-    counts = stored.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    chosen = materialised(seeds(tests, counts, gram))
+    chosen = materialised(seeds(tests, gram))
     # Only numbers are joined over the seeds; a frequent seed is a side that Spark can split.
     pairs = stored.select("id", F.explode("grams").alias("gram")).join(chosen, "gram").select("id", "item_id").distinct()
     few = tests.agg(F.sum(F.size("words"))).first()[0] or 0

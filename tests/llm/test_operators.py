@@ -253,6 +253,15 @@ def test_leaks_found_whole_and_edited(spark):
     assert decontaminate.leaks(docs, tests.limit(0)).collect() == []
 
 
+def test_an_edited_copy_is_found_beside_a_verbatim_one(spark):
+    item = [f"t{i}" for i in range(40)]
+    edited = ["other" if i in (2, 9, 16, 23, 30, 37) else w for i, w in enumerate(item)]
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = docs_of(spark, [(0, " ".join(item)), (1, "so " + " ".join(edited) + " then"), (2, prose(random.Random(11), 90))])
+    got = {r.doc_id: r.score for r in decontaminate.leaks(docs, tests).collect()}
+    assert got == {0: 1.0, 1: 0.775}
+
+
 # --- packing -------------------------------------------------------------------
 
 
