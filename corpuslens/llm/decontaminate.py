@@ -1,28 +1,30 @@
-"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman as proof.
+"""Benchmark decontamination: a count of shared word pairs that no leak can miss, Smith-Waterman as proof.
 
-Every passage of a document around an n-gram that a test item has is cut out.
-Passages are joined to items over all n-grams that they share, and each such
-pair is aligned word by word.
+An alignment that reaches the least score holds many word pairs of the item
+within few words (see ``bounds``). Tasks hold the items, look for stretches of
+documents with so many, and align each of them to the item word by word.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.arrays import pinned
 from corpuslens.llm.common import lowered, unused, word_list
 from corpuslens.operators.storage import materialised
 
-GRAM = 5
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.6  # of the score that the whole item against itself has
-BLOCK_WORDS = 2_000_000  # of test items that every task is sent at once, about 100 MB as n-grams
+BLOCK_WORDS = 2_000_000  # of test items that every task is sent at once, about 200 MB with their index
+CHUNK = 1 << 16  # words whose pairs are looked up at once
+SIEVE = 1 << 21  # bits of the hash that most pairs fail
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -31,136 +33,219 @@ def item_words(items: DataFrame) -> DataFrame:
     return pinned(items.select("item_id", "text"), words=words).where(F.size("words") > 0).select("item_id", "words")
 
 
-def _grams(words: Column, gram: int) -> Column:
-    """The n-grams of a word list; a shorter list is one n-gram."""
-    last = F.greatest(F.size(words) - gram, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, gram), " "))
+def bounds(n: int, least: float) -> tuple[int, int, int]:
+    """What an alignment of at least ``least`` to an item of ``n`` words holds: word pairs, words, and its span.
 
+    With m matches and e words that miss or are skipped, 2m - e is at least the
+    score S = 2n * least, and m is at most n. The matches are at most e + 1 runs,
+    so that at least m - e - 1 >= S - n - 1 neighbouring pairs match. At least
+    S / 2 words match, and the stretch has at most m + e <= 3n - S words.
+    """
+    score = max(1, math.ceil(MATCH * n * least - 1e-9))
+    return score - n - 1, -(-score // 2), 3 * n - score
+
+
+class Index:
+    """Items by their word pairs, or by words where no pair has to match: five words or fewer at 0.6."""
+
+    def __init__(self, items: list[list[str]], least: float) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.items = [
+            np.array([self.ids.setdefault(w.encode("utf-8", "surrogatepass"), len(self.ids)) for w in words], np.int64)
+            for words in items
+        ]
+        limits = [bounds(len(words), least) for words in self.items]
+        self.words_least = np.array([x[1] for x in limits], np.int64)
+        self.score_least = np.array([x[0] for x in limits], np.int64) + [len(words) + 1 for words in self.items]
+        self.span = np.array([x[2] for x in limits], np.int64)
+        self.tables = {}
+        for size in (2, 1):
+            held = [k for k, x in enumerate(limits) if (x[0] >= 1) == (size == 2)]
+            if not held:
+                continue
+            codes = [np.unique(self.codes(self.items[k], size)) for k in held]
+            owner = np.repeat(np.array(held, np.int64), [len(c) for c in codes])
+            flat = np.concatenate(codes)
+            order = np.argsort(flat, kind="stable")
+            keys, first, times = np.unique(flat[order], return_index=True, return_counts=True)
+            sieve = np.zeros(SIEVE, bool)
+            sieve[self.hashed(keys)] = True
+            need = np.array([x[0] if size == 2 else x[1] for x in limits], np.int64)
+            self.tables[size] = (keys, first, times, owner[order], sieve, need)
+
+    def codes(self, words: np.ndarray, size: int) -> np.ndarray:
+        """A number for each word or pair; negative where a word is in no item."""
+        if size == 1:
+            return words
+        a, b = words[:-1], words[1:]
+        return np.where((a < 0) | (b < 0), -1, a * len(self.ids) + b)
+
+    @staticmethod
+    def hashed(codes: np.ndarray) -> np.ndarray:
+        return (codes ^ (codes >> 17)) & (SIEVE - 1)
+
+    def stretches(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Document, item, from, to: stretches of ``words`` that an alignment can lie in; documents begin at ``starts``.
+
+        Stretches of an item that touch are one. A chunk reaches over its end by
+        the longest span, so that no window of hits is parted.
+        """
+        ends = np.append(starts[1:], len(words))
+        found = []
+        over = int(self.span.max(initial=0))
+        for size, (keys, first, times, owners, sieve, need) in self.tables.items():
+            for begin in range(0, len(words), CHUNK):
+                codes = self.codes(words[begin : begin + CHUNK + over + 1], size)
+                at = np.flatnonzero(codes >= 0)
+                at = at[sieve[self.hashed(codes[at])]]
+                key = np.minimum(np.searchsorted(keys, codes[at]), len(keys) - 1)
+                hit = keys[key] == codes[at]
+                at, key = at[hit] + begin, key[hit]
+                doc = np.searchsorted(starts, at, "right") - 1
+                if size == 2:  # of two words in two documents there is no pair
+                    inside = at + 1 < ends[doc]
+                    at, key, doc = at[inside], key[inside], doc[inside]
+                if not len(at):
+                    continue
+                n = times[key]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                item = owners[np.repeat(first[key], n) + step]
+                at, doc = np.repeat(at, n), np.repeat(doc, n)
+                order = np.lexsort((at, item, doc))
+                at, item, doc = at[order], item[order], doc[order]
+                last = np.arange(len(at)) + need[item] - 1
+                fits = last < len(at)
+                last = np.minimum(last, len(at) - 1)
+                fits &= (item[last] == item) & (doc[last] == doc) & (at[last] - at + size <= self.span[item])
+                if fits.any():
+                    low = np.maximum(at[last] + size - self.span[item], starts[doc])
+                    high = np.minimum(at + self.span[item], ends[doc])
+                    found.append(np.stack([doc, item, low, high], 1)[fits])
+        if not found:
+            return
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        now = None
+        for row in rows.tolist():
+            if now is not None and row[:2] == now[:2] and row[2] <= now[3]:
+                now[3] = max(now[3], row[3])
+            else:
+                if now is not None:
+                    yield tuple(now)
+                now = row
+        yield tuple(now)
+
+    def score(self, words: np.ndarray, k: int) -> float:
+        """The alignment's share of the item's own score; 0 where no span holds enough of the item's words and pairs."""
+        item, span = self.items[k], int(self.span[k])
+        known, single = _shared(words, item)
+        # A pair begins at each word but the last.
+        joined, double = _shared(np.append(self.codes(words, 2), -1), self.codes(item, 2))
+        near = lambda flags: (s := np.append(0, np.cumsum(flags)))[min(span, len(words)) :] - s[: max(1, len(s) - span)]
+        matched, pairs = np.minimum(near(known), single), np.minimum(near(joined), double)
+        # As in bounds: m matches of a score S hold S - m - 1 pairs at least.
+        if not ((matched >= self.words_least[k]) & (matched + pairs >= self.score_least[k] - 1)).any():
+            return 0.0
+        return _align(words, item) / (MATCH * len(item))
+
+
+def _shared(codes: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which codes the item has; how many can be matched, as each of the item's can be once."""
+    keys, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(keys, codes), max(0, len(keys) - 1))
+    known = (keys[at] == codes) & (codes >= 0) if len(keys) else np.zeros(len(codes), bool)
+    return known, int(np.minimum(np.bincount(at[known], minlength=len(keys)), times).sum())
+
+
+def _align(a: np.ndarray, item: np.ndarray) -> int:
+    row, best = np.zeros(len(a) + 1, np.int64), 0
+    steps = np.arange(len(a) + 1) * GAP
+    for word in item:
+        same = np.where(a == word, MATCH, MISS)
+        fresh = np.zeros_like(row)
+        fresh[1:] = np.maximum(np.maximum(row[:-1] + same, row[1:] + GAP), 0)
+        # A gap in the item costs the same at each step: the best start so far, less the way.
+        row = np.maximum.accumulate(fresh - steps) + steps
+        best = max(best, int(row.max(initial=0)))
+    return best
+
+
+def align(words: list[str], item: list[str]) -> int:
+    """Smith-Waterman: the best score of a stretch of ``words`` against one of ``item``."""
+    numbers: dict[str, int] = {}
+    a = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    return _align(a, np.array([numbers.get(w, -1) for w in item], np.int64))
 
-def passages(docs: DataFrame, items: DataFrame, gram: int = GRAM) -> DataFrame:
-    """Stretches of documents around the items' n-grams: ``doc_id``, ``part``, ``words``, ``grams``.
 
-    The items' n-grams are sent to every task, in blocks of a set size: a table
-    of items of any size is so many passes. A stretch reaches as far to both
-    sides of an n-gram as the longest item of the block, and stretches that
-    touch are one.
+def matches(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``doc_id``, ``number``, ``score`` for items ``number``, ``words``: every stretch that reaches ``least``.
+
+    The items are sent to every task, in blocks of a set size: a table of items
+    of any size is so many passes.
     """
-    sized = items.select("item_id", F.size("words").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
     found = None
     for block in range(blocks):
-        rows = dealt.where(F.col("block") == block).select("words").collect()
-        one = _passages(docs.select("doc_id", "text"), [r[0] for r in rows], gram, kind, block)
+        rows = dealt.where(F.col("block") == block).select("number", "words").collect()
+        one = _matches(docs.select("doc_id", "text"), [r[0] for r in rows], [r[1] for r in rows], least)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _passages(docs: DataFrame, items: list[list[str]], gram: int, kind: str, block: int) -> DataFrame:
-    reach = max(map(len, items), default=0)
-    short = {len(w) for w in items if len(w) < gram}
-    known = {tuple(w[i : i + gram]) for w in items for i in range(max(1, len(w) - gram + 1))}
-    sent = docs.sparkSession.sparkContext.broadcast((known, sorted(short | {gram})))
-
-    def stretches(words: list[str]) -> Iterator[tuple[list[str], list[str]]]:
-        grams, sizes = sent.value
-        if not any(not grams.isdisjoint(zip(*[words[k:] for k in range(n)])) for n in sizes):
-            return
-        hits = sorted({i for n in sizes for i, g in enumerate(zip(*[words[k:] for k in range(n)])) if g in grams})
-        start = end = None
-        spans = []
-        for i in hits:
-            low, high = max(0, i - reach), min(len(words), i + gram + reach)
-            if end is not None and low <= end:
-                end = high
-            else:
-                if end is not None:
-                    spans.append((start, end))
-                start, end = low, high
-        spans.append((start, end))
-        for low, high in spans:
-            part = words[low:high]
-            yield part, sorted({" ".join(g) for n in sizes for g in zip(*[part[k:] for k in range(n)]) if g in grams})
+def _matches(docs: DataFrame, numbers: list[int], items: list[list[str]], least: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((numbers, Index(items, least)))
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, index = sent.value
         for frame in frames:
-            ids, parts, words, grams = [], [], [], []
-            for at, text in enumerate(frame.column("text")):
+            listed, sizes = [], []
+            for text in frame.column("text").cast(pa.binary()):
                 # Of bytes, only A-Z are lower-cased and only the six ASCII gaps part words.
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                tokens = b" ".join(data.split()).decode("utf-8", "surrogatepass").split(" ") if data.strip() else []
-                for number, (part, found) in enumerate(stretches(tokens)):
-                    ids.append(at)
-                    parts.append(number)
-                    words.append(part)
-                    grams.append(found)
+                tokens = (text.as_py() or b"").lower().split()
+                listed.append(np.fromiter(map(index.ids.get, tokens, repeat(-1)), np.int64, len(tokens)))
+                sizes.append(len(tokens))
+            words = np.concatenate([*listed, np.zeros(0, np.int64)])
+            # Documents without words have no place among the starts.
+            place = np.flatnonzero(sizes)
+            starts = (np.cumsum(sizes) - sizes)[place]
+            ids, found, scores = [], [], []
+            for doc, item, low, high in index.stretches(words, starts):
+                score = index.score(words[low:high], item)
+                if score >= least:
+                    ids.append(place[doc])
+                    found.append(numbers[item])
+                    scores.append(score)
             if ids:
-                texts = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [frame.column("doc_id").take(pa.array(ids)), pa.array([f"{block}/{p}" for p in parts]), pa.array(words, texts), pa.array(grams, texts)],
-                    names=["doc_id", "part", "words", "grams"],
+                    [frame.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(found, pa.int64()), pa.array(scores, pa.float64())],
+                    names=["doc_id", "number", "score"],
                 )
 
-    return docs.mapInArrow(batches, f"doc_id {kind}, part string, words array<string>, grams array<string>")
-
-
-def align(words: list[str], item: list[str]) -> int:
-    """Smith-Waterman: the best score of a stretch of ``words`` against one of ``item``."""
-    numbers: dict[str, int] = {}
-    a = np.array([numbers.setdefault(w, len(numbers)) for w in words])
-    row, best = np.zeros(len(a) + 1, np.int64), 0
-    steps = np.arange(len(a) + 1) * GAP
-    for word in item:
-        same = np.where(a == numbers.get(word, -1), MATCH, MISS)
-        fresh = np.zeros_like(row)
-        fresh[1:] = np.maximum(np.maximum(row[:-1] + same, row[1:] + GAP), 0)
-        # A gap in the item costs the same at each step: the best start so far, less the way.
-        row = np.maximum.accumulate(fresh - steps) + steps
-        best = max(best, int(row.max(initial=0)))
-    return best
-
-
-def seeds(items: DataFrame, gram: int = GRAM) -> DataFrame:
-    """``item_id``, ``gram``: every n-gram of every item, once.
-
-    All are seeds: a passage that shares any of them with an item is aligned to
-    it, whatever other documents hold.
-    """
-    return items.select("item_id", F.explode(_grams(F.col("words"), gram)).alias("gram")).distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(batches, f"doc_id {kind}, number long, score double")
 
 
-def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, least: float = LEAST_SCORE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Pairs ``doc_id``, ``item_id``, ``score``: the item is in the document, whole or edited.
 
     ``docs`` needs ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``;
     other columns are not read. Words are lower-cased (A-Z). ``score`` is the
-    alignment's share of the item's own score. Null and empty texts leak
-    nothing. Repeated rows give one pair, with the largest score. Empty tables
-    give an empty result.
+    best alignment's share of the item's own score; every pair that reaches
+    ``least`` is found. Null and empty texts leak nothing. Repeated rows give
+    one pair, with the largest score. Empty tables give an empty result.
     """
-    tests = materialised(item_words(items))
-    stored = materialised(passages(docs, tests, gram).withColumn("id", F.monotonically_increasing_id()))
-    chosen = materialised(seeds(tests, gram))
-    # Only numbers are joined over the seeds; a frequent seed is a side that Spark can split.
-    pairs = stored.select("id", F.explode("grams").alias("gram")).join(chosen, "gram").select("id", "item_id").distinct()
-    few = tests.agg(F.sum(F.size("words"))).first()[0] or 0
-    side = F.broadcast(tests) if few <= BLOCK_WORDS else tests
-    full = pairs.join(stored.select("id", "doc_id", "words"), "id").join(side.withColumnRenamed("words", "item"), "item_id")
-
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            score = [align(list(w), list(i)) / (MATCH * len(i)) for w, i in zip(frame["words"], frame["item"])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "item_id": frame["item_id"], "score": score})
-
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double"
-    rows = full.select("doc_id", "item_id", "words", "item").mapInPandas(scored, kinds)
-    return rows.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    tests = materialised(item_words(items).withColumn("number", F.monotonically_increasing_id()))
+    found = matches(docs, tests, least)
+    few = tests.count() <= BLOCK_WORDS
+    names = tests.select("number", "item_id")
+    rows = found.join(F.broadcast(names) if few else names, "number")
+    return rows.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, gram: int = GRAM, least: float = LEAST_SCORE) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` that no item leaks into, with their own columns."""
     (side,) = unused(docs, "_leaked")
-    found = materialised(leaks(docs, items, gram, least).select(F.col("doc_id").alias(side)).distinct())
+    found = materialised(leaks(docs, items, least).select(F.col("doc_id").alias(side)).distinct())
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(side)), "left_anti")

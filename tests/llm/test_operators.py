@@ -262,6 +262,41 @@ def test_an_edited_copy_is_found_beside_a_verbatim_one(spark):
     assert got == {0: 1.0, 1: 0.775}
 
 
+def test_copies_with_an_edit_every_few_words_are_found(spark):
+    item = [f"t{i}" for i in range(40)]
+    swapped = lambda n: ["other" if i % n == n - 1 else w for i, w in enumerate(item)]
+    fed = [x for i, w in enumerate(item) for x in ([w, "other"] if i % 2 else [w])]
+    short = "b0 other b1 other b2 other b3 other b4".split()
+    tests = spark.createDataFrame([(1, " ".join(item)), (2, "b0 b1 b2 b3 b4")], "item_id long, text string")
+    texts = [" ".join(x) for x in (swapped(5), swapped(4), fed, short, swapped(3), swapped(2))]
+    docs = docs_of(spark, list(enumerate(f"so {x} then" for x in texts)))
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, tests).collect()}
+    assert {k: round(v, 4) for k, v in got.items()} == {(0, 1): 0.7125, (1, 1): 0.6375, (2, 1): 0.7625, (3, 2): 0.6}
+
+
+def test_stretches_miss_no_alignment(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(60):
+        word = lambda kinds=rng.choice([6, 40, 400]): f"w{rng.randrange(kinds)}"
+        items = [[word() for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 20, 40]))] for _ in range(5)]
+        docs = []
+        for _ in range(5):
+            words = [word() for _ in range(rng.randrange(1, 30))]
+            for w in rng.choice(items) * rng.randrange(3):
+                words += rng.choice([[w], [w], [w], [], ["other"], [w, word()]])
+            docs.append(words)
+        for least in (0.3, 0.6, 0.75):
+            monkeypatch.setattr(decontaminate, "CHUNK", rng.choice([7, 50, 1 << 16]))
+            index = decontaminate.Index(items, least)
+            words = np.array([index.ids.get(w.encode(), -1) for d in docs for w in d])
+            starts = np.cumsum([0, *map(len, docs)])[:-1]
+            got = {}
+            for d, i, low, high in index.stretches(words, starts):
+                got[d, i] = max(got.get((d, i), 0), index.score(words[low:high], i))
+            want = {(d, i): decontaminate.align(a, b) / (2 * len(b)) for d, a in enumerate(docs) for i, b in enumerate(items)}
+            assert {k: v for k, v in got.items() if v >= least} == {k: v for k, v in want.items() if v >= least}
+
+
 # --- packing -------------------------------------------------------------------
 
 
