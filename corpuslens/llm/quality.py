@@ -25,7 +25,7 @@ UNIT = 1024
 SHARE = 0.75  # of the rows that a concentration step keeps
 STEPS = 3
 CUTOFF = 0.99999  # chi-square share beyond which a row is rejected
-LEAST_ROWS = 60  # a smaller group of language and source is judged with its language
+LEAST_ROWS = 60  # a smaller group of language and source is judged with its language, a smaller language with all rows
 CELL = 32  # of the 1/1024ths, for the first medians
 FINE = 16  # histogram cells in a doubling of the squared distance
 GROUPS_SENT = 20_000  # of this many estimates, about 600 bytes each, a copy goes to every task
@@ -217,8 +217,9 @@ def assess(counted: DataFrame) -> DataFrame:
 
     Rows that failed the plain limits take no part. A language and source with
     fewer than 60 rows is judged by the estimate of its language, and a language
-    with fewer than 60 rows is not judged. Returns ``lang``, ``source``,
-    ``centre``, ``inverse``, ``scale``; nulls are values of their own.
+    with fewer than 60 rows by the estimate of all rows, however few those are.
+    Returns ``lang``, ``source``, ``centre``, ``inverse``, ``scale``; nulls are
+    values of their own.
     """
     rows = counted.where(~F.col("base_failed")).select("lang", "source", "v")
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?"))
@@ -227,12 +228,12 @@ def assess(counted: DataFrame) -> DataFrame:
     grp = (
         F.when(F.col("n") >= LEAST_ROWS, F.concat_ws("\n", F.lit("s"), name("lang"), name("source")))
         .when(F.col("n_lang") >= LEAST_ROWS, F.concat_ws("\n", F.lit("l"), name("lang")))
+        .otherwise(F.lit("a"))
     )
     by_lang = by_lang.select(F.col("lang").alias("of"), "n_lang")
     keyed = materialised(
         sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("of")))
         .select("lang", "source", grp.alias("grp"))
-        .where("grp is not null")
     )
     few = keyed.count() <= GROUPS_SENT
     k = (F.broadcast(keyed) if few else keyed).alias("k")
@@ -240,9 +241,10 @@ def assess(counted: DataFrame) -> DataFrame:
         k, F.col("r.lang").eqNullSafe(F.col("k.lang")) & F.col("r.source").eqNullSafe(F.col("k.source"))
     )
     own = r.select("k.grp", "r.v")
-    # The estimate of a language rests on all of its rows, not only those of its small sources.
-    langs = keyed.where(F.col("grp").startswith("l")).select("grp").distinct()
-    whole = rows.select(F.concat_ws("\n", F.lit("l"), name("lang")).alias("grp"), "v").join(F.broadcast(langs) if few else langs, "grp")
+    # The estimate of a language rests on all of its rows, not only those of its small sources; the last on all rows.
+    levels = keyed.where(~F.col("grp").startswith("s")).select("grp").distinct()
+    wider = F.explode(F.array(F.concat_ws("\n", F.lit("l"), name("lang")), F.lit("a")))
+    whole = rows.select(wider.alias("grp"), "v").join(F.broadcast(levels) if few else levels, "grp")
     found, _ = estimates(materialised(own.where(F.col("grp").startswith("s")).unionByName(whole)))
     return keyed.join(found, "grp").select("lang", "source", "centre", "inverse", "scale")
 

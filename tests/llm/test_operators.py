@@ -126,6 +126,22 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert not any(rows[i] for i, _ in odd)
 
 
+def test_quality_judges_languages_with_few_rows(spark):
+    rng = random.Random(13)
+    clean = [(i, prose(rng, rng.randint(30, 400)) + ".") for i in range(300)]
+    rare = [(1000 + i, prose(rng, rng.randint(30, 400)) + ".") for i in range(20)]
+    odd = [(2000 + i, " ".join(rng.choice(WORDS) + "$%%" for _ in range(200))) for i in range(4)]
+    docs = docs_of(spark, clean).union(docs_of(spark, rare[:10] + odd[:2], lang="xx")).union(docs_of(spark, rare[10:] + odd[2:], lang=None))
+    rows = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert not any(rows[i] for i, _ in odd)
+    assert sum(not rows[i] for i, _ in clean + rare) <= 3
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {i for i, k in rows.items() if k}
+    # A small table as a whole is judged by its own rows.
+    few = {r.doc_id: r.kept for r in quality.quality(docs_of(spark, rare + odd[:2])).collect()}
+    assert not any(few[i] for i, _ in odd[:2]) and sum(not few[i] for i, _ in rare) <= 1
+
+
 def test_inverse_and_distance(spark):
     rng = np.random.default_rng(4)
     p = len(quality.DIMS)
