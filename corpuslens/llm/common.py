@@ -25,6 +25,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Steps:
+    """Tables that one job writes to the shared storage, each removed once nothing reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, scratch(spark, name), {}
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows as a table; a second one of the same name takes the place of the first."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                remove_folder(self.spark, self.paths.pop(name))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

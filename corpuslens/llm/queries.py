@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontaminate, line_dedup, packing, quality, secrets, simhash, token_counts, url_filter, warc
+from corpuslens.llm import block_names, chat, decontaminate, line_dedup, packing, quality, secrets, simhash, token_counts, url_filter, warc
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad), "page_id").select("url", "bad")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(pages, rules, outcomes).drop("low")
+
+
+@query(
+    """
+    with bodies as (select doc_id, coalesce(text, '') as body from documents)
+    select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+        doc_id = max(doc_id) over same as kept, sha256(body) as text_sha256
+    from bodies window same as (partition by body)
+    """
+)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return block_names.exact_duplicates(docs.withColumn("text_sha256", digest)).drop("identity")
