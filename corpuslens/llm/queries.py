@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import block_names, chat, decontaminate, line_dedup, packing, quality, secrets, simhash, token_counts, url_filter, warc
+from corpuslens.llm import block_names, chat, decontaminate, hard_negatives, line_dedup, packing, quality, secrets, simhash, token_counts, url_filter, warc
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,32 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return block_names.exact_duplicates(docs.withColumn("text_sha256", digest)).drop("identity")
+
+
+@query(
+    """
+    with rows as (
+        select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as tag,
+            list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+        from embeddings
+        where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+        select a.id as anchor_id, b.id, a.tag = b.tag as same,
+            cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+        from rows a join rows b on a.id % 100 = 0 and a.id <> b.id),
+    positives as (
+        select anchor_id, id as positive_id, score as positive_score from scored where same
+        qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+    select anchor_id, positive_id,
+        cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as integer) as rank,
+        id as negative_id, positive_score, score as negative_score
+    from positives join scored using (anchor_id)
+    where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+    qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 5
+    """
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
