@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import block_names, chat, decontaminate, hard_negatives, line_dedup, packing, quality, secrets, simhash, token_counts, url_filter, warc
+from corpuslens.llm import block_names, centroid_clusters, chat, decontaminate, hard_negatives, line_dedup, packing, quality, secrets, simhash, token_counts, url_filter, warc
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,53 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(docs.withColumn("text_sha256", digest)).drop("identity")
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10, dims: int = 64, factor: int = 1024) -> str:
+    """Rounds of clustering, each a pair of queries: nearest centroid, then floors of the means."""
+    steps = [
+        f"""
+        vectors as materialized (
+            select vec_id, unnest(list_transform(embedding, lambda x: cast(floor({factor} * cast(x as double)) as bigint))) as x,
+                generate_subscripts(embedding, 1) as dim
+            from embeddings where embedding is not null and len(embedding) = {dims}
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        starts as materialized (
+            select vec_id, row_number() over (order by sha256('3:' || vec_id)) - 1 as cluster
+            from (select distinct vec_id from vectors) qualify cluster < {k}),
+        c0 as materialized (select cluster, dim, x as c from vectors join starts using (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        far{r} as (
+            select vec_id, cluster, sum((x - c) * (x - c)) as distance
+            from vectors join c{r} using (dim) group by vec_id, cluster),
+        a{r} as materialized (
+            select vec_id, cluster, distance from far{r}
+            qualify row_number() over (partition by vec_id order by distance, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+            m{r} as (
+                select cluster, dim, sum(x) as s, count(*) as n
+                from vectors join a{r} using (vec_id) group by cluster, dim),
+            c{r + 1} as materialized (
+                select cluster, dim, coalesce((s - ((s % n) + n) % n) // n, c) as c
+                from c{r} left join m{r} using (cluster, dim))""")
+    return f"""
+    with {", ".join(steps)},
+    named as (select cluster, sha256(string_agg(cast(c as varchar), ',' order by dim)) as centroid_sha256 from c{rounds} group by cluster)
+    select vec_id, cast(cluster as integer) as cluster, cast(distance as bigint) as distance,
+        cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+        cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+    from a{rounds} join named using (cluster)
+    """
+
+
+@query(_clusters_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    assigned, centers, _ = centroid_clusters.cluster_vectors(rows)
+    return centroid_clusters.with_inertia(assigned, centers)
+
+
 @query(
     """
     with rows as (
