@@ -6,6 +6,7 @@ join only the rows that are left to review.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,7 +87,7 @@ def missing_files(manifest: DataFrame, files: DataFrame, keys: list[str]) -> Dat
 def decide_action(
     manifest: DataFrame,
     facts: DataFrame,
-    previous: DataFrame,
+    previous: DataFrame | Callable[[DataFrame], DataFrame],
     keys: list[str],
     cooldown: Column,
     report_mtime: Column,
@@ -94,10 +95,12 @@ def decide_action(
     """Per manifest entry: ``error``, ``cached``, ``skipped`` or ``pending``.
 
     ``facts`` holds one row per existing file with ``file_hash``,
-    ``rule_based_issues`` and ``mtime``; ``previous`` one row per key.
+    ``rule_based_issues`` and ``mtime``; ``previous`` one row per key, or a function
+    that adds to files what :func:`join_previous` adds.
     """
     here = facts.select(*keys, F.lit(True).alias("exists"), "file_hash", "rule_based_issues", "mtime")
-    joined = join_previous(manifest.join(here, keys, "left"), previous, keys)
+    rows = manifest.join(here, keys, "left")
+    joined = previous(rows) if callable(previous) else join_previous(rows, previous, keys)
     reuse = can_reuse(
         F.col("prev_found"),
         F.col("prev_status"),

@@ -23,6 +23,7 @@ from pyspark.sql.types import NumericType
 from corpuslens.functions import limits as L
 from corpuslens.operators.analysis import document_start
 from corpuslens.operators.incremental import UNAVAILABLE, unavailable_results
+from corpuslens.sources.answers import AnswerFolder, AnswerLog
 
 Reviewer = Callable[[Mapping[str, Any]], str]
 ReviewerFactory = Callable[[], Reviewer]
@@ -117,6 +118,9 @@ def offline_reviewer() -> Reviewer:
     return review
 
 
+offline_reviewer.local = True
+
+
 def is_available(factory: ReviewerFactory) -> str | None:
     """None when a reviewer can be made, else the reason."""
     try:
@@ -190,6 +194,7 @@ def review_files(
     per_minute: int = 0,
     clock: Callable[[], Clock] = Clock,
     snapshot: DataFrame | None = None,
+    answers: AnswerFolder | None = None,
 ) -> DataFrame:
     """Calls the reviewer for every pending row; failures come back as rows.
 
@@ -200,15 +205,34 @@ def review_files(
     reviewer, made when first needed. A limit per minute is split among the
     tasks, so it holds for the whole job without talk between them; every
     attempt takes a slot. A task that is run again first lets a window pass.
+
+    With ``answers`` (then ``pending`` needs ``project`` and ``file_hash``) every
+    answer is kept there before the next call is made, and a task that is run again
+    takes what its earlier attempts have kept (0 attempts, no call times).
+    Speculative copies would ask twice, so they are refused.
+
+    A factory with the attribute ``local`` makes reviewers that need no limit: its
+    rows stay in the tasks they are in, unless documents or answers are asked for.
     """
+    if answers is not None and pending.sparkSession.conf.get("spark.speculation", "false") == "true":
+        raise ValueError("Speculative tasks would ask the reviewer twice: set spark.speculation to false")
     tasks = max(1, min(concurrency, per_minute) if per_minute > 0 else concurrency)
     named = ["project"] if snapshot is not None else []
+    named += ["project", "file_hash"] if answers is not None else []
     kept = pending.select(*dict.fromkeys([*keep, *named, "path", "request", "rule_based_issues"]))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
 
     with_documents = snapshot is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log = answers.open(TaskContext.get().partitionId()) if answers is not None else None
+        try:
+            yield from ask(batches, log)
+        finally:
+            if log:
+                log.flush()
+
+    def ask(batches: Iterator[pd.DataFrame], log: AnswerLog | None) -> Iterator[pd.DataFrame]:
         context, own_clock, reviewer, document = TaskContext.get(), clock(), None, ProjectDocument()
         quota = None
         if per_minute > 0:
@@ -216,7 +240,7 @@ def review_files(
             if context.attemptNumber() > 0:
                 own_clock.sleep(quota.window)
         for batch in batches:
-            answers, rows = [], batch.to_dict("records")
+            said, rows = [], batch.to_dict("records")
             if with_documents:
                 batch = batch[batch["_piece"].isna()]
             for row in rows:
@@ -226,25 +250,37 @@ def review_files(
                         continue
                     row["context"] = document.of(row["project"])
                     row["request"] = row["request"].replace(REQUEST_START, REQUEST_START + row["context"], 1)
+                if log and (kept_answer := log.known(row)) is not None:
+                    said.append(("generated", kept_answer, 0, None, None))
+                    continue
                 calls: list[float] = []
                 while True:
                     try:
                         calls.append(quota.wait() if quota else own_clock.now())
                         reviewer = reviewer or factory()
-                        answers.append(("generated", reviewer(row) or "", len(calls), calls[0], calls[-1]))
+                        said.append(("generated", reviewer(row) or "", len(calls), calls[0], calls[-1]))
                         break
                     except Exception as error:  # noqa: BLE001
                         reason = str(error)
                         if len(calls) >= retry.attempts or not L.retryable(reason):
-                            answers.append(("error", UNAVAILABLE + reason, len(calls), calls[0], calls[-1]))
+                            said.append(("error", UNAVAILABLE + reason, len(calls), calls[0], calls[-1]))
                             break
                         own_clock.sleep(retry.pause(len(calls)))
+                if log and said[-1][0] == "generated":
+                    log.keep(row, said[-1][1])
             columns = ["ai_status", "ai_analysis", "attempts", "first_call", "last_call"]
-            answered = pd.DataFrame(answers, columns=columns, index=batch.index)
-            if answers:
+            answered = pd.DataFrame(said, columns=columns, index=batch.index)
+            if said:
                 yield pd.concat([batch[keep], answered], axis=1)
 
-    dealt = attach_context(kept, snapshot, tasks) if with_documents else kept.repartition(tasks)
+    if with_documents:
+        dealt = attach_context(kept, snapshot, tasks)
+    elif answers is not None:
+        dealt = kept.repartitionById(tasks, F.pmod(F.xxhash64("project", "path"), F.lit(tasks)).cast("int"))
+    elif getattr(factory, "local", False) and per_minute <= 0:
+        dealt = kept
+    else:
+        dealt = kept.repartition(tasks)
     return dealt.mapInPandas(run, f"{schema}, {ANSWER}")
 
 

@@ -12,19 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _at(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: a bare path is on the default file system, for Python tasks too."""
+    files, path = _at(spark, folder)
+    return files.makeQualified(path).toString()
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _at(spark, folder)
+    files.delete(path, True)
+
+
+def children(spark: SparkSession, folder: str, holding: str | None = None) -> list[str]:
+    """Names in a folder, sorted; none where there is no folder. With ``holding`` only folders that hold such a file."""
+    files, path = _at(spark, folder)
+    if not files.exists(path):
+        return []
+    names = sorted(status.getPath().getName() for status in files.listStatus(path))
+    return [n for n in names if holding is None or files.exists(_at(spark, f"{folder}/{n}/{holding}")[1])]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder, with its scheme; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return qualified(spark, folder)
     current = spark.sparkContext.getCheckpointDir()
     if current:
-        return current
+        return qualified(spark, current)
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="corpuslens-")
     spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return qualified(spark, folder)
 
 
 _open_stages: ContextVar[list[str] | None] = ContextVar("open_stages", default=None)
@@ -40,8 +65,7 @@ def stages_dropped(spark: SparkSession) -> Iterator[None]:
     finally:
         _open_stages.reset(before)
         for folder in folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(spark, folder)
 
 
 def materialised(df: DataFrame) -> DataFrame:

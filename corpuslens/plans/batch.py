@@ -19,9 +19,12 @@ from corpuslens.operators.review import (
     offline_reviewer,
     review_or_explain,
 )
-from corpuslens.operators.storage import join_few, materialised, stages_dropped
+from corpuslens.operators.storage import BROADCAST_ROWS, join_few, materialised, qualified, stages_dropped
+from corpuslens.sources.answers import AnswerFolder, forget_answers, load_answers
 from corpuslens.sources.files import read_text, scan_code_files
+from corpuslens.sources.latest import LatestResults
 from corpuslens.sources.sinks import (
+    finished_runs,
     load_run_state,
     read_review_snapshot,
     save_run_state,
@@ -44,6 +47,7 @@ class ReviewOptions:
     retry: RetryPolicy = field(default_factory=RetryPolicy)
     per_minute: int = L.MAX_REQUESTS_PER_MINUTE
     concurrency: int = L.MAX_CONCURRENT_REQUESTS
+    answers_per_piece: int = 1
     min_run_interval: float = L.MIN_RUN_INTERVAL_SECONDS
 
 
@@ -73,16 +77,54 @@ def review_run(
 
     Files whose earlier answer still holds are taken over. The rest are
     reviewed, unless the project's last run is too recent. A project's run start
-    is stored before the first call, and only where there is work to do. What an
-    earlier try of the same run id has stored is not looked at, so trying again
-    gives the same results. ``manifest`` may list files that are gone.
-    ``context`` makes the structure rows that reviewers see of the ones of these
-    files. The steps' own tables are removed at the end.
+    is stored before the first call, and only where there is work to do.
+    ``manifest`` may list files that are gone. ``context`` makes the structure rows
+    that reviewers see of the ones of these files. The steps' own tables are removed
+    at the end.
+
+    Every answer is kept as soon as it is there, so a run that was killed asks
+    nothing twice when it is tried again, under its own id or the next one: what it
+    finds kept counts as generated, whatever the cooldown. A run id that is finished
+    is not run again; its stored results are returned. What earlier runs said is
+    looked up in the table of latest results, and texts are read for files taken
+    over only.
     """
     spark = files.sparkSession
-    with stages_dropped(spark):
-        _run(files, folder, run_id, now, options or ReviewOptions(), manifest, context or (lambda rows: rows))
-    return read_review_snapshot(spark, folder).filter(F.col("run_id") == run_id)
+    folder = qualified(spark, folder)
+    if run_id not in finished_runs(spark, folder):
+        with stages_dropped(spark):
+            latest = LatestResults(spark, folder)
+            try:
+                catch_up(latest, folder)
+                _run(files, folder, run_id, now, options or ReviewOptions(), manifest, context or (lambda rows: rows), latest)
+                catch_up(latest, folder)
+            finally:
+                latest.close()
+    return read_review_snapshot(spark, folder, [run_id])
+
+
+def catch_up(latest: LatestResults, folder: str) -> None:
+    """Adds finished runs that the table of latest results does not hold yet."""
+    spark, known = latest.spark, latest.run_ids()
+    for run_id in finished_runs(spark, folder):
+        if run_id not in known:
+            latest.add(read_review_snapshot(spark, folder, [run_id]), run_id)
+
+
+def reused_texts(decided: DataFrame, folder: str) -> DataFrame:
+    """Files taken over with their answer texts, out of the runs that hold them and no others.
+
+    The narrow side is broadcast when it is small and hashed otherwise; texts are not sorted.
+    """
+    spark = decided.sparkSession
+    reused = decided.filter(F.col("action") == "cached").drop("prev_analysis")
+    # As many as there are runs.
+    runs = [r["prev_run"] for r in reused.select("prev_run").distinct().collect()]
+    texts = read_review_snapshot(spark, folder, runs).select(
+        *KEYS, F.col("run_id").alias("prev_run"), F.col("ai_analysis").alias("prev_analysis")
+    )
+    few = F.broadcast(reused) if reused.count() <= BROADCAST_ROWS else reused.hint("shuffle_hash")
+    return texts.join(few, [*KEYS, "prev_run"]).select(*decided.columns)
 
 
 def _run(
@@ -93,15 +135,14 @@ def _run(
     options: ReviewOptions,
     manifest: DataFrame | None,
     context: Callable[[DataFrame], DataFrame],
+    latest: LatestResults,
 ) -> None:
-    spark = files.sparkSession
+    spark, local = files.sparkSession, getattr(options.factory, "local", False)
     # Several steps need the parsed files; they are parsed once.
     analysis = materialised(analyze(files))
     manifest = (files if manifest is None else manifest).select(*KEYS)
     # A file that cannot be read counts as missing: it is neither taken over nor reviewed as empty.
     facts = I.file_facts(files.filter(F.col("text").isNotNull()).select(*KEYS, "text", "mtime"))
-    stored = read_review_snapshot(spark, folder).filter(F.col("run_id") != run_id)
-    previous = I.dedupe_last(stored, KEYS, ["run_ts", "run_id"])
     starts = load_run_state(spark, f"{folder}/state", besides=run_id)
     left = L.cooldown_remaining(
         F.lit(now), F.col("last_started_at"), F.lit(float(options.min_run_interval))
@@ -109,10 +150,16 @@ def _run(
     waits = starts.withColumn("_left", left).select("project", "_left")
     gated = join_few(manifest, waits, ["project"], "left")
     decided = I.decide_action(
-        gated, facts, previous, KEYS, F.coalesce("_left", F.lit(0.0)), F.lit(None).cast("timestamp")
+        gated, facts, latest.join, KEYS, F.coalesce("_left", F.lit(0.0)), F.lit(None).cast("timestamp")
+    )
+    answers = materialised(load_answers(spark, folder, options.model))
+    asked = F.col("action").isin("pending", "skipped")
+    known = answers.select(*KEYS, "file_hash", F.lit(True).alias("_known"))
+    decided = join_few(decided, known, [*KEYS, "file_hash"], "left").withColumn(
+        "action", F.when(asked & F.col("_known").isNotNull(), "answered").otherwise(F.col("action"))
     )
     # Later steps read the decisions several times; the reviewer must see them once.
-    decided = materialised(decided.drop("_left"))
+    decided = materialised(decided.drop("_left", "_known"))
     requests = pending_requests(decided, files, analysis)
     reviewed, started = review_or_explain(
         requests,
@@ -121,13 +168,25 @@ def _run(
         retry=options.retry,
         concurrency=options.concurrency,
         per_minute=options.per_minute,
-        snapshot=materialised(project_snapshot(context(analysis))),
+        # A local reviewer costs nothing to ask again and answers out of the file alone.
+        snapshot=None if local else materialised(project_snapshot(context(analysis))),
+        answers=None if local else AnswerFolder(folder, run_id, options.model, options.answers_per_piece),
     )
     if started:
         began = decided.filter(F.col("action") == "pending").select("project").distinct()
         save_run_state(began.withColumn("started_at", F.lit(now)), f"{folder}/state", run_id)
-    results = I.merge_results(I.settled_results(decided, ["project"]), reviewed)
+    taken_up = decided.filter(F.col("action") == "answered").join(answers, [*KEYS, "file_hash"])
+    results = I.merge_results(
+        I.settled_results(decided.filter(~F.col("action").isin("cached", "answered")), ["project"]),
+        I.settled_results(reused_texts(decided, folder), ["project"]),
+        I.result_record(
+            taken_up, ["project"], F.col("rule_based_issues"), F.lit("generated"), F.col("ai_analysis"), F.col("file_hash")
+        ),
+        reviewed,
+    )
     write_review_snapshot(results, folder, run_id, options.model, F.timestamp_seconds(F.lit(now)))
+    if not answers.isEmpty() or not local:
+        forget_answers(spark, folder, run_id, decided)
 
 
 def report_totals(results: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,14 +11,19 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import utc_stamp
 from corpuslens.operators.analysis import document_start, file_record
 from corpuslens.operators.incremental import status_counts
+from corpuslens.operators.storage import children
 from corpuslens.schemas import REVIEW_SNAPSHOT, RUN_STATE
 
 
 def write_analysis_json(analysis: DataFrame, path: str) -> None:
-    """One object per file and line, with fixed keys, in a folder per project."""
-    analysis.select("project", F.to_json(file_record()).alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy("project").text(path)
+    """One object per file and line, with fixed keys, in a folder per project.
+
+    Rows are first ranged by project and path: a task writes the few projects of
+    its range, and a large project is shared by several tasks.
+    """
+    records = analysis.select("project", "path", F.to_json(file_record()).alias("value"))
+    ranged = records.repartitionByRange("project", "path").select("project", "value")
+    ranged.write.mode("overwrite").partitionBy("project").text(path)
 
 
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
@@ -32,9 +39,11 @@ def write_review_snapshot(
 ) -> None:
     """Results of one run, then the run's header row that makes them visible.
 
-    Writing the same run id again replaces its rows, so a repeated run leaves
-    nothing twice.
+    Without a header, what an earlier try has left under the run id is replaced. A
+    run that has its header is finished and is not written again.
     """
+    if run_id in finished_runs(results.sparkSession, folder):
+        raise ValueError(f"Run {run_id} is finished")
     rows = (
         results.withColumn("model", F.lit(model))
         .withColumn("run_ts", run_ts)
@@ -52,6 +61,11 @@ def write_review_snapshot(
     header.write.mode("overwrite").parquet(f"{folder}/runs/run_id={run_id}")
 
 
+def finished_runs(spark: SparkSession, folder: str) -> list[str]:
+    """Ids of the runs whose header is written, in order."""
+    return [unquote(name.partition("=")[2]) for name in children(spark, f"{folder}/runs", holding="_SUCCESS")]
+
+
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(
         "project string, model string, generated_at_utc string, "
@@ -59,17 +73,15 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     ).parquet(f"{folder}/runs")
 
 
-def read_review_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of finished runs only."""
-    try:
-        rows = spark.read.schema(REVIEW_SNAPSHOT).parquet(f"{folder}/results")
-        finished = read_runs(spark, folder).select("run_id").distinct()
-    except AnalysisException:
+def read_review_snapshot(spark: SparkSession, folder: str, runs: list[str] | None = None) -> DataFrame:
+    """Rows of finished runs, or of those named; the folders of other runs are not read."""
+    finished = finished_runs(spark, folder)
+    chosen = finished if runs is None else [r for r in finished if r in set(runs)]
+    if not chosen:
         return spark.createDataFrame([], REVIEW_SNAPSHOT)
-    # One row per run; the run id is a folder, so unfinished runs are not read.
-    return rows.join(finished, "run_id", "left_semi").select(
-        *[field.split()[0] for field in REVIEW_SNAPSHOT.split(", ")]
-    )
+    rows = spark.read.schema(REVIEW_SNAPSHOT).parquet(f"{folder}/results")
+    # The run id is a folder, so unfinished runs are not read.
+    return rows.where(F.col("run_id").isin(chosen)).select(*[field.split()[0] for field in REVIEW_SNAPSHOT.split(", ")])
 
 
 def report_view(results: DataFrame) -> DataFrame:
@@ -86,9 +98,9 @@ def save_run_state(starts: DataFrame, folder: str, run_id: str) -> None:
 
 
 def load_run_state(spark: SparkSession, folder: str, besides: str = "") -> DataFrame:
-    """Last run start per project; no rows where nothing usable is stored."""
+    """Last run start per project; no rows where nothing usable is stored, corrupt files included."""
     try:
-        stored = spark.read.schema(RUN_STATE).parquet(folder)
+        stored = spark.read.schema(RUN_STATE).option("ignoreCorruptFiles", True).parquet(folder)
     except AnalysisException:
         stored = spark.createDataFrame([], RUN_STATE)
     return last_run_starts(stored.filter(F.col("run_id") != besides))
