@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions.arrays import pinned
 from corpuslens.functions.review_text import ERROR_PREFIX
 from corpuslens.operators.storage import children, remove_folder
 
@@ -114,7 +115,9 @@ class LatestResults:
 
     def join(self, files: DataFrame) -> DataFrame:
         """Adds ``prev_found``, ``prev_status``, ``prev_analysis`` (its start), ``prev_hash`` and ``prev_run`` to each file."""
-        names = []
+        names, columns = [], files.columns
+        # A project that Catalyst knows to be constant would leave the join, and with it the buckets.
+        files = pinned(files, project=F.col("project"))
         for i, segment in enumerate(self.segments):
             names.append(f"_newest{i}")
             rows = self._table(segment).select(
@@ -126,7 +129,7 @@ class LatestResults:
         else:
             newest = F.greatest(*names) if len(names) > 1 else F.col(names[0])
         return files.withColumn("_newest", newest).select(
-            *[c for c in files.columns if c not in names],
+            *columns,
             F.col("_newest").isNotNull().alias("prev_found"),
             F.col("_newest.ai_status").alias("prev_status"),
             F.col("_newest.ai_analysis").alias("prev_analysis"),
