@@ -183,6 +183,16 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Some keys and times are null, and two rows share each id.
+ODD_REQUESTS = """select case when event_id % 5 = 0 then null else event_type end as key, event_id - event_id % 2 as id,
+  case when event_id % 97 = 0 then null else ts end as ts from events"""
+ODD_RUNS = ODD_REQUESTS.replace("event_type", "user_id")
+
+
+def odd_log(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
+    return run_sql(spark, sf_dir, f"select key, id, unix_micros(cast(ts as timestamp)) as t from ({rows}) r")
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(
         spark,

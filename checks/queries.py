@@ -31,7 +31,7 @@ from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import sinks as K
 from corpuslens.streaming import incremental as SI
-from corpuslens.streaming import limiter as SL
+from corpuslens.streaming import gates as SG
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -500,31 +500,48 @@ def clamped_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""select event_type as key, event_id as id, count(*) over (partition by event_type order by epoch_us(ts)
-  range between {HOUR_US - 1} preceding and current row) as in_window from events""")
+@query(f"""with l as (select key, id, epoch_us(ts) as t from ({I.ODD_REQUESTS}) r)
+  select coalesce(key, 'none') as key, id, case when t is not null then count(t) over (partition by key order by t
+    range between {HOUR_US - 1} preceding and current row) else -1 end as in_window from l""")
 def rate_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rate_window_count(I.request_log(spark, sf_dir), HOUR_US).select("key", "id", "in_window")
+    counted = A.rate_window_count(I.odd_log(spark, sf_dir, I.ODD_REQUESTS), HOUR_US)
+    return shown(counted, "none", "in_window")
 
 
-ADMIT_SQL = f"""with r as (select event_type as key, event_id as id, epoch_us(ts) as t,
-    row_number() over (partition by event_type order by epoch_us(ts), event_id) - 1 as rn from events),
+def shown(rows: DataFrame, key: str | int, value: str) -> DataFrame:
+    """Nulls as values of their own, which compare alike everywhere."""
+    return rows.select(F.coalesce("key", F.lit(key)).alias("key"), "id", F.coalesce(value, F.lit(-1)).alias(value))
+
+
+def admit_sql(rows: str) -> str:
+    return f"""with l as (select key, id, epoch_us(ts) as t from ({rows}) r),
+  r as (select *, row_number() over (partition by key order by t, id) - 1 as rn from l where t is not null),
   s as (select *, rn % 3 as c, rn // 3 as j from r)
-  select key, id, {HOUR_US} * j + max(t - {HOUR_US} * j) over (partition by key, c order by j) as admit from s"""
+  select coalesce(key, 'none') as key, id, {HOUR_US} * j + max(t - {HOUR_US} * j) over (partition by key, c order by j) as admit from s
+  union all select coalesce(key, 'none'), id, -1 from l where t is null"""
 
 
-@query(ADMIT_SQL)
+ADMIT_SQL = admit_sql("select event_type as key, event_id as id, ts from events")
+
+
+@query(admit_sql(I.ODD_REQUESTS))
 def admission_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.admission_schedule(I.request_log(spark, sf_dir), 3, HOUR_US).select("key", "id", "admit")
+    return shown(A.admission_schedule(I.odd_log(spark, sf_dir, I.ODD_REQUESTS), 3, HOUR_US), "none", "admit")
+
 
+def gate_sql(rows: str) -> str:
+    return f"""with recursive log as (select key, coalesce(key, -1) as k, id, epoch_us(ts) as t from ({rows}) r),
+  gate as (select k, min(t) as t from log where t is not null group by k
+    union all select g.k, (select min(l.t) from log l where l.k = g.k and l.t >= g.t + {DAY_US})
+    from gate g where exists (select 1 from log l where l.k = g.k and l.t >= g.t + {DAY_US}))
+  select l.k as key, l.id, g.t is not null and l.id = min(l.id) over (partition by l.k, l.t) as accepted
+  from log l left join gate g on l.k = g.k and l.t = g.t"""
 
-@query(f"""with recursive log as (select user_id as key, event_id as id, epoch_us(ts) as t from events),
-  gate as (select key, min(t) as t from log group by key
-    union all select g.key, (select min(l.t) from log l where l.key = g.key and l.t >= g.t + {DAY_US})
-    from gate g where exists (select 1 from log l where l.key = g.key and l.t >= g.t + {DAY_US}))
-  select l.key, l.id, g.t is not null and l.id = min(l.id) over (partition by l.key, l.t) as accepted
-  from log l left join gate g on l.key = g.key and l.t = g.t""")
+
+@query(gate_sql(I.ODD_RUNS))
 def cooldown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.cooldown_gate(I.run_log(spark, sf_dir), DAY_US).select("key", "id", "accepted")
+    gated = A.cooldown_gate(I.odd_log(spark, sf_dir, I.ODD_RUNS), DAY_US)
+    return gated.select(F.coalesce("key", F.lit(-1)).alias("key"), "id", "accepted")
 
 
 @query(Q.reviews("select doc_id, n, sha256(line) as line, fenced from fences"))
@@ -832,19 +849,30 @@ def stream_incremental_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(ADMIT_SQL)
-def stream_rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request log arrives in four spans of time."""
-    log = I.request_log(spark, sf_dir)
-    drops, out, checkpoint = (scratch(spark, n) for n in ("drops", "admitted", "stream"))
+def in_spans(spark: SparkSession, log: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream makes of a log that arrives in four spans of time, a file of it at a time."""
+    drops, out, checkpoint = (scratch(spark, n) for n in ("drops", "made", "stream"))
     week = F.least(F.floor((F.col("t") - 1_704_067_200_000_000) / (7 * DAY_US)), F.lit(3))
     for n in range(4):
-        log.filter(week == n).write.mode("append").parquet(drops)
-        stream = spark.readStream.schema(log.schema).parquet(drops)
-        SL.stream_rate_limiter(stream, 3, HOUR_US).writeStream.format("parquet").option("path", out).option(
-            "checkpointLocation", checkpoint
-        ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("key", "id", "admit")
+        log.filter(week == n).coalesce(1).write.mode("append").parquet(drops)
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(drops)
+        with SG.keyed_state(spark):
+            job(stream).writeStream.format("parquet").option("path", out).option(
+                "checkpointLocation", checkpoint
+            ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(ADMIT_SQL)
+def stream_rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = in_spans(spark, I.request_log(spark, sf_dir), lambda s: SG.stream_rate_limiter(s, 3, HOUR_US))
+    return made.select("key", "id", "admit")
+
+
+@query(gate_sql("select user_id as key, event_id as id, ts from events"))
+def cooldown_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = in_spans(spark, I.run_log(spark, sf_dir), lambda s: SG.stream_cooldown_gate(s, DAY_US))
+    return made.select("key", "id", "accepted")
 
 
 @query(Q.reviews("""select project, count(*) filter (where ai_status = 'generated') as "generated",

@@ -16,6 +16,17 @@ def sort_paths(files: DataFrame, path: str = "path") -> DataFrame:
     return files.orderBy(path_order(F.col(path)))
 
 
+# A group up to this size is one window in one task; larger ones are cut into blocks.
+GROUP_ROWS = 1_000_000
+
+
+def is_small(rows: DataFrame, keys: list[str]) -> bool:
+    """Whether no group has more than ``GROUP_ROWS`` rows: counts that combine before the shuffle."""
+    if not keys:
+        return False
+    return rows.groupBy(*keys).count().where(F.col("count") > GROUP_ROWS).isEmpty()
+
+
 def _in_blocks(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows range-partitioned by group and order and written once.
 
@@ -45,10 +56,14 @@ def with_positions(
 ) -> DataFrame:
     """Adds the 0-based place of each row within its group.
 
-    Block counts give each block its start; ranks inside a block are a small
-    window. Pass narrow rows: they are shuffled twice.
+    Where all groups are small a window numbers them. Else block counts give each
+    block its start, and ranks inside a block are a small window. Pass narrow rows:
+    they are read twice, and shuffled twice in blocks.
     """
     keys = list(group or [])
+    if is_small(rows, keys):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        return rows.withColumn(name, place.cast("bigint"))
     started = _with_starts(_in_blocks(rows, keys, order), keys, F.count("*"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     return started.withColumn(
@@ -59,9 +74,12 @@ def with_positions(
 def running_sum(rows: DataFrame, order: list[str], group: list[str], value: str, name: str = "total") -> DataFrame:
     """Adds the sum of ``value`` over a group's rows up to and with each row.
 
-    ``order`` must tell a group's rows apart. Works in blocks like
+    ``order`` must tell a group's rows apart. Works in windows or blocks like
     :func:`with_positions`.
     """
+    if is_small(rows, group):
+        upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(name, F.sum(value).over(upto))
     started = _with_starts(_in_blocks(rows, group, [F.col(c) for c in order]), group, F.sum(value))
     inside = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return started.withColumn(name, F.col("_start") + F.sum(value).over(inside)).drop("_block", "_start")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.paths import path_order
 from corpuslens.operators import admission as A
 from corpuslens.operators import analysis as N
+from corpuslens.operators import order as O
 from corpuslens.operators import review as V
 from corpuslens.operators.order import with_positions
 from corpuslens.plans import batch as B
@@ -19,6 +20,7 @@ from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import sinks as K
 from corpuslens.sources.files import read_text
+from corpuslens.streaming import gates as SG
 from corpuslens.streaming import incremental as SI
 
 
@@ -47,6 +49,95 @@ def test_admission_equals_a_queue(spark, span):
     assert got == want
 
 
+def test_busy_keys_go_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(O, "GROUP_ROWS", 100)
+    test_admission_equals_a_queue(spark, 2000)
+    test_window_counts(spark, 100)
+
+
+def test_null_keys_and_times(spark):
+    rows = [("a", 1, 0), (None, 2, 0), (None, 3, 1), ("a", 4, None), (None, 5, 30), ("a", 1, 0)]
+    log = spark.createDataFrame(rows, "key string, id bigint, t bigint")
+    sent = sorted(((r.key, r.id, r.t, r.admit) for r in A.admission_schedule(log, 1, 60).collect()), key=str)
+    assert sent == sorted([("a", 1, 0, 0), ("a", 1, 0, 60), ("a", 4, None, None), (None, 2, 0, 0), (None, 3, 1, 60), (None, 5, 30, 120)], key=str)
+    gate = A.cooldown_gate(log, 20).collect()
+    assert sorted((r.id, r.accepted) for r in gate) == [(1, True), (1, True), (2, True), (3, False), (4, False), (5, True)]
+    empty = log.limit(0)
+    assert A.admission_schedule(empty, 1, 60).count() == A.cooldown_gate(empty, 5).count() == A.rate_window_count(empty, 5).count() == 0
+
+
+def test_ids_that_come_at_several_instants(spark):
+    """Each row comes back once, with the verdict of its own instant."""
+    rows = [("k", 7, t) for t in (0, 5, 50, 52, 100, 149)]
+    log = spark.createDataFrame(rows, "key string, id bigint, t bigint")
+    assert sorted((r.t, r.accepted) for r in A.cooldown_gate(log, 50).collect()) == [
+        (0, True), (5, False), (50, True), (52, False), (100, True), (149, False)
+    ]
+
+
+def test_dense_keys_go_by_jumps(spark, monkeypatch):
+    monkeypatch.setattr(A, "DENSE_SLICE", 40)
+    test_cooldown_gate_is_greedy(spark, 5000, 7)
+    monkeypatch.setattr(O, "GROUP_ROWS", 500)
+    test_cooldown_gate_is_greedy(spark, 40, 7)
+
+
+def test_many_instants_of_one_key_in_one_slice(spark, monkeypatch):
+    """300,000 instants within fewer than 64 intervals, and no task that holds them all."""
+    monkeypatch.setattr(O, "GROUP_ROWS", 10_000)
+    log = spark.range(300_000).selectExpr("'hot' as key", "id", "id * 7 + id % 5 as t")
+    got = {r.t for r in A.cooldown_gate(log, 50_000).where("accepted").collect()}
+    times, want, last = [i * 7 + i % 5 for i in range(300_000)], set(), None
+    for t in times:
+        if last is None or t - last >= 50_000:
+            want.add(t)
+            last = t
+    assert got == want
+
+
+def replayed(spark, folder, drops, job):
+    """Rows that a stream makes of one drop after another, and its state rows after the last one."""
+    schema = "key string, id bigint, t bigint"
+    for n, rows in enumerate(drops):
+        made = spark.createDataFrame(rows, schema).coalesce(1)
+        made.write.mode("append").parquet(f"{folder}/drops")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drops")
+        with SG.keyed_state(spark):
+            query = job(stream).writeStream.format("parquet").option("path", f"{folder}/out").option(
+                "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    return {(r.key, r.id): r for r in spark.read.parquet(f"{folder}/out").collect()}, state
+
+
+def test_limiter_state_ends(spark, tmp_path):
+    minute = 60_000_000
+    drops = [
+        [("hot", i, minute + i) for i in range(200_000)],
+        [("hot", 200_000 + i, 10 * minute + i) for i in range(3)] + [(f"k{i}", 300_000 + i, 10 * minute) for i in range(20)],
+        [("last", 400_000, 10_000 * minute)],
+    ]
+    got, state = replayed(spark, str(tmp_path), drops, lambda s: SG.stream_rate_limiter(s, 1000, minute))
+    log = spark.createDataFrame([r for d in drops for r in d], "key string, id bigint, t bigint")
+    assert {k: r.admit for k, r in got.items()} == {(r.key, r.id): r.admit for r in A.admission_schedule(log, 1000, minute).collect()}
+    # The key of the last drop alone is left: its list and its timer.
+    assert max(state) >= 20 and state[-1] <= 4
+
+
+def test_gate_stream_and_late_runs(spark, tmp_path):
+    day = 86_400_000_000
+    drops = [
+        [("a", 1, day), ("a", 2, day + 5), ("b", 3, day)],
+        [("a", 4, 2 * day), ("a", 5, 2 * day - 1), ("b", 6, day + day // 2)],
+        # Both are behind what was accepted; the delay lets them through.
+        [("a", 7, 2 * day - 2), ("b", 8, 2 * day + 3)],
+        [("z", 9, 50 * day)],
+    ]
+    got, state = replayed(spark, str(tmp_path), drops, lambda s: SG.stream_cooldown_gate(s, day, delay="2 days"))
+    assert {r.id for r in got.values() if r.accepted} == {1, 3, 4, 8, 9} and len(got) == 9
+    assert state[-1] <= 4
+
+
 def test_long_runs_are_joined(spark, monkeypatch):
     monkeypatch.setattr(A, "RUN_LENGTH", 5)
     test_admission_equals_a_queue(spark, 2000)
@@ -85,8 +176,9 @@ def test_cooldown_tables_by_levels(spark, monkeypatch):
     test_cooldown_gate_is_greedy(spark, 100_000, 11)
 
 
-def test_bursts_of_one_key(spark):
+def test_bursts_of_one_key(spark, monkeypatch):
     """300,000 requests of one key inside one window, and a null key and time."""
+    monkeypatch.setattr(O, "GROUP_ROWS", 10_000)
     burst = spark.range(300_000).selectExpr("'hot' as key", "id", "id div 2 as t")
     odd = spark.createDataFrame([(None, -1, 5), (None, -2, 5), ("hot", -3, None)], "key string, id bigint, t bigint")
     got = A.rate_window_count(burst.unionByName(odd), 1_000_000)
@@ -99,7 +191,8 @@ def test_bursts_of_one_key(spark):
     assert sent.filter(late).count() == 0
 
 
-def test_positions_of_a_hot_group(spark):
+def test_positions_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(O, "GROUP_ROWS", 100)
     rng = random.Random(5)
     rows = [("mono" if i % 3 else f"p{i % 7}", f"d{rng.randint(0, 9)}/f{i}.c") for i in range(3000)]
     df = spark.createDataFrame(rows, "project string, path string")
