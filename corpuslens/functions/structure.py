@@ -168,16 +168,52 @@ def exclude_enum(heads: Column) -> Column:
     return F.filter(heads, lambda head: ~head["after_enum"])
 
 
-def open_positions(marks: Column) -> Column:
-    return F.transform(F.filter(marks, lambda m: m["mark"] == "{"), lambda m: m["pos"])
+def _entry(pos: Column, kind: int, close: Column, keyword: Column, name: Column) -> Column:
+    return F.struct(
+        pos.alias("open"), F.lit(kind).alias("kind"), close.alias("close"), keyword.alias("keyword"), name.alias("name")
+    )
 
 
-def closing_positions(pairs: Column) -> Column:
-    return F.map_from_entries(
-        F.transform(pairs, lambda p: F.struct(p["open"].alias("open"), p["close"].alias("close")))
+def heads_and_braces(heads: Column, marks: Column, pairs: Column) -> Column:
+    """Opening braces (0), the ones that close (1) and heads (2) in one order of position."""
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    opens = F.filter(marks, lambda m: m["mark"] == "{")
+    return F.array_sort(
+        F.concat(
+            F.transform(opens, lambda m: _entry(m["pos"], 0, number, text, text)),
+            F.transform(pairs, lambda p: _entry(p["open"], 1, p["close"], text, text)),
+            F.transform(heads, lambda h: _entry(h["open"], 2, number, h["keyword"], h["name"])),
+        )
     )
 
 
+PLACED = "struct<open:int,close:int,keyword:string,name:string,code:boolean>"
+
+
+def placed_heads(entries: Column) -> Column:
+    """Heads of :func:`heads_and_braces` with ``close`` and ``code``: whether their brace is code.
+
+    A head stands right behind its own brace, so one pass over the entries finds both.
+    """
+
+    def step(at: Column, entry: Column) -> Column:
+        seen = F.struct(entry["open"].alias("open"), entry["close"].alias("close"))
+        return F.when(entry["kind"] < 2, seen).otherwise(at)
+
+    def emit(at: Column, entry: Column) -> Column:
+        here = at["open"] == entry["open"]
+        return F.when(
+            entry["kind"] == 2,
+            F.struct(
+                entry["open"].alias("open"), F.when(here, at["close"]).alias("close"),
+                entry["keyword"].alias("keyword"), entry["name"].alias("name"), here.alias("code"),
+            ),
+        )
+
+    zero = F.struct(F.lit(-1).alias("open"), F.lit(None).cast("int").alias("close"))
+    return F.filter(running(entries, zero, step, emit, PLACED), lambda head: head.isNotNull())
+
+
 def _body(head: Column, close: Column) -> Column:
     return F.struct(
         head["open"].alias("open"),
@@ -187,23 +223,31 @@ def _body(head: Column, close: Column) -> Column:
     )
 
 
-def bodies_in_code(heads: Column, pairs: Column) -> Column:
-    """Heads whose brace is code, with the matching closing position."""
-    return let(
-        closing_positions(pairs),
-        lambda ends: F.filter(
-            F.transform(heads, lambda head: _body(head, F.try_element_at(ends, head["open"]))),
-            lambda body: body["close"].isNotNull(),
-        ),
-    )
+def closed_bodies(placed: Column) -> Column:
+    """Heads whose brace is code and closes."""
+    closed = F.filter(placed, lambda head: head["code"] & head["close"].isNotNull())
+    return F.transform(closed, lambda head: _body(head, head["close"]))
 
 
-def heads_in_literals(heads: Column, marks: Column) -> Column:
+def loose_heads(placed: Column) -> Column:
     """Heads inside a literal; their brace scan starts afresh at their own brace."""
-    return let(
-        open_positions(marks),
-        lambda opens: F.filter(heads, lambda head: ~F.array_contains(opens, head["open"])),
-    )
+    return F.filter(placed, lambda head: ~head["code"])
+
+
+def steps_from_first(stripped: Column, heads: Column) -> Column:
+    """The brace scan that the first of some loose heads starts.
+
+    A loose head whose brace is code in this scan would go on just like it, so all
+    of these share it. Most often that is every head of every literal.
+    """
+    start = F.get(heads, F.lit(0))["open"]
+    return brace_steps(F.coalesce(F.substring(stripped, start + 1, F.length(stripped)), F.lit("")))
+
+
+def shifted(marks: Column, heads: Column) -> Column:
+    """Marks of :func:`steps_from_first`, counted from the start of the text."""
+    start = F.get(heads, F.lit(0))["open"]
+    return F.transform(marks, lambda m: F.struct((m["pos"] + start).alias("pos"), m["mark"].alias("mark")))
 
 
 def restarted_steps(stripped: Column, heads: Column) -> Column:

@@ -42,18 +42,37 @@ def _heads_but_enums() -> Column:
     return S.exclude_enum(F.col("heads"))
 
 
-def _heads_in_literals() -> Column:
-    return S.heads_in_literals(F.col("heads"), F.col("marks"))
+def _entries() -> Column:
+    return S.heads_and_braces(F.col("heads"), F.col("marks"), F.col("pairs"))
+
+
+def _placed() -> Column:
+    return S.placed_heads(F.col("_entries"))
+
+
+def _closed() -> Column:
+    return S.closed_bodies(F.col("_placed"))
+
+
+def _loose() -> Column:
+    return S.loose_heads(F.col("_placed"))
+
+
+def _shared_steps() -> Column:
+    return S.steps_from_first(F.col("stripped"), F.col("heads"))
+
+
+def _shared_marks() -> Column:
+    return S.shifted(F.col("marks"), F.col("heads"))
 
 
 def _restarted_steps() -> Column:
-    return S.restarted_steps(F.col("stripped"), F.col("_loose"))
+    return S.restarted_steps(F.col("stripped"), F.col("heads"))
 
 
 def _bodies() -> Column:
-    in_code = S.bodies_in_code(F.col("heads"), F.col("pairs"))
-    in_literals = S.bodies_in_literals(F.col("_loose"), F.col("_steps"))
-    return F.array_sort(F.concat(in_code, in_literals))
+    left = S.bodies_in_literals(F.col("heads"), F.col("_steps"))
+    return F.array_sort(F.concat(F.col("_in_code"), F.col("_shared"), left))
 
 
 def _pieces() -> Column:
@@ -95,8 +114,12 @@ def with_bodies(files: DataFrame) -> DataFrame:
         marks=_marks,
         pairs=_pairs,
     )
-    bodies = pinned(placed, _loose=_heads_in_literals, _steps=_restarted_steps, bodies=_bodies)
-    return bodies.drop("_loose", "_steps", "marks", "pairs", "heads")
+    in_code = pinned(placed, _entries=_entries, _placed=_placed, _in_code=_closed, heads=_loose)
+    # Heads in literals: one scan for all that share it, then one for each that is left.
+    steps = pinned(in_code, _steps=_shared_steps, marks=_marks)
+    shared = pinned(steps, marks=_shared_marks, pairs=_pairs, _entries=_entries, _placed=_placed, _shared=_closed, heads=_loose)
+    bodies = pinned(shared, _steps=_restarted_steps, bodies=_bodies)
+    return bodies.drop("_in_code", "_shared", "_entries", "_placed", "_steps", "marks", "pairs", "heads")
 
 
 def with_traces(files: DataFrame) -> DataFrame:

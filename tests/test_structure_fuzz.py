@@ -126,3 +126,17 @@ def test_long_literals_and_many_braces(spark):
     }
     assert [c.name for c in got[0]] == ["T"] and len(got[0][0].public_methods) == 20_000
     assert [(c.name, c.public_methods) for c in got[1]] == [(f"S{i}", [f"void m{i}();"]) for i in range(1000)]
+
+
+def test_many_types_and_many_heads_in_literals(spark):
+    """Thousands in one file: bodies are found in one ordered pass, and heads in literals share their scans."""
+    types = "".join(f"struct T{i} {{ int a{i}(); }};\n" for i in range(3000))
+    heads = 'const char* s = "' + "".join(f"class H{i} {{ public: int a{i}(); }}; " for i in range(3000)) + '";\n'
+    # A quote inside a literal's type hides later heads from the shared scan.
+    mixed = "".join(f"const char* s{i} = \"struct L{i} {{ '; }} x\"; struct B{i} {{ void b(); }};\n" for i in range(20))
+    rows = spark.createDataFrame([(1, types), (2, heads), (3, mixed), (4, "struct A { struct B { int b(); }; ")], "id int, text string")
+    got = {r.id: r.classes for r in parse.with_structure(rows).select("id", "classes").collect()}
+    assert [c.name for c in got[1]] == [f"T{i}" for i in range(3000)] and got[1][7].public_methods == ["int a7();"]
+    assert [c.name for c in got[2]] == [f"H{i}" for i in range(3000)] and got[2][9].public_methods == ["int a9();"]
+    assert {f"B{i}" for i in range(20)} <= {c.name for c in got[3]}
+    assert [c.name for c in got[4]] == ["B"]
