@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks import sql as Q
+from checks.clock import CountingClock
 from corpuslens.functions import limits as L
 from corpuslens.functions import paths as P
 from corpuslens.functions import review_text as R
@@ -27,8 +28,10 @@ from corpuslens.operators import review as V
 from corpuslens.operators.order import with_positions
 from corpuslens.operators.storage import materialised, shared_folder
 from corpuslens.plans import batch as B
+from corpuslens.schemas import RUN_STATE
 from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
+from corpuslens.sources import latest as LT
 from corpuslens.sources import sinks as K
 from corpuslens.streaming import incremental as SI
 from corpuslens.streaming import gates as SG
@@ -131,23 +134,26 @@ def scan_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files as bytes; every eleventh has a byte that is no UTF-8."""
+    """The files as bytes; every eleventh has a byte that is no UTF-8, and some of the others cannot be read."""
     return source_files(spark, sf_dir).drop("parse_error").withColumn(
         "content",
-        F.expr("case when k % 11 = 0 then concat(cast(text as binary), x'FF') else cast(text as binary) end"),
+        F.expr("case when k % 11 = 0 then concat(cast(text as binary), x'FF') when k % 17 = 3 then null else cast(text as binary) end"),
     ).drop("text")
 
 
+BYTE_ERROR_SQL = f"case when k % 11 = 0 then '{FS.NOT_UTF8}' when k % 17 = 3 then '{FS.NOT_READ}' else '' end"
+
+
 # The bytes of a text, each read as one character.
 LATIN_SQL = """array_to_string(list_transform(regexp_extract_all(hex(content), '..'),
   lambda x: chr(cast('0x' || x as integer))), '')"""
 
 
-@query(f"""with {Q.FILES} select path, sha256(case when k % 11 = 0 then {LATIN_SQL} || chr(255) else content end) as digest,
-  case when k % 11 = 0 then '{FS.NOT_UTF8}' else '' end as parse_error from files""")
+@query(f"""with {Q.FILES} select path, case when k % 11 = 0 then sha256({LATIN_SQL} || chr(255))
+    when k % 17 = 3 then '' else sha256(content) end as digest, {BYTE_ERROR_SQL} as parse_error from files""")
 def read_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = FS.read_text(byte_files(spark, sf_dir))
-    return rows.select("path", F.sha2("text", 256).alias("digest"), "parse_error")
+    return rows.select("path", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"), "parse_error")
 
 
 CLASS_TEXT_SQL = """array_to_string(list_transform(classes,
@@ -231,8 +237,17 @@ def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["load_run_state"] = stored_runs
 SQL["load_run_state"] = RUN_STARTS_SQL
-QUERIES["save_run_state"] = stored_runs
-SQL["save_run_state"] = RUN_STARTS_SQL
+
+
+@query("select cast(user_id as varchar) as project, event_id % 3 as run, cast(floor(epoch_us(ts) / 1000000) as bigint) as started_at from events")
+def save_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three runs have stored, run by run."""
+    folder, starts = scratch(spark, "state"), run_starts(spark, sf_dir)
+    for run in range(3):
+        K.save_run_state(starts.filter(F.col("run") == run), folder, f"r{run}")
+    stored = spark.read.schema(RUN_STATE).parquet(folder)
+    run = big(F.substring("run_id", 2, 9)).alias("run")
+    return stored.select("project", run, big(F.floor("started_at")).alias("started_at"))
 
 
 # --- sinks -------------------------------------------------------------------
@@ -254,8 +269,17 @@ SNAPSHOT_SQL = f"""snapshot as (select project, count(*) as files,
   from (select *, {POSITION_SQL} as pos from analysis) group by project)"""
 
 
-@query(Q.upto("analysis", f", {SNAPSHOT_SQL} select project, files, document from snapshot"))
+@query(Q.upto("analysis", f"""select project, pos // {N.FILES_PER_PART} as part, min(pos) as first, count(*) as files,
+  sha256(string_agg(to_json({{'path': path, 'headers': headers, 'classes': classes, 'parse_error': parse_error}})::varchar,
+    ',' order by pos)) as digest
+  from (select *, {POSITION_SQL} as pos from analysis) group by 1, 2"""))
 def project_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = N.project_snapshot(analysis(spark, sf_dir))
+    return pieces.select("project", "part", "first", "files", F.sha2("records", 256).alias("digest"))
+
+
+@query(Q.upto("analysis", f", {SNAPSHOT_SQL} select project, files, document from snapshot"))
+def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.project_documents(N.project_snapshot(analysis(spark, sf_dir)))
 
 
@@ -295,9 +319,8 @@ def broken_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.analyze(FS.read_text(byte_files(spark, sf_dir)))
 
 
-BROKEN_SQL = f"""select project, path, case when k % 11 = 0 then '' else array_to_string(headers, ' | ') end as headers,
-  case when k % 11 = 0 then '' else {CLASS_TEXT_SQL} end as classes,
-  case when k % 11 = 0 then '{FS.NOT_UTF8}' else '' end as parse_error
+BROKEN_SQL = f"""select project, path, case when {BYTE_ERROR_SQL} = '{FS.NOT_READ}' then '' else array_to_string(headers, ' | ') end as headers,
+  case when {BYTE_ERROR_SQL} = '{FS.NOT_READ}' then '' else {CLASS_TEXT_SQL} end as classes, {BYTE_ERROR_SQL} as parse_error
   from analysis join (select project, path, k from files) using (project, path)"""
 
 
@@ -309,7 +332,7 @@ def row_error_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {Q.FILES} select project, path, 'parse' as stage,
-  'Failed to parse ' || path || ': {FS.NOT_UTF8}' as message from files where k % 11 = 0""")
+  'Failed to parse ' || path || ': ' || {BYTE_ERROR_SQL} as message from files where {BYTE_ERROR_SQL} <> ''""")
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.diagnostics(broken_analysis(spark, sf_dir))
 
@@ -380,6 +403,19 @@ def join_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("prev_found", F.coalesce("prev_found", F.lit(False)))
 
 
+@query(Q.decided("""select project, path, prev_status, left(prev_analysis, 7) as prev_start, prev_hash, 'r' || prev.pos % 5 as prev_run
+  from joined join prev using (project, path) where exists_here"""))
+def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five runs' results in the table of levels, asked for the files that are there."""
+    table = LT.LatestResults(spark, scratch(spark, "latest"), fan_out=2)
+    earlier = I.previous(spark, sf_dir).withColumn("run_ts", F.timestamp_seconds("pos"))
+    for run in range(5):
+        table.add(earlier.where(F.col("pos") % 5 == run).withColumn("run_id", F.lit(f"r{run}")), f"r{run}")
+    found = materialised(table.join(I.run_files(spark, sf_dir).select(*KEYS)))
+    table.close()
+    return found.where("prev_found").select(*KEYS, "prev_status", F.col("prev_analysis").alias("prev_start"), "prev_hash", "prev_run")
+
+
 @query(Q.decided("select project, path, pos from joined where not exists_here"))
 def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.missing_files(I.manifest(spark, sf_dir), I.run_files(spark, sf_dir), KEYS).select(*KEYS, "pos")
@@ -397,13 +433,29 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("pos")
 
 
-def digest_reviewer(field: str):
-    """A reviewer that answers with the SHA-256 of what it is given."""
+def digest_reviewer(whole: bool):
+    """A reviewer that answers with the SHA-256 of a project's document, or of whole requests.
+
+    It digests a document once for all requests that share it.
+    """
+
+    def factory():
+        held: list = [None, None]
+
+        def review(request):
+            document = request["context"]
+            if held[0] is not document:
+                held[:] = document, hashlib.sha256(V.REQUEST_START.encode() if whole else b"")
+                for piece in document:
+                    held[1].update(piece.encode())
+            digest = held[1].copy()
+            if whole:
+                digest.update(request["request"].removeprefix(V.REQUEST_START).encode())
+            return digest.hexdigest()
 
-    def review(request):
-        return hashlib.sha256(request[field].encode()).hexdigest()
+        return review
 
-    return lambda: review
+    return factory
 
 
 @query(Q.upto("analysis", f""", {SNAPSHOT_SQL} select path, sha256(document) as context
@@ -412,7 +464,7 @@ def attach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
     snapshot = materialised(N.project_snapshot(N.analyze(files)))
     rows = files.select(*KEYS, F.lit("").alias("request"), F.array().cast("array<string>").alias("rule_based_issues"))
-    seen = V.review_files(rows, digest_reviewer("context"), ["path"], concurrency=8, snapshot=snapshot)
+    seen = V.review_files(rows, digest_reviewer(whole=False), ["path"], concurrency=8, snapshot=snapshot)
     return seen.select("path", F.col("ai_analysis").alias("context"))
 
 
@@ -743,7 +795,7 @@ def build_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape.join(files.select(*KEYS, "text"), KEYS)
     requests = V.build_request(rows).withColumn("rule_based_issues", F.array().cast("array<string>"))
     snapshot = materialised(N.project_snapshot(shape))
-    seen = V.review_files(requests, digest_reviewer("request"), ["path"], concurrency=8, snapshot=snapshot)
+    seen = V.review_files(requests, digest_reviewer(whole=True), ["path"], concurrency=8, snapshot=snapshot)
     return seen.select("path", F.col("ai_analysis").alias("request"))
 
 
@@ -923,22 +975,18 @@ def retry_call(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("request"),
         F.array((F.col("id") % 4).cast("string"), F.col("message")).alias("rule_based_issues"),
     )
-    out = V.review_files(rows, fault_reviewer, ["path"], concurrency=8, clock=V.CountingClock)
+    out = V.review_files(rows, fault_reviewer, ["path"], concurrency=8, clock=CountingClock)
     return out.select("path", "ai_status", "ai_analysis", big(F.col("attempts")).alias("attempts"))
 
 
-@query("select count(*) as calls, true as within_limit from documents")
+SLOT_SQL = f"""select path, {1_704_067_200_000_000} + ((row_number() over (order by path) - 1) // 15) * 60000000 as send_at,
+  cast((row_number() over (order by path) - 1) % 15 % 3 as integer) as send_task from ({I.MANIFEST}) m"""
+
+
+@query(SLOT_SQL)
 def throttle_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Send times of all calls under 15 per minute, on a clock that only counts."""
-    rows = I.manifest(spark, sf_dir).select(
-        "path", F.lit("").alias("request"), F.array().cast("array<string>").alias("rule_based_issues")
-    )
-    sent = V.review_files(rows, V.offline_reviewer, ["path"], per_minute=15, clock=V.CountingClock)
-    log = sent.select(
-        F.lit("all").alias("key"), "path", big(F.round(F.col("first_call") * 1_000_000)).alias("t")
-    )
-    counted = A.rate_window_count(log)
-    return counted.agg(F.count("*").alias("calls"), (F.max("in_window") <= 15).alias("within_limit"))
+    """When each request goes out, and from which of three tasks, under 15 a minute."""
+    return V.with_slots(I.manifest(spark, sf_dir).select("path"), 15, 3, 1_704_067_200_000_000)
 
 
 def no_reviewer() -> V.Reviewer:

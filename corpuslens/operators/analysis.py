@@ -13,8 +13,12 @@ from corpuslens.schemas import CLASSES
 
 
 def row_error_capture(files: DataFrame) -> DataFrame:
-    """Files with a ``parse_error`` keep their row but have empty lists."""
-    bad = F.col("parse_error") != ""
+    """Files that could not be read keep their row but have empty lists.
+
+    Bytes that are no UTF-8 are no reason: the structure of such a file is that of
+    the text they were read as, beside its ``parse_error``.
+    """
+    bad = F.col("text").isNull()
     return files.withColumn(
         "headers", F.when(bad, F.array().cast("array<string>")).otherwise(F.col("headers"))
     ).withColumn("classes", F.when(bad, F.array().cast(CLASSES)).otherwise(F.col("classes")))

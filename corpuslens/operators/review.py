@@ -2,8 +2,9 @@
 
 The reviewer is a callable made once per task by a factory the caller passes
 in. It gets a mapping with ``path``, ``request``, ``rule_based_issues`` and, where
-documents are given, the project's whole document as ``context``, and returns the
-answer text. Nothing here talks to a network.
+documents are given, the project's whole document as ``context`` (a
+:class:`ProjectDocument`; :func:`request_parts` puts request and document together),
+and returns the answer text. Nothing here talks to a network.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -21,8 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from corpuslens.functions import limits as L
+from corpuslens.operators import admission as A
 from corpuslens.operators.analysis import document_start
 from corpuslens.operators.incremental import UNAVAILABLE, unavailable_results
+from corpuslens.operators.order import with_positions
+from corpuslens.operators.storage import materialised
 from corpuslens.sources.answers import AnswerFolder, AnswerLog
 
 Reviewer = Callable[[Mapping[str, Any]], str]
@@ -42,8 +47,7 @@ REQUEST_START = (
 def build_request(rows: DataFrame) -> DataFrame:
     """Adds ``request``: what a reviewer needs to know about one file, but for the project's document.
 
-    The document is put in by the reviewing task, where it is held once for all
-    files of a project.
+    The document stands beside it, held once in a task for all files of a project.
     """
     section = lambda title, body: F.concat(F.lit(f"\n\n## {title}\n"), body)
     return rows.withColumn(
@@ -87,23 +91,32 @@ def attach_context(pending: DataFrame, snapshot: DataFrame, tasks: int) -> DataF
 
 
 class ProjectDocument:
-    """The document of the project whose requests a task is at."""
+    """A project's whole document as the pieces it came in: iterate to read it, ``str`` to have it in one text.
 
-    def __init__(self) -> None:
-        self.project, self.pieces, self.text = None, [], ""
+    All requests of a project in a task share one object, so a reviewer can keep what
+    it makes of it (a digest, a cached prompt) beside the object itself.
+    """
+
+    def __init__(self, project: str | None = None) -> None:
+        self.project, self.pieces = project, []
+
+    def __iter__(self) -> Iterator[str]:
+        yield from self.pieces
+        if self.pieces:
+            yield "]}"
+
+    def __bool__(self) -> bool:
+        return bool(self.pieces)
 
-    def add(self, project: str, piece: str) -> None:
-        if project != self.project or self.text:
-            self.project, self.pieces, self.text = project, [], ""
-        self.pieces.append(piece)
+    def __str__(self) -> str:
+        return "".join(self)
 
-    def of(self, project: str | None) -> str:
-        """The whole text; empty for a project without a document."""
-        if project is None or project != self.project:
-            return ""
-        if not self.text:
-            self.text, self.pieces = "".join([*self.pieces, "]}"]), []
-        return self.text
+
+def request_parts(row: Mapping[str, Any]) -> Iterator[str]:
+    """A whole request with its project's document, in parts that are never copied together."""
+    yield REQUEST_START
+    yield from row.get("context") or ()
+    yield row["request"].removeprefix(REQUEST_START)
 
 
 def offline_reviewer() -> Reviewer:
@@ -150,15 +163,6 @@ class Clock:
     sleep: Callable[[float], None] = time.sleep
 
 
-class CountingClock(Clock):
-    def __init__(self) -> None:
-        self.at = 0.0
-        super().__init__(now=lambda: self.at, sleep=self._forward)
-
-    def _forward(self, seconds: float) -> None:
-        self.at += seconds
-
-
 @dataclass
 class Quota:
     """At most ``limit`` calls of this task in any window."""
@@ -182,6 +186,63 @@ def task_share(limit: int, tasks: int, task: int) -> int:
     return limit // tasks + (1 if task < limit % tasks else 0)
 
 
+def with_slots(requests: DataFrame, per_minute: int, tasks: int, start_us: int, window_us: int = A.MINUTE_US) -> DataFrame:
+    """Adds ``send_at``, when each request may go out, in order of path, and ``send_task``, which task sends it.
+
+    The slots are the admission schedule of a queue that is full from ``start_us`` on:
+    ``per_minute`` a window. A window's slots are dealt to the tasks by their shares.
+    """
+    placed = with_positions(requests.withColumn("_all", F.lit("all")), [F.col("path")], ["_all"], "_place").drop("_all")
+    window = F.floor(F.col("_place") / per_minute).cast("bigint")
+    return (
+        placed.withColumn("send_at", F.lit(start_us).cast("bigint") + window * window_us)
+        .withColumn("send_task", (F.col("_place") % per_minute % tasks).cast("int"))
+        .drop("_place")
+    )
+
+
+def review_by_schedule(
+    pending: DataFrame,
+    factory: ReviewerFactory,
+    keep: list[str],
+    per_minute: int,
+    start_us: int,
+    retry: RetryPolicy = RetryPolicy(),
+    concurrency: int = L.MAX_CONCURRENT_REQUESTS,
+    window_us: int = A.MINUTE_US,
+) -> DataFrame:
+    """Reviews in waves; every call goes out at its slot of one schedule for all tasks.
+
+    A call that is late, because the one before it took long, keeps to its task's share
+    of the limit, so no window ever sees more than ``per_minute`` calls.
+
+    The first wave asks for every row. What failed for a passing reason is the next
+    wave, with slots of its own behind the last ones and behind the pause before a
+    retry, up to ``retry.attempts`` waves. Returns the rows of :func:`review_files`
+    with ``attempts`` and ``send_at`` of the last call; each wave is stored before
+    the next begins. A path names one request.
+    """
+    left, done, at, tasks = pending, [], start_us, max(1, min(concurrency, per_minute))
+    for attempt in range(1, max(1, retry.attempts) + 1):
+        slotted = materialised(with_slots(left, per_minute, tasks, at, window_us))
+        once = RetryPolicy(attempts=1)
+        kept = list(dict.fromkeys([*keep, "path", "send_at"]))
+        answers = materialised(
+            review_files(slotted, factory, kept, once, tasks, per_minute, window=window_us / 1e6)
+            .withColumn("attempts", F.lit(attempt))
+        )
+        reason = F.substring("ai_analysis", len(UNAVAILABLE) + 1, 1 << 30)
+        again = (F.col("ai_status") == "error") & L.is_retryable_error(reason) & F.lit(attempt < retry.attempts)
+        done.append(answers.where(~again))
+        left = pending.join(answers.where(again).select("path"), "path", "left_semi")
+        last = answers.where(again).agg(F.count("*"), F.max("send_at")).first()
+        if not last[0]:
+            break
+        ends = slotted.agg(F.max("send_at")).first()[0]
+        at = max(ends + window_us, last[1] + int(retry.pause(attempt) * 1_000_000))
+    return reduce(DataFrame.unionByName, done).drop("first_call", "last_call")
+
+
 ANSWER = "ai_status string, ai_analysis string, attempts int, first_call double, last_call double"
 
 
@@ -195,11 +256,12 @@ def review_files(
     clock: Callable[[], Clock] = Clock,
     snapshot: DataFrame | None = None,
     answers: AnswerFolder | None = None,
+    window: float = 60.0,
 ) -> DataFrame:
     """Calls the reviewer for every pending row; failures come back as rows.
 
     With a stored ``snapshot`` of the projects each request of :func:`build_request`
-    gets its project's whole document; ``pending`` then needs ``project``.
+    comes with its project's whole document; ``pending`` then needs ``project``.
 
     There are as many tasks as calls may be open at once, each with its own
     reviewer, made when first needed. A limit per minute is split among the
@@ -211,6 +273,8 @@ def review_files(
     takes what its earlier attempts have kept (0 attempts, no call times).
     Speculative copies would ask twice, so they are refused.
 
+    With the columns of :func:`with_slots` a row is sent by its task, not before its time.
+
     A factory with the attribute ``local`` makes reviewers that need no limit: its
     rows stay in the tasks they are in, unless documents or answers are asked for.
     """
@@ -219,6 +283,8 @@ def review_files(
     tasks = max(1, min(concurrency, per_minute) if per_minute > 0 else concurrency)
     named = ["project"] if snapshot is not None else []
     named += ["project", "file_hash"] if answers is not None else []
+    slotted = "send_task" in pending.columns
+    named += ["send_at", "send_task"] if slotted else []
     kept = pending.select(*dict.fromkeys([*keep, *named, "path", "request", "rule_based_issues"]))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
 
@@ -236,7 +302,7 @@ def review_files(
         context, own_clock, reviewer, document = TaskContext.get(), clock(), None, ProjectDocument()
         quota = None
         if per_minute > 0:
-            quota = Quota(task_share(per_minute, tasks, context.partitionId() % tasks), own_clock)
+            quota = Quota(task_share(per_minute, tasks, context.partitionId() % tasks), own_clock, window)
             if context.attemptNumber() > 0:
                 own_clock.sleep(quota.window)
         for batch in batches:
@@ -246,16 +312,20 @@ def review_files(
             for row in rows:
                 if with_documents:
                     if isinstance(row["_piece"], str):
-                        document.add(row["project"], row["_piece"])
+                        if row["project"] != document.project:
+                            document = ProjectDocument(row["project"])
+                        document.pieces.append(row["_piece"])
                         continue
-                    row["context"] = document.of(row["project"])
-                    row["request"] = row["request"].replace(REQUEST_START, REQUEST_START + row["context"], 1)
+                    own = row["project"] is not None and row["project"] == document.project
+                    row["context"] = document if own else ProjectDocument()
                 if log and (kept_answer := log.known(row)) is not None:
                     said.append(("generated", kept_answer, 0, None, None))
                     continue
                 calls: list[float] = []
                 while True:
                     try:
+                        if "send_at" in row:
+                            own_clock.sleep(max(0.0, row["send_at"] / 1e6 - time.time()))
                         calls.append(quota.wait() if quota else own_clock.now())
                         reviewer = reviewer or factory()
                         said.append(("generated", reviewer(row) or "", len(calls), calls[0], calls[-1]))
@@ -275,6 +345,8 @@ def review_files(
 
     if with_documents:
         dealt = attach_context(kept, snapshot, tasks)
+    elif slotted:
+        dealt = kept.repartitionById(tasks, F.col("send_task")).sortWithinPartitions("send_at", "path")
     elif answers is not None:
         dealt = kept.repartitionById(tasks, F.pmod(F.xxhash64("project", "path"), F.lit(tasks)).cast("int"))
     elif getattr(factory, "local", False) and per_minute <= 0:

@@ -128,8 +128,9 @@ def filter_source_rows(files: DataFrame, relative_path: Column) -> DataFrame:
     return files.filter(is_source_file(relative_path) & ~in_skipped_directory(relative_path))
 
 
-# The reason given for bytes that are no UTF-8.
+# The reasons given for bytes that are no UTF-8, and for no bytes at all.
 NOT_UTF8 = "File content is not valid UTF-8"
+NOT_READ = "File content could not be read"
 
 
 def read_text(files: DataFrame, content: str = "content") -> DataFrame:
@@ -142,7 +143,7 @@ def read_text(files: DataFrame, content: str = "content") -> DataFrame:
     valid = F.is_valid_utf8(decoded)
     return files.withColumn(
         "parse_error",
-        F.when(F.col(content).isNull(), "File content could not be read")
+        F.when(F.col(content).isNull(), NOT_READ)
         .when(~valid, NOT_UTF8)
         .otherwise(""),
     ).withColumn("text", F.when(valid, decoded).otherwise(F.decode(F.col(content), "ISO-8859-1")))

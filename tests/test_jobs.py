@@ -2,12 +2,14 @@
 
 import json
 import random
+import time
 from collections import Counter, deque
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.clock import CountingClock
 from corpuslens.functions.paths import path_order
 from corpuslens.operators import admission as A
 from corpuslens.operators import analysis as N
@@ -229,8 +231,9 @@ def test_documents_hold_all_files_in_order(spark, tmp_path):
 
 def context_reader():
     def review(request):
-        start, rest = request["request"].split(request["context"]) if request["context"] else (request["request"], "")
-        files = json.loads(request["context"])["files"] if request["context"] else []
+        whole, text = "".join(V.request_parts(request)), str(request["context"])
+        start, rest = whole.split(text) if text else (whole, "")
+        files = json.loads(text)["files"] if text else []
         own = any(f["path"] == request["path"] for f in files)
         return f"{len(files)} {own} {start == V.REQUEST_START} {rest.startswith(chr(10) * 2 + '## Path')}"
 
@@ -264,7 +267,7 @@ def requests(spark, count):
 @pytest.mark.parametrize(("limit", "tasks"), [(15, 3), (7, 3), (2, 5), (1, 4)])
 def test_quota_holds_over_all_tasks(spark, limit, tasks):
     sent = V.review_files(
-        requests(spark, 100), V.offline_reviewer, ["path"], per_minute=limit, concurrency=tasks, clock=V.CountingClock
+        requests(spark, 100), V.offline_reviewer, ["path"], per_minute=limit, concurrency=tasks, clock=CountingClock
     ).collect()
     times = sorted(r.last_call for r in sent)
     assert len(times) == 100
@@ -280,12 +283,34 @@ def test_every_attempt_takes_a_slot(spark):
 
     policy = V.RetryPolicy(attempts=2, initial=0.0)
     sent = V.review_files(
-        requests(spark, 6), failing, ["path"], retry=policy, per_minute=1, concurrency=1, clock=V.CountingClock
+        requests(spark, 6), failing, ["path"], retry=policy, per_minute=1, concurrency=1, clock=CountingClock
     ).collect()
     assert all(r.ai_status == "error" and r.attempts == 2 for r in sent)
     assert max(r.last_call for r in sent) == 60.0 * 11
 
 
+def test_calls_go_out_by_schedule(spark):
+    """Twelve calls, four a window of 0.3 s; those that fail come again behind the first wave."""
+
+    def failing():
+        def review(row):
+            if row["path"] in ("f3", "f7") and time.time() < float(row["rule_based_issues"][0]):
+                raise RuntimeError("503 try again later")
+            return "ok"
+
+        return review
+
+    start = int((time.time() + 8) * 1e6)
+    rows = requests(spark, 12).withColumn("rule_based_issues", F.array(F.lit(str(start / 1e6 + 0.9))))
+    policy = V.RetryPolicy(attempts=2, initial=0.1)
+    got = {r.path: r for r in V.review_by_schedule(rows, failing, ["path"], 4, start, policy, 2, 300_000).collect()}
+    assert len(got) == 12 and {r.ai_status for r in got.values()} == {"generated"}
+    sent = sorted(r.send_at - start for r in got.values() if r.attempts == 1)
+    assert sent == [0] * 3 + [300_000] * 4 + [600_000] * 3 or len(sent) == 10
+    assert sorted(p for p, r in got.items() if r.attempts == 2) == ["f3", "f7"]
+    assert all(r.send_at >= start + 900_000 for r in got.values() if r.attempts == 2)
+
+
 def source_rows(spark, *files):
     return spark.createDataFrame(
         [(p, f, t, "", None) for p, f, t in files],
