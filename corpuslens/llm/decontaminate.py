@@ -1,30 +1,37 @@
-"""Benchmark decontamination: a count of shared word pairs that no leak can miss, Smith-Waterman as proof.
-
-An alignment that reaches the least score holds many word pairs of the item
-within few words (see ``bounds``). Tasks hold the items, look for stretches of
-documents with so many, and align each of them to the item word by word.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
+
+An alignment that reaches the least score holds a known number of the item's word
+pairs within a known span (see ``bounds``). Of an item's pairs the commonest in the
+corpus can therefore be left out: with the rarest ``pairs - need + 2`` as seeds, every
+such alignment still holds two of them (or one, where it need hold no more). So no
+leak is missed, and two rare pairs near each other are seldom chance.
+
+The corpus is read once for the places of seeds, whatever the size of the item
+table; a sieve of a fixed size, made of the items' n-grams, keeps nearly all other
+words out of the shuffle. Places meet items by a join on the n-gram's hash, and only
+the documents with such passages are read again, to align each passage to its item.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.arrays import pinned
-from corpuslens.llm.common import lowered, unused, word_list
-from corpuslens.operators.storage import materialised
+from corpuslens.llm.common import Steps, lowered, unused, word_list
+from corpuslens.operators.storage import join_few, materialised
 
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE = 0.6  # of the score that the whole item against itself has
-BLOCK_WORDS = 2_000_000  # of test items that every task is sent at once, about 200 MB with their index
-CHUNK = 1 << 16  # words whose pairs are looked up at once
-SIEVE = 1 << 21  # bits of the hash that most pairs fail
+SEEDS_TOGETHER = 2  # seeds that a passage must hold within an item's span, where the item allows it
+SIEVE_BITS = 26  # 8 MB, whatever the items
+PLACES = "doc long, pos int, size int, code long"
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -45,116 +52,114 @@ def bounds(n: int, least: float) -> tuple[int, int, int]:
     return score - n - 1, -(-score // 2), 3 * n - score
 
 
-class Index:
-    """Items by their word pairs, or by words where no pair has to match: five words or fewer at 0.6."""
-
-    def __init__(self, items: list[list[str]], least: float) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.items = [
-            np.array([self.ids.setdefault(w.encode("utf-8", "surrogatepass"), len(self.ids)) for w in words], np.int64)
-            for words in items
-        ]
-        limits = [bounds(len(words), least) for words in self.items]
-        self.words_least = np.array([x[1] for x in limits], np.int64)
-        self.score_least = np.array([x[0] for x in limits], np.int64) + [len(words) + 1 for words in self.items]
-        self.span = np.array([x[2] for x in limits], np.int64)
-        self.tables = {}
-        for size in (2, 1):
-            held = [k for k, x in enumerate(limits) if (x[0] >= 1) == (size == 2)]
-            if not held:
-                continue
-            codes = [np.unique(self.codes(self.items[k], size)) for k in held]
-            owner = np.repeat(np.array(held, np.int64), [len(c) for c in codes])
-            flat = np.concatenate(codes)
-            order = np.argsort(flat, kind="stable")
-            keys, first, times = np.unique(flat[order], return_index=True, return_counts=True)
-            sieve = np.zeros(SIEVE, bool)
-            sieve[self.hashed(keys)] = True
-            need = np.array([x[0] if size == 2 else x[1] for x in limits], np.int64)
-            self.tables[size] = (keys, first, times, owner[order], sieve, need)
-
-    def codes(self, words: np.ndarray, size: int) -> np.ndarray:
-        """A number for each word or pair; negative where a word is in no item."""
-        if size == 1:
-            return words
-        a, b = words[:-1], words[1:]
-        return np.where((a < 0) | (b < 0), -1, a * len(self.ids) + b)
-
-    @staticmethod
-    def hashed(codes: np.ndarray) -> np.ndarray:
-        return (codes ^ (codes >> 17)) & (SIEVE - 1)
-
-    def stretches(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Document, item, from, to: stretches of ``words`` that an alignment can lie in; documents begin at ``starts``.
-
-        Stretches of an item that touch are one. A chunk reaches over its end by
-        the longest span, so that no window of hits is parted.
-        """
-        ends = np.append(starts[1:], len(words))
-        found = []
-        over = int(self.span.max(initial=0))
-        for size, (keys, first, times, owners, sieve, need) in self.tables.items():
-            for begin in range(0, len(words), CHUNK):
-                codes = self.codes(words[begin : begin + CHUNK + over + 1], size)
-                at = np.flatnonzero(codes >= 0)
-                at = at[sieve[self.hashed(codes[at])]]
-                key = np.minimum(np.searchsorted(keys, codes[at]), len(keys) - 1)
-                hit = keys[key] == codes[at]
-                at, key = at[hit] + begin, key[hit]
-                doc = np.searchsorted(starts, at, "right") - 1
-                if size == 2:  # of two words in two documents there is no pair
-                    inside = at + 1 < ends[doc]
-                    at, key, doc = at[inside], key[inside], doc[inside]
-                if not len(at):
-                    continue
-                n = times[key]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                item = owners[np.repeat(first[key], n) + step]
-                at, doc = np.repeat(at, n), np.repeat(doc, n)
-                order = np.lexsort((at, item, doc))
-                at, item, doc = at[order], item[order], doc[order]
-                last = np.arange(len(at)) + need[item] - 1
-                fits = last < len(at)
-                last = np.minimum(last, len(at) - 1)
-                fits &= (item[last] == item) & (doc[last] == doc) & (at[last] - at + size <= self.span[item])
-                if fits.any():
-                    low = np.maximum(at[last] + size - self.span[item], starts[doc])
-                    high = np.minimum(at + self.span[item], ends[doc])
-                    found.append(np.stack([doc, item, low, high], 1)[fits])
-        if not found:
-            return
-        rows = np.concatenate(found)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        now = None
-        for row in rows.tolist():
-            if now is not None and row[:2] == now[:2] and row[2] <= now[3]:
-                now[3] = max(now[3], row[3])
-            else:
-                if now is not None:
-                    yield tuple(now)
-                now = row
-        yield tuple(now)
-
-    def score(self, words: np.ndarray, k: int) -> float:
-        """The alignment's share of the item's own score; 0 where no span holds enough of the item's words and pairs."""
-        item, span = self.items[k], int(self.span[k])
-        known, single = _shared(words, item)
-        # A pair begins at each word but the last.
-        joined, double = _shared(np.append(self.codes(words, 2), -1), self.codes(item, 2))
-        near = lambda flags: (s := np.append(0, np.cumsum(flags)))[min(span, len(words)) :] - s[: max(1, len(s) - span)]
-        matched, pairs = np.minimum(near(known), single), np.minimum(near(joined), double)
-        # As in bounds: m matches of a score S hold S - m - 1 pairs at least.
-        if not ((matched >= self.words_least[k]) & (matched + pairs >= self.score_least[k] - 1)).any():
-            return 0.0
-        return _align(words, item) / (MATCH * len(item))
-
-
-def _shared(codes: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, int]:
-    """Which codes the item has; how many can be matched, as each of the item's can be once."""
-    keys, times = np.unique(item, return_counts=True)
-    at = np.minimum(np.searchsorted(keys, codes), max(0, len(keys) - 1))
-    known = (keys[at] == codes) & (codes >= 0) if len(keys) else np.zeros(len(codes), bool)
-    return known, int(np.minimum(np.bincount(at[known], minlength=len(keys)), times).sum())
+def _grams(words: list[bytes], sizes: set[int], known: dict[bytes, int]) -> dict[int, np.ndarray]:
+    """A number for each word (size 1) and each pair of neighbours (size 2)."""
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    plain = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    made = {1: plain * np.uint64(0x9E3779B97F4A7C15)} if 1 in sizes else {}
+    if 2 in sizes:
+        made[2] = (plain[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (plain[1:] + (plain[1:] << np.uint64(17)))
+    return {size: codes.view(np.int64) for size, codes in made.items()}
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return ((codes ^ (codes >> 29)) & ((1 << SIEVE_BITS) - 1)).astype(np.int64)
+
+
+def gram_places(texts: DataFrame, sizes: set[int], sieve: bytes | None = None) -> DataFrame:
+    """``doc``, ``pos``, ``size``, ``code``: places of n-grams in ``doc``, ``text``; with a sieve only of those it holds."""
+    sent = None if sieve is None else texts.sparkSession.sparkContext.broadcast(sieve)
+    most_known = 1 << 18  # words whose hashes a task remembers at most
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if sent is None else np.frombuffer(sent.value, np.uint8)
+        known: dict[bytes, int] = {}
+        for frame in frames:
+            held: list[tuple] = []
+            for doc, text in zip(frame.column("doc").to_pylist(), frame.column("text").cast(pa.binary()), strict=True):
+                # Of bytes, only A-Z are lower-cased and only the six ASCII gaps part words.
+                words = (text.as_py() or b"").lower().split()
+                if len(known) > most_known:
+                    known.clear()
+                for size, codes in _grams(words, sizes, known).items():
+                    pos = np.arange(len(codes), dtype=np.int32)
+                    if bits is not None:
+                        slot = _slot(codes)
+                        pos = pos[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                    if len(pos):
+                        held.append((np.full(len(pos), doc), pos, np.full(len(pos), size, np.int32), codes[pos]))
+            if held:
+                made = [pa.array(np.concatenate(x)) for x in zip(*held, strict=True)]
+                yield pa.RecordBatch.from_arrays(made, ["doc", "pos", "size", "code"])
+
+    return texts.select("doc", "text").mapInArrow(batches, PLACES)
+
+
+def _sieve(codes: DataFrame) -> bytes:
+    """A bitmap of the items' n-grams, put together by Spark; its size is fixed."""
+
+    def slots(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([pa.array(_slot(frame.column("code").to_numpy(zero_copy_only=False)))], ["slot"])
+
+    placed = codes.select("code").mapInArrow(slots, "slot long")
+    pages = placed.groupBy(F.shiftright("slot", 15).alias("page")).agg(
+        F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits")
+    )
+    out = bytearray(1 << (SIEVE_BITS - 3))
+    # At most 2048 pages of 4 kB.
+    for row in pages.collect():
+        out[row["page"] << 12 : (row["page"] << 12) + len(row["bits"])] = row["bits"]
+    return bytes(out)
+
+
+def _limits(least: float) -> list[Column]:
+    """For items with ``words``: ``n``, the n-gram ``size``, how many an alignment holds (``need``), and its ``span``."""
+    n = F.size("words")
+    score = F.greatest(F.lit(1), F.ceil(F.lit(float(MATCH * least)) * n - 1e-9).cast("int"))
+    pairs, single = score - n - 1, F.ceil(score / 2).cast("int")
+    return [
+        n.alias("n"),
+        F.when(pairs >= 1, 2).otherwise(1).alias("size"),
+        F.when(pairs >= 1, pairs).otherwise(single).alias("need"),
+        (3 * n - score).alias("span"),
+    ]
+
+
+def seeds(items: DataFrame, places: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rarest n-grams of each item, as many as leave no alignment without ``together`` of them."""
+    held = places.join(items.select(F.col("number").alias("doc"), "size", "n", "need", "span"), ["doc", "size"])
+    counted = held.join(counts, ["size", "code"], "left")
+    rarest = Window.partitionBy("doc").orderBy(F.coalesce("times", F.lit(0)), "code", "pos")
+    together = F.least(F.lit(SEEDS_TOGETHER), F.col("need"))
+    ranked = counted.withColumn("rank", F.row_number().over(rarest)).withColumn("together", together)
+    grams = F.col("n") - F.col("size") + 1
+    return (
+        ranked.where(F.col("rank") <= grams - F.col("need") + F.col("together"))
+        .select(F.col("doc").alias("number"), "size", "code", "span", "together").distinct()
+    )
+
+
+def passages(hits: DataFrame) -> DataFrame:
+    """``doc``, ``number``, ``low``, ``high``: stretches of words that an alignment can lie in; those that touch are one.
+
+    ``hits`` are places of seeds. A stretch begins at a seed whose next one is within
+    the item's span. The rows of one document and item are what a window holds.
+    """
+    order = Window.partitionBy("doc", "number").orderBy("pos")
+    last = F.when(F.col("together") == 1, F.col("pos")).otherwise(F.lead("pos", 1).over(order))
+    cut = hits.withColumn("last", last).where(F.col("last") - F.col("pos") + F.col("size") <= F.col("span")).select(
+        "doc", "number",
+        F.greatest(F.lit(0), F.col("last") + F.col("size") - F.col("span")).alias("low"),
+        (F.col("pos") + F.col("span")).alias("high"),
+    )
+    by_low = Window.partitionBy("doc", "number").orderBy("low", "high")
+    before = by_low.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce((F.col("low") > F.max("high").over(before)).cast("int"), F.lit(0))
+    island = F.sum("apart").over(by_low.rowsBetween(Window.unboundedPreceding, 0))
+    parted = cut.withColumn("apart", apart).withColumn("island", island)
+    return parted.groupBy("doc", "number", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("island")
 
 
 def _align(a: np.ndarray, item: np.ndarray) -> int:
@@ -177,75 +182,64 @@ def align(words: list[str], item: list[str]) -> int:
     return _align(a, np.array([numbers.get(w, -1) for w in item], np.int64))
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``doc_id``, ``number``, ``score`` for items ``number``, ``words``: every stretch that reaches ``least``.
+def _scored(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``number``, ``score`` of rows with the passage's and the item's words."""
 
-    The items are sent to every task, in blocks of a set size: a table of items
-    of any size is so many passes.
-    """
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_WORDS))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
-    found = None
-    for block in range(blocks):
-        rows = dealt.where(F.col("block") == block).select("number", "words").collect()
-        one = _matches(docs.select("doc_id", "text"), [r[0] for r in rows], [r[1] for r in rows], least)
-        found = one if found is None else found.unionByName(one)
-    return found
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            pairs = zip(frame.column("passage").to_pylist(), frame.column("words").to_pylist(), strict=True)
+            scores = [align(passage, item) / (MATCH * len(item)) for passage, item in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [frame.column("doc_id"), frame.column("number"), pa.array(scores, pa.float64())], ["doc_id", "number", "score"]
+            )
 
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "number", "passage", "words").mapInArrow(batches, f"doc_id {kind}, number long, score double")
 
-def _matches(docs: DataFrame, numbers: list[int], items: list[list[str]], least: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((numbers, Index(items, least)))
 
-    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, index = sent.value
-        for frame in frames:
-            listed, sizes = [], []
-            for text in frame.column("text").cast(pa.binary()):
-                # Of bytes, only A-Z are lower-cased and only the six ASCII gaps part words.
-                tokens = (text.as_py() or b"").lower().split()
-                listed.append(np.fromiter(map(index.ids.get, tokens, repeat(-1)), np.int64, len(tokens)))
-                sizes.append(len(tokens))
-            words = np.concatenate([*listed, np.zeros(0, np.int64)])
-            # Documents without words have no place among the starts.
-            place = np.flatnonzero(sizes)
-            starts = (np.cumsum(sizes) - sizes)[place]
-            ids, found, scores = [], [], []
-            for doc, item, low, high in index.stretches(words, starts):
-                score = index.score(words[low:high], item)
-                if score >= least:
-                    ids.append(place[doc])
-                    found.append(numbers[item])
-                    scores.append(score)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [frame.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(found, pa.int64()), pa.array(scores, pa.float64())],
-                    names=["doc_id", "number", "score"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(batches, f"doc_id {kind}, number long, score double")
-
-
-def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE, min_words: int = 1) -> DataFrame:
     """Pairs ``doc_id``, ``item_id``, ``score``: the item is in the document, whole or edited.
 
     ``docs`` needs ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``;
     other columns are not read. Words are lower-cased (A-Z). ``score`` is the
     best alignment's share of the item's own score; every pair that reaches
-    ``least`` is found. Null and empty texts leak nothing. Repeated rows give
+    ``least`` is found. Items of fewer than ``min_words`` words are left aside: one of
+    a common word or two is in very many documents, and with the default of 1 it is
+    reported for each. Null and empty texts leak nothing. Repeated rows give
     one pair, with the largest score. Empty tables give an empty result.
     """
-    tests = materialised(item_words(items).withColumn("number", F.monotonically_increasing_id()))
-    found = matches(docs, tests, least)
-    few = tests.count() <= BLOCK_WORDS
+    steps = Steps(docs.sparkSession, "decontaminate")
+    listed = item_words(items).where(F.size("words") >= min_words)
+    tests = steps.write("items", listed.withColumn("number", F.monotonically_increasing_id()).select("*", *_limits(least)))
+    sizes = {row["size"] for row in tests.select("size").distinct().collect()}
+    whole = tests.select(F.col("number").alias("doc"), F.array_join("words", " ").alias("text"))
+    places = steps.write("item-places", gram_places(whole, sizes).join(tests.select(F.col("number").alias("doc"), "size"), ["doc", "size"]))
+    # A document is known by the hash of its id and text; should two share one, they only get more passages to align.
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
+    hits = steps.write("hits", gram_places(keyed, sizes, _sieve(places)))
+    chosen = steps.write("seeds", seeds(tests, places, hits.groupBy("size", "code").agg(F.count("*").alias("times"))))
+    found = steps.write("passages", passages(hits.join(chosen, ["size", "code"])))
+    steps.drop("hits", "seeds", "item-places")
+    lists = steps.write("lists", found.groupBy("doc").agg(F.collect_list(F.struct("number", "low", "high")).alias("stretches")))
+    words = pinned(join_few(keyed, lists, ["doc"]), words=word_list(lowered(F.coalesce("text", F.lit("")))))
+    cut = words.select("doc_id", "words", F.explode("stretches").alias("at")).select(
+        "doc_id", "at.number", F.slice("words", F.col("at.low") + 1, F.col("at.high") - F.col("at.low")).alias("passage")
+    )
+    scored = _scored(join_few(cut, tests.select("number", "words"), ["number"])).where(F.col("score") >= least)
+    best = steps.write("scores", scored.groupBy("doc_id", "number").agg(F.max("score").alias("score")))
     names = tests.select("number", "item_id")
-    rows = found.join(F.broadcast(names) if few else names, "number")
-    return rows.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    rows = best.join(names, "number").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    done = materialised(rows)
+    steps.drop("items", "passages", "lists", "scores")
+    return done
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` that no item leaks into, with their own columns."""
+def keep_clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE, min_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` that no item leaks into, with their own columns.
+
+    Of rows that share an id, null included, none stays if one of them leaks. For
+    nulls, short items and empty tables see :func:`leaks`.
+    """
     (side,) = unused(docs, "_leaked")
-    found = materialised(leaks(docs, items, least).select(F.col("doc_id").alias(side)).distinct())
+    found = leaks(docs, items, least, min_words).select(F.col("doc_id").alias(side)).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(side)), "left_anti")

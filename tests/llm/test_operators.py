@@ -290,27 +290,27 @@ def test_copies_with_an_edit_every_few_words_are_found(spark):
     assert {k: round(v, 4) for k, v in got.items()} == {(0, 1): 0.7125, (1, 1): 0.6375, (2, 1): 0.7625, (3, 2): 0.6}
 
 
-def test_stretches_miss_no_alignment(monkeypatch):
-    rng = random.Random(12)
-    for _ in range(60):
-        word = lambda kinds=rng.choice([6, 40, 400]): f"w{rng.randrange(kinds)}"
-        items = [[word() for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 20, 40]))] for _ in range(5)]
-        docs = []
-        for _ in range(5):
-            words = [word() for _ in range(rng.randrange(1, 30))]
-            for w in rng.choice(items) * rng.randrange(3):
-                words += rng.choice([[w], [w], [w], [], ["other"], [w, word()]])
-            docs.append(words)
-        for least in (0.3, 0.6, 0.75):
-            monkeypatch.setattr(decontaminate, "CHUNK", rng.choice([7, 50, 1 << 16]))
-            index = decontaminate.Index(items, least)
-            words = np.array([index.ids.get(w.encode(), -1) for d in docs for w in d])
-            starts = np.cumsum([0, *map(len, docs)])[:-1]
-            got = {}
-            for d, i, low, high in index.stretches(words, starts):
-                got[d, i] = max(got.get((d, i), 0), index.score(words[low:high], i))
-            want = {(d, i): decontaminate.align(a, b) / (2 * len(b)) for d, a in enumerate(docs) for i, b in enumerate(items)}
-            assert {k: v for k, v in got.items() if v >= least} == {k: v for k, v in want.items() if v >= least}
+@pytest.mark.parametrize(("least", "kinds"), [(0.6, 6), (0.6, 40), (0.6, 400), (0.3, 40), (0.75, 40)])
+def test_leaks_miss_no_alignment(spark, least, kinds):
+    """Rare seeds and passages find exactly the pairs that aligning everything finds."""
+    rng = random.Random(kinds)
+    word = lambda: f"w{rng.randrange(kinds)}"
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 30, 40)]
+    docs = []
+    for _ in range(90):
+        words = [word() for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(3)):
+            for w in rng.choice(items):
+                words += rng.choice([[w], [w], [w], [w], [], ["other"], [w, word()]])
+            words += ["gap"] * rng.choice([0, 3, 60])
+        docs.append(words)
+    tests = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = docs_of(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(rows, tests, least).collect()}
+    want = {(d, i): decontaminate.align(a, b) / (2 * len(b)) for d, a in enumerate(docs) for i, b in enumerate(items)}
+    assert got == {k: v for k, v in want.items() if v >= least}
+    left = decontaminate.leaks(rows, tests, least, min_words=6).collect()
+    assert {(r.doc_id, r.item_id) for r in left} == {k for k in got if k[1] >= 5}
 
 
 # --- packing -------------------------------------------------------------------
