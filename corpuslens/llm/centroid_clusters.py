@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import parts, remove_folder, scratch
+from corpuslens.llm.common import parts, scratch
 from corpuslens.llm.vectors import in_blocks, scaled, unpacked, usable
+from corpuslens.operators.storage import remove_folder
 
 VECTORS_PER_BLOCK = 4096
 # Keys are doubles: a vector this near its cluster's drift is scanned too.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import ascii_lower
-from corpuslens.operators.storage import materialised, shared_folder
+from corpuslens.operators.storage import materialised, remove_folder, shared_folder
 
 # The characters that part words and that a line is stripped of.
 GAPS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -45,11 +45,6 @@ class Steps:
                 remove_folder(self.spark, self.paths.pop(name))
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

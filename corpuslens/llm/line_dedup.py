@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.arrays import pinned
 from corpuslens.llm.common import GAPS, lowered, parts, scratch, text_of, unused
-from corpuslens.operators.storage import materialised
+from corpuslens.operators.storage import materialised, remove_folder
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -125,14 +125,15 @@ class LineRuns:
         return found
 
     def close(self) -> None:
-        """Takes the tables out of the catalog; their files stay in the shared folder."""
+        """Takes the tables out of the catalog and their files out of the shared folder."""
         for name in self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.made = []
+        remove_folder(self.spark, self.folder)
 
 
 def sightings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each document row and distinct key: ``h1``, ``h2``, ``doc``."""
+    """One row for each document row and distinct key: ``h1``, ``h2``, ``doc``; see :func:`once_each`."""
     keys = F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
     return (
         docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(keys)).alias("key"))
@@ -140,19 +141,32 @@ def sightings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
+def once_each(seen: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sightings with each document once: rows that share an id, null too, are one document.
+
+    Ids alone are looked through for repeats; only sightings of repeated ids are made distinct.
+    """
+    again = docs.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
+    if again.isEmpty():
+        return seen
+    same = F.col("doc").eqNullSafe(F.col("again"))
+    return seen.join(again, same, "left_anti").unionByName(seen.join(again, same, "left_semi").distinct())
+
+
 def repeated_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
 ) -> DataFrame:
     """Keys found in ``min_docs`` documents or more, with the document that keeps them."""
     spark = docs.sparkSession
-    seen = sightings(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+    seen = once_each(sightings(docs, min_chars), docs).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
     stored = materialised(seen)
     runs = LineRuns(spark)
-    for batch in range(batches):
-        runs.add(stored.where(F.col("batch") == batch))
-    found = materialised(runs.totals().where(F.col("docs") >= min_docs).select(*KEYS, "last"))
-    runs.close()
-    return found
+    try:
+        for batch in range(batches):
+            runs.add(stored.where(F.col("batch") == batch))
+        return materialised(runs.totals().where(F.col("docs") >= min_docs).select(*KEYS, "last"))
+    finally:
+        runs.close()
 
 
 def dedup_lines(
@@ -162,10 +176,10 @@ def dedup_lines(
 
     Needs ``doc_id`` and ``text``; other columns are carried, except ones with
     the three added names, which are replaced. A null text is one empty line and
-    stays so. Each row counts as one document, a repeated row included; of a
+    stays so. Rows that share a ``doc_id`` count as one document; of a
     repeated line, the rows with the largest ``doc_id`` that holds it keep all
-    of theirs. A null ``doc_id`` is below every other, and where all are null
-    nothing is dropped. An empty table gives an empty result.
+    of theirs. A null ``doc_id`` is below every other, all rows with it count as one
+    document, and where all are null nothing is dropped. An empty table gives an empty result.
     """
     popular = repeated_lines(docs, min_chars, min_docs, batches)
     spread = docs.select(
