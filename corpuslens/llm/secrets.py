@@ -246,6 +246,7 @@ class Scanner:
     search: Automaton
     forward: list[Automaton]
     backward: list[Automaton]
+    single: list[Automaton]  # each rule's own search, begun anew behind a match
 
 
 @lru_cache(maxsize=4)
@@ -256,14 +257,16 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     begin = nfa.closed([root])
     search = _determine(nfa, begin, ends, again=begin)
 
-    def alone(tree: tuple) -> Automaton:
+    def alone(tree: tuple, anywhere: bool = False) -> Automaton:
         one = _Nfa()
         first = one.state()
         end = one.add(tree, first)
-        return _determine(one, one.closed([first]), {end: 0})
+        opening = one.closed([first])
+        return _determine(one, opening, {end: 0}, again=opening if anywhere else frozenset())
 
     return Scanner(
-        rules, search, [alone(_tree(r)) for r in rules], [alone(_reversed(_tree(r, counted=True))) for r in rules]
+        rules, search, [alone(_tree(r)) for r in rules], [alone(_reversed(_tree(r, counted=True))) for r in rules],
+        [alone(_tree(r, counted=True), anywhere=True) for r in rules],
     )
 
 
@@ -284,8 +287,15 @@ def _longest(machine: Automaton, data: bytes, at: int, stop: int, by: int) -> in
 
 
 def scan(data: bytes, found_by: Scanner) -> list[tuple[int, int, int]]:
-    """Spans (start, end, rule) in bytes: per rule, of matches from the left that do not overlap."""
+    """Spans (start, end, rule) in bytes: per rule, of matches from the left that do not overlap.
+
+    The pass over all rules also accepts what begins inside a rule's last match. So
+    behind a match the rule's own search is begun anew and moved up to each place
+    that the pass accepts; it reads no byte twice, and only where it accepts too is a
+    start looked for. All in all a text is read a few times for each rule at most.
+    """
     search = found_by.search
+    seen, states = [0] * len(found_by.rules), [machine.start for machine in found_by.single]
     step, width = search.step, search.width
     hot, accepts = search.hot, search.accepts
     last = [0] * len(found_by.rules)
@@ -300,6 +310,16 @@ def scan(data: bytes, found_by: Scanner) -> list[tuple[int, int, int]]:
                 bits &= bits - 1
                 if at <= last[k]:
                     continue
+                if last[k]:
+                    own = found_by.single[k]
+                    if seen[k] < last[k]:
+                        seen[k], states[k] = last[k], own.start
+                    now = states[k]
+                    for byte in data[seen[k] : at]:
+                        now = own.step[now + own.classes[byte]]
+                    seen[k], states[k] = at, now
+                    if not own.accepts[now // own.width]:
+                        continue
                 start = _longest(found_by.backward[k], data, at, last[k], -1)
                 if start < 0:
                     continue
