@@ -65,17 +65,21 @@ def record(kind: str, page: int | None, url: str | None, payload: bytes | None,
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, in pieces."""
-    machine = zlib.decompressobj(GZIP)
+    """The content of a gzip file of one or more members, in pieces; a file that is cut is an error."""
+    machine, begun = zlib.decompressobj(GZIP), False
     while data := stream.read(CHUNK):
         while data:
+            begun = True
             yield machine.decompress(data, 4 * CHUNK)
             if machine.eof:
                 data = machine.unused_data
-                machine = zlib.decompressobj(GZIP)
+                machine, begun = zlib.decompressobj(GZIP), False
             else:
                 data = machine.unconsumed_tail
-    yield machine.flush()
+    if begun:
+        yield machine.flush()
+        if not machine.eof:
+            raise ValueError("a gzip stream ends early")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
