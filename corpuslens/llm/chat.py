@@ -47,19 +47,27 @@ def reply_chain(rows: DataFrame) -> DataFrame:
     )
 
 
-def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """Rows ``conv``, ``leaf``, ``node``, ``depth`` of the best root-to-leaf paths.
+def unreached(messages: DataFrame) -> DataFrame:
+    """The messages that no path reaches, with all columns: those on a circle of replies, or behind one.
 
-    For every root the ``branches`` leaves with the largest score sums are kept;
-    ties go to the smaller leaf. A message whose parent is not there is a root;
-    one on a circle of replies is reached by no path and left out.
+    ``messages`` as for :func:`formatted`; null nodes are paths of their own and not among them.
     """
+    arrived = _risen(messages.where(F.col("node").isNotNull()))[2].select(F.col("conv").alias("_c"), F.col("node").alias("_at"))
+    same = F.col("conv").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_at"))
+    return messages.where(F.col("node").isNotNull()).join(arrived, same, "left_anti")
+
+
+# Null conversations are one conversation.
+def _meets(a: str, b: str, at: tuple[str, str]) -> Column:
+    return F.col(a).eqNullSafe(F.col(b)) & (F.col(at[0]) == F.col(at[1]))
+
+
+def _risen(messages: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Links, jumps by reach, and every message that has a root: with its root, depth and sum of scores."""
     links = materialised(messages.select(*KEY, "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(KEY))
     there = links.select(F.col("conv").alias("c"), F.col("node").alias("up"))
-    # Null conversations are one conversation.
-    meets = lambda a, b, at: F.col(a).eqNullSafe(F.col(b)) & (F.col(at[0]) == F.col(at[1]))
     jumps = materialised(
-        links.join(there, meets("conv", "c", ("parent", "up")), "left").select(
+        links.join(there, _meets("conv", "c", ("parent", "up")), "left").select(
             *KEY, "up", F.col("score").alias("sum"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
             F.col("node").alias("root"),
         )
@@ -74,24 +82,35 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             F.col("depth").alias("deeper"), F.col("root").alias("top"),
         )
         moved = materialised(
-            moving.join(far, meets("conv", "c", ("up", "at"))).select(
+            moving.join(far, _meets("conv", "c", ("up", "at"))).select(
                 *KEY, F.col("next").alias("up"), (F.col("sum") + F.col("more")).alias("sum"),
                 (F.col("depth") + F.col("deeper")).alias("depth"), F.col("top").alias("root"),
             )
         )
         moving, arrived = moved.where("up is not null"), arrived.unionByName(moved.where("up is null"))
         levels.append(moving.select("conv", "node", "up"))
-    ended = arrived
-    leaves = ended.join(
+    return links, levels, arrived
+
+
+def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """Rows ``conv``, ``leaf``, ``node``, ``depth`` of the best root-to-leaf paths.
+
+    For every root the ``branches`` leaves with the largest score sums are kept;
+    ties go to the smaller leaf. A message whose parent is not there is a root;
+    one on a circle of replies, or behind it, is reached by no path and given by
+    :func:`unreached`. Rows without a node are left aside.
+    """
+    links, levels, arrived = _risen(messages.where(F.col("node").isNotNull()))
+    leaves = arrived.join(
         links.select(F.col("conv").alias("c"), F.col("parent").alias("p")).where("p is not null").distinct(),
-        meets("conv", "c", ("node", "p")), "left_anti",
+        _meets("conv", "c", ("node", "p")), "left_anti",
     )
     best = Window.partitionBy("conv", "root").orderBy(F.desc("sum"), "node")
     chosen = leaves.withColumn("place", F.row_number().over(best)).where(F.col("place") <= branches)
     paths = chosen.select("conv", F.col("node").alias("leaf"), "node", "depth")
     for reach in reversed(range(len(levels) - 1)):
         up = levels[reach].select(F.col("conv").alias("c"), F.col("node").alias("at"), "up")
-        above = paths.join(up, meets("conv", "c", ("node", "at"))).select(
+        above = paths.join(up, _meets("conv", "c", ("node", "at"))).select(
             "conv", "leaf", F.col("up").alias("node"), (F.col("depth") - 2**reach).alias("depth")
         )
         paths = materialised(paths.unionByName(above))
@@ -104,24 +123,30 @@ def formatted(messages: DataFrame, branches: int = 1) -> DataFrame:
     ``messages`` has ``conv``, ``node``, ``parent``, ``role``, ``text``,
     ``score``; other columns are not read. ``mask`` lists the spans (``start``,
     ``end``, code points) of assistant texts in the output. Null roles and texts
-    are empty; of messages with one id the first by role and text counts. An
+    are empty; of messages with one id the first by role and text counts. A message
+    with a null node cannot be replied to: each is a conversation of its own, with a
+    null ``leaf``. Messages on circles of replies come from :func:`unreached`. An
     empty table gives an empty result. A conversation is one string, so one path
     must fit a row.
     """
     own = Window.partitionBy(*KEY).orderBy("role", "text", "parent", "score")
+    nameless = messages.where(F.col("node").isNull())
     messages = materialised(
-        messages.select(*KEY, "parent", "role", "text", "score").withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
+        messages.where(F.col("node").isNotNull()).select(*KEY, "parent", "role", "text", "score")
+        .withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
     )
     paths = chosen_paths(messages, branches)
     side = messages.select(F.col("conv").alias("c"), F.col("node").alias("at"), text_of(F.col("role")).alias("role"), "text")
-    turns = paths.join(side, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("at"))).select(
-        "conv", "leaf", "depth",
-        F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(MIDDLE)).alias("head"), escaped(F.col("text")).alias("body"),
+    turn = F.struct(
+        "depth", F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(MIDDLE)).alias("head"), escaped(F.col("text")).alias("body"),
         (F.col("role") == "assistant").alias("learn"),
     )
-    lists = turns.groupBy("conv", "leaf").agg(
-        F.sort_array(F.collect_list(F.struct("depth", "head", "body", "learn"))).alias("t")
-    )
+    turns = paths.join(side, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("at"))).select("conv", "leaf", turn.alias("turn"))
+    lists = turns.groupBy("conv", "leaf").agg(F.sort_array(F.collect_list("turn")).alias("t"))
+    alone = nameless.select(
+        "conv", F.col("node").alias("leaf"), F.lit(0).cast("bigint").alias("depth"), text_of(F.col("role")).alias("role"), "text"
+    ).select("conv", "leaf", F.array(turn).alias("t"))
+    lists = lists.unionByName(alone)
     # Where each turn begins: sums over the turns before it, in one pass over the path.
     lengths = F.transform("t", lambda x: (F.length(x["head"]) + F.length(x["body"]) + len(CLOSE)).cast("bigint"))
     pinned_rows = pinned(
