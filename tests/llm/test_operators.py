@@ -1,9 +1,11 @@
 """The training-data operators against brute force, round trips and awkward tables."""
 
 import hashlib
+import io
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from checks.compare import TABLES, same_rows
 from corpuslens.llm import (
-    chat, common, decontaminate, line_dedup, packing, quality, secrets, simhash, token_counts, tokens, url_filter, warc,
+    block_names, centroid_clusters, chat, common, decontaminate, hard_negatives, line_dedup, packing, quality, secrets, simhash, token_counts, tokens, url_filter, warc,
 )
 from corpuslens.llm.queries import QUERIES, SQL
 
@@ -94,6 +96,15 @@ def test_runs_hold_every_key_once(spark):
     runs.close()
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = "a line that is long enough to be counted"
+    kept = lambda rows: sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
+    assert kept([(1, line), (1, line), (2, line)]) == [("1", 0), ("1", 0), ("2", 0)]
+    assert kept([(1, line), (1, line + "\n" + line), (2, line), (3, line)]) == [("1", 1), ("1", 2), ("2", 1), ("3", 0)]
+    assert kept([(None, line), (None, line), (2, line)]) == [("2", 0), ("None", 0), ("None", 0)]
+    assert kept([(None, line), (1, line), (2, line)]) == [("1", 1), ("2", 0), ("None", 1)]
+
+
 # --- quality -------------------------------------------------------------------
 
 
@@ -178,8 +189,8 @@ KINDS = {
 def test_secrets_equal_regular_expressions(spark):
     rng = random.Random(5)
     parts = ["password", "PassWd", "secret", "token", "api_key", "ApiKey", "AKIA", "=", ":", " ", '"', "'", "abc", "0123456789abcdef",
-             "deadbeef" * 3, "ABCDEFGH12345678", "é", "x.y", "\n", "ghp_", "AK", "_", "/"]
-    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(4000)]
+             "deadbeef" * 3, "ABCDEFGH12345678", "é", "x.y", "\n", "ghp_", "AK", "_", "/", "token=token:", "secret:secret=", "AKIAAKIA"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(6000)]
     got = {r.doc_id: r for r in secrets.find_secrets(docs_of(spark, texts).repartition(8)).collect()}
     for i, t in texts:
         spans = sorted((m.start(), n, m.end(), k) for n, (k, (rule, fits)) in enumerate(KINDS.items()) for m in rule.finditer(t) if fits(m))
@@ -564,3 +575,160 @@ def test_pipeline_stages(spark):
     assert ids[0] == {i for i, _ in clean + copies + leaked} and ids[1] == ids[0]
     assert {i for i, _ in clean} <= ids[2] and len(ids[2] & {i for i, _ in copies}) < 10
     assert ids[3] == ids[2] - {200} and ids[4] == ids[3]
+
+
+# --- repairs -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("start", ["token=token:", "AKIAAKIAAKIA", "deadbeefdeadbeef", "secret = password: "])
+def test_swallowed_keywords_take_linear_time(start):
+    """Keywords inside a rule's last match are no starts, and looking for them reads no byte twice."""
+    text = start + "a" * 400_000
+    began = time.time()
+    found = secrets.scan(text.encode(), secrets.scanner((*secrets.BASE, *secrets.MORE)))
+    assert time.time() - began < 60
+    want = {(m.start(), m.end(), n) for n, (rule, fits) in enumerate(KINDS.values()) for m in rule.finditer(text) if fits(m)}
+    assert {x for x in found if x[2] < len(secrets.BASE)} == want
+
+
+def test_cut_archives_are_errors():
+    body = b"".join(warc.record("response", i, "u", b"x" * 50, 50, "D", None) for i in range(2))
+    whole = zlib.compressobj(3, zlib.DEFLATED, 31)
+    data = whole.compress(body[: len(body) // 2]) + whole.flush(zlib.Z_FULL_FLUSH)
+    rest = whole.compress(body[len(body) // 2 :]) + whole.flush()
+    assert len(list(warc.records(warc.inflated(io.BytesIO(data + rest))))) == 2
+    assert list(warc.inflated(io.BytesIO(b""))) == []
+    for cut in (data, data + rest[:-1], data + rest[:-8], (data + rest) * 2 + data):
+        with pytest.raises(ValueError, match="ends early"):
+            list(warc.inflated(io.BytesIO(cut)))
+
+
+def test_null_nodes_and_circles_come_back(spark):
+    schema = "conv long, node long, parent long, role string, text string, score double, extra int"
+    rows = [(1, 1, None, "user", "q", 0.0, 1), (1, 2, 1, "assistant", "a", 0.0, 1), (1, None, 1, "user", "x", 0.0, 1), (1, None, None, "assistant", "y", 0.0, 1),
+            (2, 5, 6, "user", "c", 0.0, 1), (2, 6, 5, "user", "d", 0.0, 1), (2, 7, 6, "user", "e", 0.0, 1), (None, None, None, None, None, None, None)]
+    messages = spark.createDataFrame(rows, schema)
+    got = chat.read_back(chat.formatted(messages)).collect()
+    said = sorted((str(r.conv), str(r.leaf), [(t.role, t.text) for t in r.turns], r.learned) for r in got)
+    assert said == [
+        ("1", "2", [("user", "q"), ("assistant", "a")], "a"), ("1", "None", [("assistant", "y")], "y"),
+        ("1", "None", [("user", "x")], ""), ("None", "None", [("", "")], ""),
+    ]
+    assert sorted(r.node for r in chat.unreached(messages).collect()) == [5, 6, 7]
+    assert chat.formatted(messages.limit(0)).count() == chat.unreached(messages.limit(0)).count() == 0
+
+
+# --- exact dedup ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block_bytes", [1, 3, 64])
+def test_equal_texts_share_an_identity(spark, block_bytes):
+    rng = random.Random(block_bytes)
+    texts = [(i, "".join(rng.choice(["a", "b", "é", "ab" * 9, "😀"]) for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 17])))) for i in range(300)]
+    texts += [(None, None), (None, ""), (7, texts[7][1]), (999, "x" * 5000), (998, "x" * 5000), (997, "x" * 4999)]
+    docs = docs_of(spark, texts).withColumn("kept", F.lit(5)).withColumn("name", F.lit("n"))
+    got = block_names.exact_duplicates(docs, block_bytes=block_bytes, with_text=True).collect()
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(t or "", []).append(i)
+    assert len(got) == len(texts) and all(r.name == "n" and r.fp == "f" for r in got)
+    for r in got:
+        ids = groups[r.text or ""]
+        assert r.group_size == len(ids) and r.keep_id == max((i for i in ids if i is not None), default=None)
+    by_identity = {}
+    for r in got:
+        by_identity.setdefault(tuple(r.identity), set()).add(r.text or "")
+    assert len(by_identity) == len(groups) and all(len(t) == 1 for t in by_identity.values())
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    left = block_names.keep_one(docs).collect()
+    assert len(left) == len(groups) and {r.kept for r in left} == {5}
+    assert block_names.exact_duplicates(docs.limit(0)).collect() == [] == block_names.keep_one(docs.limit(0)).collect()
+
+
+def test_a_hash_that_does_not_tell_blocks_apart_is_not_used(spark, monkeypatch):
+    plain = block_names._prints
+    poor = lambda block, seed: [F.length(block).cast("long").alias("h1"), F.lit(0).alias("h2")] if seed == 0 else plain(block, seed)
+    monkeypatch.setattr(block_names, "_prints", poor)
+    rows = block_names.exact_duplicates(docs_of(spark, [(1, "aa"), (2, "bb"), (3, "aa")])).collect()
+    assert {(r.doc_id, r.keep_id) for r in rows} == {(1, 3), (2, 2), (3, 3)}
+
+
+# --- centroid clustering ----------------------------------------------------------
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(*r, 0, "t", 1) for r in rows], "vec_id long, embedding array<float>, label int, cluster int, tag string, id int")
+
+
+def brute_clusters(rows, k, rounds, factor, dims):
+    kept = [(i, [int(np.floor(factor * float(np.float32(x)))) for x in v]) for i, v in rows
+            if v is not None and len(v) == dims and all(x is not None and np.isfinite(x) and abs(x) < 1e4 for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
+    centers = [v for _, v in order[:k]]
+    away = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c))
+    nearest = lambda v: min(range(len(centers)), key=lambda j: (away(v, centers[j]), j))
+    for _ in range(rounds):
+        of = [nearest(v) for _, v in kept]
+        for j in range(len(centers)):
+            own = [v for (_, v), c in zip(kept, of) if c == j]
+            if own:
+                centers[j] = [sum(x) // len(own) for x in zip(*own)]
+    return sorted((str(i), nearest(v), away(v, centers[nearest(v)])) for i, v in kept), centers
+
+
+@pytest.mark.parametrize(("size", "k", "factor"), [(400, 5, 1024), (400, 3, 2), (3, 5, 1024), (60, 1, 8)])
+def test_clusters_equal_plain_rounds(spark, size, k, factor, monkeypatch):
+    monkeypatch.setattr(centroid_clusters, "VECTORS_PER_BLOCK", 50)
+    rng = random.Random(size + k)
+    rows = [(i, [rng.choice([-3.0, 0.0, 4.0]) * (i % 3) + rng.gauss(0, 1) for _ in range(6)]) for i in range(size)]
+    rows += [(None, [0.5] * 6), (size, None), (size + 1, [1.0] * 5), (size + 2, [1.0] * 5 + [float("nan")]), (size + 3, [1.0] * 5 + [None]), (size + 4, [1e30] * 6)]
+    rows += [(0, rows[0][1])] * 3
+    got, centers, scanned = centroid_clusters.cluster_vectors(vectors_of(spark, [(i, v, 0) for i, v in rows]), k, 6, factor=factor, dims=6)
+    want, want_centers = brute_clusters(rows, k, 6, factor, 6)
+    assert sorted((str(r.vec_id), r.cluster, r.distance) for r in got.collect()) == want and centers == want_centers
+    # Later rounds scan only vectors whose gap has expired.
+    assert scanned[0] == len(want) and (k == 1 or size < 50 or factor < 100 or min(scanned) < len(want))
+    none = centroid_clusters.cluster_vectors(vectors_of(spark, [(1, None, 0)]))
+    assert none[0].collect() == [] and none[1] == []
+    total = centroid_clusters.with_inertia(got, centers).select("inertia").first()[0]
+    assert total == sum(d for _, _, d in want)
+
+
+def test_rounds_do_not_shuffle_vectors(spark, monkeypatch):
+    plans, write = [], centroid_clusters.Buckets.write
+    monkeypatch.setattr(centroid_clusters.Buckets, "write", lambda self, kind, rows: (plans.append((kind, rows._jdf.queryExecution().executedPlan().toString())), write(self, kind, rows))[1])
+    centroid_clusters.cluster_vectors(vectors_of(spark, [(i, [float(i % 7), 1.0], 0) for i in range(50)]), 3, 2, dims=2)
+    rounds = [p for kind, p in plans if kind == "heaps"]
+    assert len(rounds) == 2 and all("Exchange" not in p for p in rounds)
+
+
+# --- hard negatives ---------------------------------------------------------------
+
+
+def brute_negatives(rows, every, factor=256):
+    kept = sorted({(i, lab, tuple(int(np.floor(factor * float(np.float32(x)))) for x in v)) for i, v, lab in rows
+                   if i is not None and lab is not None and v and all(x is not None and np.isfinite(x) and abs(x) < 1e4 for x in v)})
+    out = []
+    for a in (r for r in kept if r[0] % every == 0):
+        others = [(sum(x * y for x, y in zip(a[2], r[2])), r) for r in kept if r != a and len(r[2]) == len(a[2])]
+        best = sorted(((-s, r[0]) for s, r in others if r[1] == a[1]))[:5]
+        for s, p in best:
+            near = sorted((-t, r[0]) for t, r in others if r[1] != a[1] and 80 * -s <= 100 * t <= 100 * -s)[:5]
+            out += [(a[0], p, n + 1, i, -s, -t) for n, (t, i) in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("size", "grain"), [(250, 1), (250, 0), (30, 1)])
+def test_negatives_equal_a_full_sort(spark, monkeypatch, size, grain):
+    monkeypatch.setattr(hard_negatives, "ROWS_PER_BLOCK", 37)
+    monkeypatch.setattr(hard_negatives, "ANCHORS_PER_BLOCK", 3)
+    monkeypatch.setattr(hard_negatives, "AT_ONCE", 2)
+    rng = random.Random(size + grain)
+    value = (lambda: rng.gauss(0.3, 1)) if grain else (lambda: float(rng.choice([0, 1])))
+    rows = [(i, [value() for _ in range(4)], rng.randrange(3)) for i in range(size)]
+    rows += [(None, [1.0] * 4, 1), (1000, None, 1), (1001, [1.0] * 4, None), (1002, [None] * 4, 1), (1003, [float("inf")] * 4, 1), (1005, [], 1), (1010, [1.0] * 3, 1), (1011, [1.0] * 3, 2), (1012, [1.0] * 3, 1)]
+    rows += [rows[10], rows[10], rows[3]]
+    got = hard_negatives.mine(vectors_of(spark, rows), F.col("vec_id") % 10 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute_negatives(rows, 10)
+    assert hard_negatives.mine(vectors_of(spark, rows).limit(0), F.col("vec_id") % 10 == 0).collect() == []
+    assert hard_negatives.mine(vectors_of(spark, rows), F.col("vec_id") < 0).collect() == []
