@@ -105,7 +105,7 @@ def review_run(
 
 def catch_up(latest: LatestResults, folder: str) -> None:
     """Adds finished runs that the table of latest results does not hold yet."""
-    spark, known = latest.spark, latest.run_ids()
+    spark, known = latest.spark, latest.added()
     for run_id in finished_runs(spark, folder):
         if run_id not in known:
             latest.add(read_review_snapshot(spark, folder, [run_id]), run_id)

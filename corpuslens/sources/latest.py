@@ -1,117 +1,69 @@
 """The latest result of each file, as a keyed table with levels.
 
 A finished run adds one segment: a narrow row for each of its files, in buckets of
-the file's key. A level that has ``fan_out`` segments is merged into one of the next
-level, newest row first. A run asks each segment for its files by a bucketed join,
-so neither a segment nor any answer text is shuffled, and the number of segments
-grows with the logarithm of the number of runs. What holds at any time is the
-newest version of a small list of segments, which is replaced as a whole.
+the file's key. A run asks each segment for its files by a bucketed join, so neither
+a segment nor any answer text is shuffled.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.arrays import pinned
 from corpuslens.functions.review_text import ERROR_PREFIX
-from corpuslens.operators.storage import children, remove_folder
+from corpuslens.sources.levels import Levels, Segment
 
 KEYS = ["project", "path"]
 # ``ai_analysis`` holds the first characters only: enough to tell an error.
 ROWS = "project string, path string, run_ts timestamp, run_id string, ai_status string, ai_analysis string, file_hash string"
-LIST = "segment string, level int, buckets int, run_ids array<string>"
-
+REST = ["run_ts", "run_id", "ai_status", "ai_analysis", "file_hash"]
 
-@dataclass(frozen=True)
-class Segment:
-    segment: str
-    level: int
-    buckets: int
-    run_ids: tuple[str, ...]
 
-
-class LatestResults:
-    """The table in ``folder``; one run at a time may write to it.
+class LatestResults(Levels):
+    """The table under ``folder``.
 
     While it is open its segments are tables of the session's catalog, as buckets
     are only known to tables; ``close`` takes them out again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, fan_out: int = 4):
-        self.spark, self.folder, self.fan_out = spark, f"{folder}/latest", fan_out
-        self.tables: dict[str, str] = {}
-        versions = children(spark, f"{self.folder}/list", holding="_SUCCESS")
-        self.version = int(versions[-1][2:]) if versions else 0
-        stored = spark.read.schema(LIST).parquet(f"{self.folder}/list/{versions[-1]}").collect() if versions else []
-        self.segments = [Segment(r["segment"], r["level"], r["buckets"], tuple(r["run_ids"])) for r in stored]
-        self.buckets = self.segments[0].buckets if stored else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "latest"
 
-    def run_ids(self) -> set[str]:
-        return {r for s in self.segments for r in s.run_ids}
-
-    def _place(self, segment: str) -> str:
-        return f"{self.folder}/segments/{segment}"
+    def __init__(self, spark: SparkSession, folder: str, fan_out: int = 4):
+        super().__init__(spark, f"{folder}/latest", fan_out, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.tables: set[str] = set()
 
-    def _write(self, rows: DataFrame) -> str:
+    def write(self, rows: DataFrame) -> str:
         """A segment of the newest row per key; the aggregate works inside the buckets' own partitions."""
-        name = f"latest_{uuid.uuid4().hex}"
-        rest = F.struct("run_ts", "run_id", "ai_status", "ai_analysis", "file_hash")
+        name = self.new_name()
         dealt = rows.repartition(self.buckets, *KEYS)
         (
-            dealt.groupBy(*KEYS).agg(F.max(rest).alias("newest")).select(*KEYS, "newest.*")
+            dealt.groupBy(*KEYS).agg(F.max(F.struct(*REST)).alias("newest")).select(*KEYS, "newest.*")
             .write.bucketBy(self.buckets, *KEYS)
             .sortBy(*KEYS)
-            .option("path", self._place(name))
+            .option("path", self.place(name))
             .saveAsTable(name)
         )
-        self.tables[name] = name
+        self.tables.add(name)
         return name
 
+    def merged(self, segments: list[Segment]) -> DataFrame:
+        return self.spark.read.schema(ROWS).parquet(*[self.place(s.segment) for s in segments])
+
     def _table(self, segment: Segment) -> DataFrame:
         if segment.segment not in self.tables:
             keys = ", ".join(KEYS)
             self.spark.sql(
                 f"CREATE TABLE {segment.segment} ({ROWS}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
-                f"INTO {segment.buckets} BUCKETS LOCATION '{self._place(segment.segment)}'"
+                f"INTO {segment.buckets} BUCKETS LOCATION '{self.place(segment.segment)}'"
             )
-            self.tables[segment.segment] = segment.segment
+            self.tables.add(segment.segment)
         return self.spark.table(segment.segment)
 
     def add(self, results: DataFrame, run_id: str) -> None:
         """Adds the results of a finished run (rows of a review snapshot); a known run is left out."""
-        if run_id in self.run_ids():
-            return
         start = F.left("ai_analysis", F.lit(len(ERROR_PREFIX))).alias("ai_analysis")
-        rows = results.select(*KEYS, "run_ts", "run_id", "ai_status", start, "file_hash")
-        made = Segment(self._write(rows), 0, self.buckets, (run_id,))
-        segments, merged = [made, *self.segments], []
-        level = 0
-        while len(full := [s for s in segments if s.level == level]) >= self.fan_out:
-            runs = tuple(r for s in full for r in s.run_ids)
-            made = Segment(self._merged(full), level + 1, self.buckets, runs)
-            segments = [made, *(s for s in segments if s.level != level)]
-            merged += full
-            level += 1
-        self._commit(segments)
-        for old in merged:
-            self._drop(old.segment)
-            remove_folder(self.spark, self._place(old.segment))
-
-    def _merged(self, segments: list[Segment]) -> str:
-        rows = self.spark.read.schema(ROWS).parquet(*[self._place(s.segment) for s in segments])
-        return self._write(rows)
-
-    def _commit(self, segments: list[Segment]) -> None:
-        """The list's new version counts once it is written whole."""
-        before, self.version, self.segments = self.version, self.version + 1, segments
-        rows = [(s.segment, s.level, s.buckets, list(s.run_ids)) for s in segments]
-        listed = self.spark.createDataFrame(rows, LIST).coalesce(1)
-        listed.write.mode("overwrite").parquet(f"{self.folder}/list/v={self.version:010d}")
-        remove_folder(self.spark, f"{self.folder}/list/v={before:010d}")
+        self.add_rows(results.select(*KEYS, "run_ts", "run_id", "ai_status", start, "file_hash"), run_id)
 
     def join(self, files: DataFrame) -> DataFrame:
         """Adds ``prev_found``, ``prev_status``, ``prev_analysis`` (its start), ``prev_hash`` and ``prev_run`` to each file."""
@@ -121,7 +73,7 @@ class LatestResults:
         for i, segment in enumerate(self.segments):
             names.append(f"_newest{i}")
             rows = self._table(segment).select(
-                *KEYS, F.struct("run_ts", "run_id", "ai_status", "ai_analysis", "file_hash").alias(names[-1])
+                *KEYS, F.struct(*REST).alias(names[-1])
             )
             files = files.join(rows, KEYS, "left")
         if not names:
@@ -137,10 +89,11 @@ class LatestResults:
             F.col("_newest.run_id").alias("prev_run"),
         )
 
-    def _drop(self, segment: str) -> None:
-        if self.tables.pop(segment, None):
+    def forget(self, segment: str) -> None:
+        if segment in self.tables:
+            self.tables.discard(segment)
             self.spark.sql(f"DROP TABLE IF EXISTS {segment}")
 
     def close(self) -> None:
         for segment in list(self.tables):
-            self._drop(segment)
+            self.forget(segment)

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from corpuslens.operators.incremental import status_counts
 from corpuslens.operators.storage import materialised, stages_dropped
 from corpuslens.plans.batch import KEYS, ReviewOptions, review_run
+from corpuslens.sources.structure_store import StructureStore
 
 
 def _kept(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -33,11 +34,12 @@ def stream_incremental_review(
 ) -> StreamingQuery:
     """Reviews each micro-batch of ``project, path, text, parse_error, mtime`` rows.
 
-    The batch number is the run id. A batch that is run again replaces its own
-    rows, so every file has one result per batch it came in with. Files that a
+    The batch number is the run id, and a batch that is run again finds what it has
+    finished, so every file has one result per batch it came in with. Files that a
     cooldown skipped, or whose review failed, come again with the next batch,
     unless a newer version of them has arrived. Reviewers see the structure of
-    all files of a project that have arrived so far. ``trigger`` holds the
+    all files of a project that have arrived so far; a local reviewer, which sees no
+    documents, leaves none stored. ``trigger`` holds the
     keyword arguments of the stream's trigger.
 
     Waiting files are kept in two folders used in turn: a batch reads the one and
@@ -46,18 +48,15 @@ def stream_incremental_review(
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        store = StructureStore(spark, f"{folder}/structure")
         with stages_dropped(spark):
             waiting = _kept(spark, f"{folder}/waiting/{(batch_id - 1) % 2}", batch.schema)
             waiting = waiting.join(batch.select(*KEYS), KEYS, "left_anti")
             rows = materialised(batch.unionByName(waiting))
 
             def arrived(analysis: DataFrame) -> DataFrame:
-                analysis.write.mode("overwrite").parquet(f"{folder}/structure/batch={batch_id}")
-                stored = _kept(spark, f"{folder}/structure", StructType(analysis.schema.fields).add("batch", "long"))
-                stored = stored.filter(F.col("batch") <= batch_id)
-                here = stored.join(analysis.select("project").distinct(), "project", "left_semi")
-                newest = here.groupBy(*KEYS).agg(F.max("batch").alias("batch"))
-                return materialised(here.join(newest, [*KEYS, "batch"], "left_semi").drop("batch"))
+                store.add(analysis, batch_id)
+                return materialised(store.of(analysis, batch_id))
 
             results = review_run(rows, folder, f"batch-{batch_id:010d}", now(), options, context=arrived)
             again = results.filter(F.col("ai_status").isin("skipped", "error")).select(*KEYS)

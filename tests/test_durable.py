@@ -14,6 +14,7 @@ from corpuslens.plans import batch as B
 from corpuslens.sources import answers as AN
 from corpuslens.sources import latest as LT
 from corpuslens.sources import sinks as K
+from corpuslens.sources import structure_store as ST
 
 FILES = "project string, path string, text string, parse_error string, mtime timestamp"
 
@@ -103,7 +104,7 @@ def test_latest_results_by_levels(spark, tmp_path):
         want |= {(r[0], r[1]): (r[2], r[3][:7], r[4], f"r{n}") for r in rows.values()}
     table.close()
     table = LT.LatestResults(spark, str(tmp_path), fan_out=2)
-    assert len(table.segments) <= 4 and table.run_ids() == {f"r{n}" for n in range(9)}
+    assert len(table.segments) <= 4 and table.added() == {f"r{n}" for n in range(9)}
     assert len(children(spark, f"{tmp_path}/latest/segments")) == len(table.segments)
     files = spark.createDataFrame([(p, f"f{i}") for p in ("p", "x") for i in range(50)], "project string, path string")
     got = {(r.project, r.path): r for r in table.join(files).collect()}
@@ -154,3 +155,21 @@ def test_finished_runs_stay_and_texts_come_from_the_runs_that_hold_them(spark, t
     plan = plan_of(texts)
     assert "Sort [" not in plan and "r5000" in plan and "r4000" not in plan
     table.close()
+
+
+def test_stored_structure_does_not_grow_with_batches(spark, tmp_path):
+    """Thirty batches: what one project reads stays at a few segments, and is the newest of each file."""
+    store, want, read = ST.StructureStore(spark, str(tmp_path), fan_out=3), {}, []
+    schema = "project string, path string, headers array<string>, classes array<struct<name:string,public_methods:array<string>>>, parse_error string"
+    for n in range(30):
+        rows = [(f"p{n % 4}", f"f{n % 3}.c", [f"h{n}"], [], ""), ("all", f"f{n % 5}.c", [f"h{n}"], [], "")]
+        store.add(spark.createDataFrame(rows, schema), n)
+        store.add(spark.createDataFrame(rows[:0], schema), n)
+        want |= {(r[0], r[1]): r[2] for r in rows}
+        if n % 10 == 9:
+            found = store.of(spark.createDataFrame([("all",), ("p1",), ("new",)], "project string"), n)
+            assert {(r.project, r.path): r.headers for r in found.collect()} == {k: v for k, v in want.items() if k[0] in ("all", "p1")}
+            read.append(len(found.inputFiles()))
+    assert len(store.segments) <= 7 and max(read) <= 3 * 7
+    again = ST.StructureStore(spark, str(tmp_path), fan_out=3)
+    assert again.segments == store.segments and ST.StructureStore(spark, f"{tmp_path}/none").of(found, 3).count() == 0
