@@ -28,7 +28,7 @@ from corpuslens.operators import review as V
 from corpuslens.operators.order import with_positions
 from corpuslens.operators.storage import materialised, shared_folder
 from corpuslens.plans import batch as B
-from corpuslens.schemas import RUN_STATE
+from corpuslens.schemas import ANALYSIS_DOCUMENT, RUN_STATE
 from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import latest as LT
@@ -182,6 +182,19 @@ def load_analysis_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(Q.upto("analysis", f"""select project, cast(pos as bigint) as pos, path, array_to_string(headers, ' | ') as headers,
+  {CLASS_TEXT_SQL} as classes, parse_error from (select *, {POSITION_SQL} as pos from analysis)"""))
+def load_analysis_doc_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each project's document is one file, laid out over many lines."""
+    folder = scratch(spark, "documents")
+    whole = N.project_documents(N.project_snapshot(analysis(spark, sf_dir)))
+    laid_out = F.to_json(F.from_json("document", ANALYSIS_DOCUMENT), {"pretty": "true", "ignoreNullFields": "false"})
+    whole.select("project", laid_out.alias("value")).write.partitionBy("project").text(folder)
+    return D.load_analysis_doc(spark, folder, multi_line=True).select(
+        "project", "pos", "path", joined("headers").alias("headers"), class_text().alias("classes"), "parse_error"
+    )
+
+
 @query(f"""select doc_id, path, ai_status, ai_analysis, issues from (
   select doc_id, {I.FILE_PATH} as path, 'generated' as ai_status, text as ai_analysis, 'a | b' as issues from documents where doc_id % 12 = 0
   union all select doc_id, {I.FILE_PATH}, 'cached', text, '' from documents where doc_id % 12 = 11)""")
@@ -393,6 +406,22 @@ def result_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_columns(C.settled_results(decided(spark, sf_dir), ["project"]))
 
 
+@query(Q.decided("""select project, 2 + row_number() over (partition by project order by pos) as line, path, ai_status,
+  sha256(ai_analysis) as digest, file_hash from results where action <> 'pending'"""))
+def write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report documents as they are written, each line of them parsed alone and numbered by its place."""
+    folder, out = scratch(spark, "run"), scratch(spark, "report")
+    K.write_review_snapshot(C.settled_results(decided(spark, sf_dir), ["project"]), folder, "r1", "m", F.timestamp_seconds(F.lit(0)))
+    K.write_report(spark, folder, "r1", I.manifest(spark, sf_dir), out)
+    lines = spark.read.text(out).select(
+        "project", "value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at")
+    )
+    placed = with_positions(materialised(lines), [F.col("file"), F.col("at")], ["project"], "line")
+    entry = F.from_json(F.ltrim("value", F.lit(",")), "path string, ai_status string, ai_analysis string, file_hash string")
+    rows = placed.select("project", (F.col("line") + 2).alias("line"), "value", entry.alias("e")).where(F.startswith(F.ltrim("value", F.lit(",")), F.lit('{"path"')))
+    return rows.select("project", "line", "e.path", "e.ai_status", F.sha2("e.ai_analysis", 256).alias("digest"), "e.file_hash")
+
+
 # --- joins -------------------------------------------------------------------
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +13,15 @@ from corpuslens.operators.incremental import dedupe_last
 from corpuslens.schemas import ANALYSIS_DOCUMENT, CLASSES
 
 
-def load_analysis_doc(spark: SparkSession, path: str) -> DataFrame:
+def load_analysis_doc(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Analysis documents as rows ``project, pos, path, headers, classes, parse_error``.
 
     One object per line, as :func:`corpuslens.sources.sinks.write_snapshot` writes
-    them, so a line is the unit of parallel reading. ``pos`` is the file's place
+    them, so a line is the unit of parallel reading; with ``multi_line`` each file is
+    one document, laid out over lines in any way. ``pos`` is the file's place
     in its project.
     """
-    documents = spark.read.schema(ANALYSIS_DOCUMENT).json(path)
+    documents = spark.read.schema(ANALYSIS_DOCUMENT).option("multiLine", multi_line).json(path)
     return documents.select(
         F.col("root").alias("project"), "first", F.posexplode("files").alias("pos", "file")
     ).select(
@@ -30,6 +34,25 @@ def load_analysis_doc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def load_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Report documents, one to a file, as rows ``file, document`` for the two readers below."""
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("document")
+    )
+
+
+@contextmanager
+def _last_key_wins(spark: SparkSession) -> Iterator[None]:
+    """JSON values made inside take the last of a key's values; the session's setting comes back afterwards."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _type_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
@@ -45,11 +68,14 @@ def load_prev_report(reports: DataFrame, document: str = "document") -> DataFram
 
     A broken document, or one whose results are no list, gives no rows; entries
     that are no object or have no text path are left out; of several entries for
-    one path the last wins. Other columns of ``reports`` are kept as keys.
+    one path the last wins, and of a key's several values in one object. Other
+    columns of ``reports`` are kept as keys.
     """
     keys = [c for c in reports.columns if c != document]
-    results = F.try_variant_get(F.try_parse_json(document), "$.results", "array<variant>")
-    rows = reports.select(*keys, F.posexplode(results).alias("pos", "entry"))
+    with _last_key_wins(reports.sparkSession):
+        parsed = reports.select(*keys, F.try_parse_json(document).alias("_value"))
+    results = F.try_variant_get("_value", "$.results", "array<variant>")
+    rows = parsed.select(*keys, F.posexplode(results).alias("pos", "entry"))
     entry = F.col("entry")
     issues = F.try_variant_get(entry, "$.rule_based_issues", "array<string>")
     flat = rows.filter(F.startswith(_type_of(entry), F.lit("OBJECT"))).select(
@@ -114,20 +140,29 @@ def _entry_is_typed(entry: Column) -> Column:
 
 
 def check_report(reports: DataFrame, document: str = "document") -> DataFrame:
-    """Adds ``report_error``, empty for a document that follows the format."""
+    """Adds ``report_error``, empty for a document that follows the format.
+
+    Of a key's several values in one object the last counts. A model that is no
+    text is an error of the format, whether or not there are results.
+    """
+    with _last_key_wins(reports.sparkSession):
+        return _checked(reports, document)
+
+
+def _checked(reports: DataFrame, document: str) -> DataFrame:
     text = F.col(document)
     value = F.try_parse_json(text)
     results = F.try_variant_get(value, "$.results", "variant")
     entries = F.try_variant_get(results, "$", "array<variant>")
     whole = _is_one_json_value(text) & F.startswith(_type_of(value), F.lit("OBJECT"))
+    named = _is_text_or_missing(value, "$.model")
     typed = (
-        _is_text_or_missing(value, "$.model")
-        & F.startswith(_type_of(results), F.lit("ARRAY"))
+        F.startswith(_type_of(results), F.lit("ARRAY"))
         & F.coalesce(F.forall(entries, _entry_is_typed), F.lit(False))
     )
     return reports.withColumn(
         "report_error",
-        F.when(~F.coalesce(whole, F.lit(False)), BROKEN_REPORT)
+        F.when(~F.coalesce(whole & named, F.lit(False)), BROKEN_REPORT)
         .when(results.isNull(), NO_RESULTS)
         .when(~F.coalesce(typed, F.lit(False)), BROKEN_REPORT)
         .otherwise(""),

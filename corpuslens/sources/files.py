@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import stat
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs
@@ -10,13 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import SKIPPED_DIRECTORIES, in_skipped_directory, is_source_file
-from corpuslens.operators.storage import materialised
+from corpuslens.operators.storage import materialised, qualified
 
-ENTRIES = "path string, kind string, mtime timestamp, length bigint"
+ENTRIES = "path string, kind string, mtime timestamp, length bigint, warning string"
 FILES = "path string, relative_path string, content binary, mtime timestamp, length bigint"
 
 
 BYTES_PER_TASK = 256 * 1024 * 1024
+ENTRIES_AT_ONCE = 10_000
+# Beginnings of the warnings about entries that cannot be looked at, and folders that cannot be listed to their end.
+NO_METADATA = "Filesystem metadata failed at "
+NO_TRAVERSAL = "Unable to continue directory traversal after "
 
 
 def open_store(root: str) -> tuple[fs.FileSystem, str]:
@@ -26,30 +33,65 @@ def open_store(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
-def _entries(infos: list[fs.FileInfo]) -> pd.DataFrame:
-    kinds = {fs.FileType.Directory: "directory", fs.FileType.File: "file"}
-    frame = pd.DataFrame(
-        [(i.path, kinds.get(i.type, "other"), i.mtime_ns, max(i.size or 0, 0)) for i in infos],
-        columns=["path", "kind", "mtime", "length"],
-    )
+Entry = tuple[str, str, int | None, int, str]
+
+
+def _described(info: fs.FileInfo) -> Entry:
+    kinds = {fs.FileType.Directory: "directory", fs.FileType.File: "file", fs.FileType.NotFound: "missing"}
+    return info.path, kinds.get(info.type, "other"), info.mtime_ns, max(info.size or 0, 0), ""
+
+
+def _local_entry(entry: os.DirEntry) -> Entry:
+    """A link to a file is the file; a link to a folder is not entered; one that leads nowhere is a warning."""
+    try:
+        about = entry.stat()
+    except OSError as error:
+        return entry.path, "missing", None, 0, f"{NO_METADATA}{entry.path}: {error.strerror}"
+    kind = "other"
+    if stat.S_ISDIR(about.st_mode):
+        kind = "link" if entry.is_symlink() else "directory"
+    elif stat.S_ISREG(about.st_mode):
+        kind = "file"
+    return entry.path, kind, about.st_mtime_ns, about.st_size, ""
+
+
+def _listed(store: fs.FileSystem, folder: str) -> Iterator[Entry]:
+    """The entries of one folder; one without permission has none, and any other trouble is a warning."""
+    try:
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(folder) as entries:
+                yield from map(_local_entry, entries)
+        else:
+            yield from map(_described, store.get_file_info(fs.FileSelector(folder)))
+    except PermissionError:
+        return
+    except OSError as error:
+        yield folder, "broken", None, 0, f"{NO_TRAVERSAL}{folder}: {error.strerror or error}"
+
+
+def _entries(found: Iterable[Entry]) -> pd.DataFrame:
+    frame = pd.DataFrame(list(found), columns=["path", "kind", "mtime", "length", "warning"])
     frame["mtime"] = pd.to_datetime(frame["mtime"]).dt.floor("us")
     return frame
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Entries below ``root``, level by level; skipped directories are not entered.
+    """Entries below ``root``, level by level; skipped directories and links to folders are not entered.
 
     The built-in file reader leaves out empty files and names that start with a
     dot or an underscore, so the folders of a level are listed by tasks here.
-    There is one small job per level of the tree.
+    There is one small job per level of the tree; a folder's entries come in pieces.
     """
+    root = qualified(spark, root)
     _, top = open_store(root)
 
     def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, _ = open_store(root)
         for batch in batches:
             for path in batch["path"]:
-                yield _entries(files.get_file_info(fs.FileSelector(path)))
+                found = _listed(files, path)
+                while piece := list(islice(found, ENTRIES_AT_ONCE)):
+                    yield _entries(piece)
 
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     level = spark.createDataFrame([(top.rstrip("/"),)], "path string")
@@ -69,6 +111,13 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return entries
 
 
+def traversal_warnings(entries: DataFrame, project: str) -> DataFrame:
+    """What could not be listed, as rows of :func:`corpuslens.operators.analysis.diagnostics`."""
+    return entries.where(F.col("warning") != "").select(
+        F.lit(project).alias("project"), "path", F.lit("traverse").alias("stage"), F.col("warning").alias("message")
+    )
+
+
 def _with_content(root: str, files: DataFrame) -> DataFrame:
     _, top = open_store(root)
     skip = len(top.rstrip("/")) + 1
@@ -95,12 +144,22 @@ def _with_content(root: str, files: DataFrame) -> DataFrame:
     return files.mapInPandas(read, FILES)
 
 
-def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_code_files(spark: SparkSession, root: str, entries: DataFrame | None = None) -> DataFrame:
     """Source files below ``root``; a file that cannot be read has null content.
 
-    Names are filtered before any content is read.
+    Names are filtered before any content is read. A root that is a file is read by
+    :func:`scan_single_file`; one that is not there is an error. ``entries`` may hand
+    in what :func:`list_tree` gave for the same root.
     """
-    found = list_tree(spark, root).filter((F.col("kind") == "file") & is_source_file(F.col("path")))
+    root = qualified(spark, root)
+    store, top = open_store(root)
+    about = store.get_file_info(top)
+    if about.type == fs.FileType.File:
+        return scan_single_file(spark, root)
+    if about.type != fs.FileType.Directory:
+        raise FileNotFoundError(f"Unable to traverse {root}: no such folder")
+    listed = list_tree(spark, root) if entries is None else entries
+    found = listed.filter((F.col("kind") == "file") & is_source_file(F.col("path")))
     total = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(spark.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
     return _with_content(root, found.select("path", "mtime", "length").repartition(tasks))
@@ -108,8 +167,9 @@ def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_single_file(spark: SparkSession, path: str) -> DataFrame:
     """One file as a root: no rows, and no error, when it is not a source file."""
+    path = qualified(spark, path)
     store, plain = open_store(path)
-    found = spark.createDataFrame(_entries([store.get_file_info(plain)]), ENTRIES)
+    found = spark.createDataFrame(_entries([_described(store.get_file_info(plain))]), ENTRIES)
     kept = found.filter((F.col("kind") == "file") & is_source_file(F.col("path")))
     return _with_content(path.rsplit("/", 1)[0], kept.select("path", "mtime", "length"))
 

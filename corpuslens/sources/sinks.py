@@ -90,6 +90,30 @@ def report_view(results: DataFrame) -> DataFrame:
     return results.select("project", F.to_json(F.struct(*fields)).alias("result"))
 
 
+def write_report(spark: SparkSession, folder: str, run_id: str, manifest: DataFrame, path: str) -> None:
+    """A finished run as report documents: root, model, time, statistics and the results in manifest order.
+
+    One folder per project under ``path``; its files, put together in order of their
+    names, are one JSON document with a line to each result. Lines are ranged by
+    project and place, so a large project is several files and no task holds it.
+    ``manifest`` has ``project, path, pos``; results without a place are left out.
+    """
+    results = read_review_snapshot(spark, folder, [run_id])
+    fields = ["path", "rule_based_issues", "ai_status", "ai_analysis", "file_hash"]
+    entry = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    lines = manifest.select("project", "path", "pos").join(results, ["project", "path"]).select("project", "pos", entry.alias("entry"))
+    first = lines.groupBy("project").agg(F.min("pos").alias("first"))
+    comma = F.when(F.col("pos") > F.col("first"), F.lit(",")).otherwise(F.lit(""))
+    body = lines.join(first, "project").select("project", "pos", F.concat(comma, "entry").alias("value"))
+    # One row per project.
+    runs = read_runs(spark, folder).where(F.col("run_id") == run_id)
+    head = F.regexp_replace(F.to_json(F.struct(F.col("project").alias("root"), "model", "generated_at_utc", "stats")), r"\}\z", "")
+    edge = lambda place, value: runs.select("project", F.lit(place).cast("long").alias("pos"), value.alias("value"))
+    whole = body.unionByName(edge(-(1 << 62), F.concat(head, F.lit(',"results":[')))).unionByName(edge(1 << 62, F.lit("]}")))
+    ranged = whole.repartitionByRange("project", "pos").sortWithinPartitions("project", "pos")
+    ranged.select("project", "value").write.partitionBy("project").text(path)
+
+
 def save_run_state(starts: DataFrame, folder: str, run_id: str) -> None:
     """Stores the starts ``project, started_at`` (epoch seconds) of one run."""
     starts.select("project", "started_at").write.mode("overwrite").parquet(

@@ -424,3 +424,84 @@ def test_tree_walk(spark, tmp_path):
     assert {(r.path.rsplit("/", 1)[-1], r.text) for r in files.collect()} >= {("empty.c", ""), ("a.cpp", "x")}
     assert FS.scan_single_file(spark, str(root / "s/g.HPP")).count() == 0
     assert FS.scan_single_file(spark, str(root / "a.cpp")).count() == 1
+
+
+def test_links_a_file_root_and_folders_that_cannot_be_listed(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    (root / "real").mkdir(parents=True)
+    (root / "real/a.cpp").write_text("a")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/far.cpp").write_text("far")
+    (tmp_path / "one.h").write_text("one")
+    (root / "folder_link").symlink_to(tmp_path / "other")
+    (root / "circle").symlink_to(root)
+    (root / "file_link.c").symlink_to(tmp_path / "one.h")
+    (root / "nowhere.c").symlink_to(tmp_path / "gone.c")
+    (root / ("x" * 20)).mkdir()
+    entries = FS.list_tree(spark, str(root))
+    got = {r.relative_path: bytes(r.content).decode() for r in FS.scan_code_files(spark, str(root), entries).collect()}
+    assert got == {"real/a.cpp": "a", "file_link.c": "one"}
+    warned = FS.traversal_warnings(entries, "p").collect()
+    assert [(r.project, r.stage, r.message) for r in warned] == [
+        ("p", "traverse", f"Filesystem metadata failed at {root}/nowhere.c: No such file or directory")
+    ]
+    assert [(r.path.rsplit("/", 1)[-1], r.text) for r in B.scan_project(spark, str(tmp_path / "one.h"), "p").collect()] == [("one.h", "one")]
+    with pytest.raises(FileNotFoundError):
+        FS.scan_code_files(spark, str(tmp_path / "not there"))
+    # Folders without permission are passed over; other trouble is a warning.
+    store = FS.fs.LocalFileSystem()
+
+    def refuse(error):
+        def scandir(folder):
+            raise error
+
+        monkeypatch.setattr(FS.os, "scandir", scandir)
+
+    refuse(PermissionError(13, "Permission denied"))
+    assert list(FS._listed(store, "/d")) == []
+    refuse(OSError(5, "Input/output error"))
+    assert [e[4] for e in FS._listed(store, "/d")] == ["Unable to continue directory traversal after /d: Input/output error"]
+
+
+def test_documents_laid_out_over_lines(spark, tmp_path):
+    files = [{"path": f"f{i}.c", "headers": ["a"], "classes": [{"name": "T", "public_methods": ["void f();"]}], "parse_error": ""} for i in range(3)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/one.json").write_text(json.dumps({"root": "p", "files": files}, indent=2))
+    (tmp_path / "d/two.json").write_text(json.dumps({"root": "q", "files": []}, indent=2))
+    rows = D.load_analysis_doc(spark, str(tmp_path / "d"), multi_line=True).collect()
+    assert [(r.project, r.pos, r.path, r.classes[0].public_methods) for r in rows] == [("p", i, f"f{i}.c", ["void f();"]) for i in range(3)]
+
+
+def test_reports_out_and_in(spark, tmp_path):
+    folder = str(tmp_path / "reviews")
+    files = [("p", f"d/f{i}.c", "while(true)" if i % 2 else "int x;") for i in range(40)] + [("q", "z.c", "int z;")]
+    B.review_run(source_rows(spark, *files), folder, "r1", 1000.0, B.ReviewOptions(per_minute=0))
+    manifest = spark.createDataFrame([(p, f, 100 - i) for i, (p, f, _) in enumerate(files)], "project string, path string, pos long")
+    K.write_report(spark, folder, "r1", manifest, str(tmp_path / "report"))
+    whole = {}
+    for project in ("p", "q"):
+        parts = sorted((tmp_path / f"report/project={project}").glob("part-*"))
+        whole[project] = json.loads("".join(p.read_text() for p in parts))
+    report = whole["p"]
+    assert report["root"] == "p" and report["model"] == "offline-rules" and report["generated_at_utc"] == "1970-01-01T00:16:40Z"
+    assert report["stats"] == {"generated": 40, "cached": 0, "skipped": 0, "errors": 0}
+    assert [r["path"] for r in report["results"]] == [f"d/f{i}.c" for i in reversed(range(40))]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/p.json").write_text(json.dumps(report, indent=2))
+    documents = D.load_reports(spark, str(tmp_path / "in"))
+    strict = D.parse_report_strict(documents).collect()
+    assert [(r.pos, r.path, r.model, r.ai_status) for r in strict][:2] == [(0, "d/f39.c", "offline-rules", "generated"), (1, "d/f38.c", "offline-rules", "generated")]
+    assert D.load_prev_report(documents).count() == 40
+
+
+def test_the_last_of_a_keys_values_counts(spark):
+    texts = {
+        "twice": '{"model":"a","model":"b","results":[{"path":"x","path":"y","ai_analysis":"t"}]}',
+        "results": '{"results":5,"results":[]}', "model": '{"model":1}', "none": '{"model":"m"}',
+    }
+    rows = spark.createDataFrame(list(texts.items()), "name string, document string")
+    errors = {r.name: r.report_error for r in D.check_report(rows).collect()}
+    assert errors == {"twice": "", "results": "", "model": D.BROKEN_REPORT, "none": D.NO_RESULTS}
+    strict = [(r.name, r.model, r.path) for r in D.parse_report_strict(rows).collect()]
+    assert strict == [("twice", "b", "y")] and [r.path for r in D.load_prev_report(rows).collect()] == ["y"]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
