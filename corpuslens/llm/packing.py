@@ -4,7 +4,8 @@ Pieces are spread over shards of a few thousand. A shard's packing is bred on
 several islands: a crossover injects whole well-filled sequences of another
 parent, takes out the sequences that now hold a piece twice, and puts displaced
 pieces where they fit best. After each round the islands of a shard hand their
-best packing on to the next island. A shard at its lower bound stops at once.
+best packing on to the next island. Every shard is first packed once by best fit,
+and one that reaches its lower bound that way breeds nothing.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def evolve(lengths: list[int], elites: list[Bins], room: int, rng: random.Random
     """The best packing an island finds, starting from the elites that it holds."""
     bound = -(-sum(lengths) // room)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    people = [*elites, best_fit(lengths, order, room)]
+    people = elites[:] or [best_fit(lengths, order, room)]
     while len(people) < POPULATION:
         shaken = sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0))
         if min(map(len, people)) <= bound:
@@ -147,6 +148,19 @@ def _bins(place: list[int]) -> Bins:
     return bins
 
 
+def _pack_once(room: int):
+    """Best fit in order of length, and the bound that no packing can go below."""
+
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        lengths = items.sort_values("row")["length"].tolist()
+        bins = best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), room)
+        used, full = fitness(lengths, bins, room)
+        made = {"shard": [items["shard"].iloc[0]], "place": [_numbers(bins, len(lengths))], "used": [-used], "full": [full]}
+        return pd.DataFrame(made | {"bound": [-(-sum(lengths) // room)]})
+
+    return run
+
+
 def _evolve_round(number: int, room: int):
     def run(key: tuple, items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(key[0]), int(key[1])
@@ -164,6 +178,24 @@ def _evolve_round(number: int, room: int):
     return run
 
 
+def _bred(items: DataFrame, start: DataFrame, room: int) -> DataFrame:
+    """``shard``, ``place``: the best packing that the islands of each shard find from a first one."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
+    narrow = items.select("shard", "row", "length", each)
+    state = "shard int, island int, place array<int>, used long, full double"
+    elites = start.select("shard", each, "place", "used", "full")
+    for number in range(ROUNDS):
+        # An island goes on from its own best and from that of the one before it.
+        own = elites.select("shard", "island", F.col("island").alias("from"), "place")
+        sent = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("island").alias("from"), "place")
+        elites = materialised(
+            narrow.groupBy("shard", "island")
+            .cogroup(own.unionByName(sent).groupBy("shard", "island"))
+            .applyInPandas(_evolve_round(number, room), state)
+        )
+    return elites.groupBy("shard").agg(F.min_by("place", F.struct("used", -F.col("full"), "island")).alias("place"))
+
+
 def _placed(room: int):
     def run(key: tuple, items: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values("row").reset_index(drop=True)
@@ -190,19 +222,16 @@ def pack(docs: DataFrame, room: int = ROOM, paths: tuple[str, str] | None = None
     shards = max(1, -(-loose.count() // shard))
     # Numbers of a task follow each other, so hashing them deals evenly whatever the keys are.
     dealt = loose.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    narrow = dealt.select("shard", "row", "length", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-    state = "shard int, island int, place array<int>, used long, full double"
-    elites = docs.sparkSession.createDataFrame([], state)
-    for number in range(ROUNDS):
-        # An island goes on from its own best and from that of the one before it.
-        own = elites.select("shard", "island", F.col("island").alias("from"), "place")
-        sent = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("island").alias("from"), "place")
-        elites = materialised(
-            narrow.groupBy("shard", "island")
-            .cogroup(own.unionByName(sent).groupBy("shard", "island"))
-            .applyInPandas(_evolve_round(number, room), state)
-        )
-    best = elites.groupBy("shard").agg(F.min_by("place", F.struct("used", -F.col("full"), "island")).alias("place"))
+    first = materialised(
+        dealt.select("shard", "row", "length").groupBy("shard")
+        .applyInPandas(_pack_once(room), "shard int, place array<int>, used long, full double, bound long")
+    )
+    # A shard at its bound is done; only the others go to the islands.
+    above = first.where("used > bound").drop("bound")
+    best = first.select("shard", "place")
+    if not above.isEmpty():
+        bred = _bred(dealt.join(above.select("shard"), "shard"), above, room)
+        best = first.where("used <= bound").select("shard", "place").unionByName(bred)
     kind = found.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     placed = dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(_placed(room), columns)
