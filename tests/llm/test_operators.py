@@ -555,6 +555,27 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got["good.one.com"][0] < got["new.two.com"][0] < got["once.two.com"][0] < got["bad.one.com"][0]
 
 
+def test_beta_bounds_hold_their_share():
+    rng = np.random.default_rng(3)
+    a, b = rng.uniform(0.3, 80, 60), rng.uniform(0.3, 80, 60)
+    low = url_filter.beta_low(a, b)
+    for x, p, q in zip(low, a, b):
+        # Samples below the bound: 5 % of them, but for chance.
+        assert abs((rng.beta(p, q, 40_000) < x).mean() - 0.05) < 0.008
+    assert np.allclose(url_filter.beta_low(np.array([1.0, 2.0]), np.array([1.0, 1.0]), 0.25), [0.25, 0.5], atol=1e-9)
+
+
+def test_domains_by_a_table_of_suffixes(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.gov.uk", "gov.uk", "x.github.io", "github.io", "www.one.com", "com", "", "p.q.r.s")], "host string")
+    table = spark.createDataFrame([("gov.uk",), ("GitHub.io",), ("uk",), (None,), ("uk",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in url_filter.with_domains(hosts, table).collect()}
+    assert got == {
+        "a.b.gov.uk": ("gov.uk", "b.gov.uk"), "gov.uk": ("gov.uk", "gov.uk"), "x.github.io": ("github.io", "x.github.io"),
+        "github.io": ("github.io", "github.io"), "www.one.com": ("com", "one.com"), "com": ("com", "com"), "": ("", ""), "p.q.r.s": ("s", "r.s"),
+    }
+    assert {r.suffix for r in url_filter.with_domains(hosts).where("host like '%uk'").collect()} == {"uk"}
+
+
 # --- the pipeline --------------------------------------------------------------
 
 
