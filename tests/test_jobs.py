@@ -1,7 +1,10 @@
 """Operators on skewed and dense inputs, and whole runs, against plain Python."""
 
 import json
+import os
 import random
+import subprocess
+import sys
 import time
 from collections import Counter, deque
 from pathlib import Path
@@ -505,3 +508,22 @@ def test_the_last_of_a_keys_values_counts(spark):
     strict = [(r.name, r.model, r.path) for r in D.parse_report_strict(rows).collect()]
     assert strict == [("twice", "b", "y")] and [r.path for r in D.load_prev_report(rows).collect()] == ["y"]
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_the_package_is_shipped(tmp_path):
+    """A session elsewhere, without the repository on its path, runs Python tasks of the library."""
+    script = f"""
+import sys
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", r"{tmp_path}/c").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, r"{Path(__file__).resolve().parents[1]}")
+from corpuslens.ship import ship
+from corpuslens.operators.review import offline_reviewer, review_files
+ship(spark)
+rows = spark.range(3).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("").alias("request"), F.array().cast("array<string>").alias("rule_based_issues"))
+print("REVIEWED", review_files(rows, offline_reviewer, ["path"], concurrency=1).where("ai_status = 'generated'").count())
+"""
+    (tmp_path / "job.py").write_text(script)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "REVIEWED 3" in done.stdout, done.stderr[-2000:]
