@@ -28,18 +28,16 @@ def texts(count, seed):
 def test_parsing_equals_plain_python(spark):
     rows = texts(20000, 7)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string")
-    got = parse.with_traces(parse.with_headers(parse.with_stripped(df.repartition(8)))).collect()
+    got = parse.with_traces(parse.with_stripped(df.repartition(8))).collect()
     wrong = []
     for row in got:
         stripped = brute.strip_comments(rows[row.i])
         want = (
             stripped,
-            brute.headers(stripped),
             [(k, n, o, c) for k, n, o, c in brute.types(stripped)],
         )
         have = (
             row.stripped,
-            row.headers,
             [(b.keyword, b.name, b.open, b.close) for b in row.bodies],
         )
         if want != have:
@@ -72,6 +70,32 @@ def test_statement_predicates(spark):
     assert df.where(~have.eqNullSafe(F.col("want"))).collect() == []
 
 
+# Lines, and the name that each includes (None: none).
+INCLUDES = [
+    ("#include <v>", "v"), ('# include "w.h"', "w.h"), ("\t#\tinclude <a/b.hpp> // why", "a/b.hpp"), ("#include<x>", "x"),
+    ('   #include "y z"  ', "y z"), ("#include <>", ""), ("/* before */ #include <after>", "after"), ("#include \"it's\"", "it's"),
+    ('const char* r = R"x(\n#include <raw>\n)x";', "raw"),
+    ('#include "open', None), ("#include name", None), ("int x; #include <no>", None), ("// #include <no>", None),
+    ("/* #include <no>\n#include <no2> */", None), ("#define include <no>", None), ("#includes <no>", None),
+    ('const char* s = "#include <no>";', None), ("", None), ("#", None), ("int a;", None),
+]
+
+
+def test_files_of_known_includes(spark):
+    """Files are written out of lines, so that the names that must be found are known, each once and in order."""
+    rng, files = random.Random(12), []
+    for number in range(3000):
+        lines = [rng.choice(INCLUDES) for _ in range(rng.randint(0, 12))]
+        # An unfinished literal reaches into what follows, so it only ever ends a file.
+        lines = [x for x in lines if x[0] != '#include "open'] + [x for x in lines if x[0] == '#include "open'][:1]
+        text = rng.choice(["\n", "\r\n"]).join(line for line, _ in lines)
+        files.append((number, text, list(dict.fromkeys(name for _, name in lines if name is not None))))
+    df = spark.createDataFrame([f[:2] for f in files], "i int, text string").repartition(8)
+    got = {r.i: r.headers for r in parse.with_headers(parse.with_stripped(df)).select("i", "headers").collect()}
+    wrong = [(text, want, got[i]) for i, text, want in files if got[i] != want]
+    assert not wrong, (len(wrong), wrong[:2])
+
+
 # Member text, and the statement that is found for it in a public section (None: none).
 MEMBERS = [
     ("void m#();", "void m#();"),
