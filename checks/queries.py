@@ -33,6 +33,7 @@ from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import latest as LT
 from corpuslens.sources import sinks as K
+from corpuslens.sources.tree import SourceTree
 from corpuslens.streaming import incremental as SI
 from corpuslens.streaming import gates as SG
 
@@ -115,6 +116,16 @@ def scan_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"with {Q.FILES} select path, cast(strlen(content) as bigint) as length, sha256(content) as digest from files where {SOURCE_FILTER}")
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree through the data source."""
+    root = scratch(spark, "tree")
+    write_tree(source_files(spark, sf_dir), root)
+    spark.dataSource.register(SourceTree)
+    found = spark.read.format("source_tree").load(root)
+    return found.select(F.col("relative_path").alias("path"), "length", F.sha2("content", 256).alias("digest"))
+
+
 @query(f"""with {Q.FILES} select path, sha256(content) as digest from files
   where path in (select min(path) from files where {SOURCE_FILTER})""")
 def scan_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:

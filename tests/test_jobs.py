@@ -24,6 +24,7 @@ from corpuslens.schemas import CLASSES
 from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
 from corpuslens.sources import sinks as K
+from corpuslens.sources import tree as ST
 from corpuslens.sources.files import read_text
 from corpuslens.streaming import gates as SG
 from corpuslens.streaming import incremental as SI
@@ -527,3 +528,38 @@ print("REVIEWED", review_files(rows, offline_reviewer, ["path"], concurrency=1).
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     done = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "REVIEWED 3" in done.stdout, done.stderr[-2000:]
+
+
+def test_trees_as_a_data_source(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name, text in {"a.cpp": "x", ".hidden/c.cc": "z", "empty.c": "", "build/d.c": "no", "s/t/f.hxx": "w", "s/.c": "no"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "many").mkdir()
+    for i in range(2100):
+        (root / f"many/f{i}.c").write_text(str(i))
+    (root / "circle").symlink_to(root)
+    (root / "nowhere.c").symlink_to(tmp_path / "gone.c")
+    spark.dataSource.register(ST.SourceTree)
+    rows = spark.read.format("source_tree").load(str(root))
+    # The large folder is three pieces, and each of the other four one.
+    assert rows.rdd.getNumPartitions() == 3 + 4
+    got = {r.relative_path: (bytes(r.content).decode(), r.length) for r in rows.where("content is not null").collect()}
+    plain = {r.relative_path: (bytes(r.content).decode(), r.length) for r in FS.scan_code_files(spark, str(root)).collect()}
+    assert got == plain and len(got) == 2104 and got["a.cpp"] == ("x", 1)
+    assert [r.warning for r in rows.where("warning <> ''").collect()] == [f"Filesystem metadata failed at {root}/nowhere.c: No such file or directory"]
+    assert [(r.relative_path, bytes(r.content)) for r in spark.read.format("source_tree").load(str(root / "a.cpp")).collect()] == [("a.cpp", b"x")]
+    assert spark.read.format("source_tree").load(str(root / "s/.c")).count() == 0
+
+    def batch():
+        stream = spark.readStream.format("source_tree").option("settle", "0").load(str(root))
+        stream.where("content is not null").select("relative_path", F.col("content").cast("string")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return Counter(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = batch()
+    assert len(first) == 2104 and set(first.values()) == {1}
+    time.sleep(0.1)
+    (root / "a.cpp").write_text("changed")
+    (root / "s/new.h").write_text("new")
+    assert batch() - first == Counter({("a.cpp", "changed"): 1, ("s/new.h", "new"): 1})
