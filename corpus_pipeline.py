@@ -1,4 +1,9 @@
-"""Documents to training sequences, in five stages that read and write Parquet."""
+"""Documents to training sequences, in five stages that read and write Parquet.
+
+Every stage takes any table with the columns of ``documents``: null texts are empty
+ones, null ids, languages and sources are values like others, and repeated rows are
+rows of their own unless a stage says otherwise. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -10,29 +15,29 @@ from corpuslens.llm.common import scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; a document without text fails their plain limits."""
     return quality.keep_good(docs)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that a document with a larger number keeps."""
+    """All documents, without lines that a document with a larger number keeps; rows of one number are one document."""
     done = line_dedup.dedup_lines(docs)
     fresh = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     return done.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one with the smallest number; all documents without words are one group."""
     return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; of rows that share a number none stays if one holds a passage."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces, packed into sequences."""
+    """The documents' token pieces, packed into sequences; a document without text is its end token."""
     return packing.pack(docs)
 
 
@@ -49,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over the table ``documents``: token pieces in sequences, none for an empty table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         folder = scratch(spark, "stage-" + name.replace(" ", "-"))

@@ -37,7 +37,8 @@ def reply_chain(rows: DataFrame) -> DataFrame:
 
     ``conv_id``, ``turn``, ``role``, ``text`` become ``conv``, ``node``,
     ``parent``, ``role``, ``text``, ``score``; rows of equal ``turn`` follow each
-    other by role and text, null turns first.
+    other by role and text, null turns first. Repeated rows are turns of their own; a
+    null ``conv_id`` is one conversation. An empty table gives an empty result.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("bigint"))
@@ -166,7 +167,11 @@ def formatted(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def read_back(output: DataFrame) -> DataFrame:
-    """Turns and learned text out of formatted conversations: ``turns`` (role, text) and ``learned``."""
+    """Turns and learned text out of formatted conversations: ``turns`` (role, text) and ``learned``.
+
+    Null roles and texts come back empty, as they were written; a conversation without
+    assistant turns has learned the empty text. An empty table gives an empty result.
+    """
     roles = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(1))
     texts = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(2))
     return output.select(

@@ -151,7 +151,11 @@ def _pages(rows: DataFrame) -> DataFrame:
 
 
 def write_monolithic(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes archives that are one gzip stream each; returns their table: ``archive``, ``n_records``."""
+    """Writes archives that are one gzip stream each; returns their table: ``archive``, ``n_records``.
+
+    Nulls, repeated rows and equal payloads are taken as :func:`archive_pages` says. An
+    empty table gives no archive and an empty result.
+    """
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,7 +198,8 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     ``archives`` lists file names (``archive``); each is inflated once, by one
     task, from its start to its end. The index (``archive`` + ``.idx``) has a
     JSON line for each record: its id and type, offset and length of its member.
-    Returns ``archive``, ``n_records``. An empty table gives an empty result.
+    Returns ``archive``, ``n_records``. An archive that is cut, inside a record or
+    between two, ends the job with an error. An empty table gives an empty result.
     """
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +227,9 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
 
     Returns ``page_id``, ``url``, ``payload_bytes``, ``payload_digest``,
     ``record_type``, ``refers_to``, ``payload`` (null for a revisit). The payload
-    of a response is checked against the digest in its header.
+    of a response is checked against the digest in its header. Ids and urls that were
+    null are null again, and repeated rows are records of their own. An empty table of
+    archives gives no records.
     """
     number = lambda urn: int(urn[10:-1]) if urn else None
 
