@@ -263,15 +263,20 @@ QUERIES["load_run_state"] = stored_runs
 SQL["load_run_state"] = RUN_STARTS_SQL
 
 
-@query("select cast(user_id as varchar) as project, event_id % 3 as run, cast(floor(epoch_us(ts) / 1000000) as bigint) as started_at from events")
+@query("""select cast(user_id as varchar) as project, event_id % 3 as run, cast(floor(epoch_us(ts) / 1000000) as bigint) as started_at,
+  cast(floor(epoch_us(max(ts) over (partition by user_id)) / 1000000) as bigint) as last_started_at from events""")
 def save_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What three runs have stored, run by run."""
+    """What three runs have stored, run by run, and the last start of each project that is read out of it."""
     folder, starts = scratch(spark, "state"), run_starts(spark, sf_dir)
     for run in range(3):
         K.save_run_state(starts.filter(F.col("run") == run), folder, f"r{run}")
-    stored = spark.read.schema(RUN_STATE).parquet(folder)
+    stored = spark.read.schema(RUN_STATE).parquet(folder).alias("s")
+    last = K.load_run_state(spark, folder).alias("l")
     run = big(F.substring("run_id", 2, 9)).alias("run")
-    return stored.select("project", run, big(F.floor("started_at")).alias("started_at"))
+    rows = stored.join(last, F.col("s.project").eqNullSafe(F.col("l.project")), "left")
+    return rows.select(
+        "s.project", run, big(F.floor("started_at")).alias("started_at"), big(F.floor("last_started_at")).alias("last_started_at")
+    )
 
 
 # --- sinks -------------------------------------------------------------------

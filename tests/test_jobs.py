@@ -563,3 +563,16 @@ def test_trees_as_a_data_source(spark, tmp_path):
     (root / "a.cpp").write_text("changed")
     (root / "s/new.h").write_text("new")
     assert batch() - first == Counter({("a.cpp", "changed"): 1, ("s/new.h", "new"): 1})
+
+
+def test_saved_starts_come_with_the_last_of_their_project(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    instants = [("a", 0, 10), ("a", 1, 30), ("a", 2, 20), ("b", 3, 5), (None, 4, 7), ("c", 5, None)]
+    rows = spark.createDataFrame(instants, "user_id string, event_id long, at long")
+    rows.select("user_id", "event_id", F.timestamp_seconds("at").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["save_run_state"](spark, str(tmp_path)).collect()
+    key = lambda row: tuple(str(value) for value in row)
+    assert sorted(map(tuple, found), key=key) == sorted(
+        [("a", 0, 10, 30), ("a", 1, 30, 30), ("a", 2, 20, 30), ("b", 0, 5, 5), (None, 1, 7, 7), ("c", 2, None, None)], key=key
+    )
