@@ -298,13 +298,20 @@ SNAPSHOT_SQL = f"""snapshot as (select project, count(*) as files,
   from (select *, {POSITION_SQL} as pos from analysis) group by project)"""
 
 
-@query(Q.upto("analysis", f"""select project, pos // {N.FILES_PER_PART} as part, min(pos) as first, count(*) as files,
-  sha256(string_agg(to_json({{'path': path, 'headers': headers, 'classes': classes, 'parse_error': parse_error}})::varchar,
-    ',' order by pos)) as digest
-  from (select *, {POSITION_SQL} as pos from analysis) group by 1, 2"""))
+@query(Q.upto("analysis", f""", parts as (select project, pos // {N.FILES_PER_PART} as part, min(pos) as first, count(*) as files,
+    string_agg(to_json({{'path': path, 'headers': headers, 'classes': classes, 'parse_error': parse_error}})::varchar,
+      ',' order by pos) as records
+    from (select *, {POSITION_SQL} as pos from analysis) group by 1, 2)
+  select project, part, first, files, sha256(records) as digest, cast(sum(files) over (partition by project) as bigint) as project_files,
+    case when part = 0 then '{{"root":"' || project || '","files":[' else ',' end || records
+      || case when part = max(part) over (partition by project) then ']}}' else '' end as document
+  from parts"""))
 def project_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = N.project_snapshot(analysis(spark, sf_dir))
-    return pieces.select("project", "part", "first", "files", F.sha2("records", 256).alias("digest"))
+    """Whole documents, each in as many rows as it has pieces."""
+    pieces = N.document_pieces(materialised(N.project_snapshot(analysis(spark, sf_dir))))
+    return pieces.select(
+        "project", "part", "first", "files", F.sha2("records", 256).alias("digest"), "project_files", "document"
+    )
 
 
 @query(Q.upto("analysis", f", {SNAPSHOT_SQL} select project, files, document from snapshot"))

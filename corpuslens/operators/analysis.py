@@ -80,6 +80,22 @@ def document_start() -> Column:
     return F.concat(F.lit('{"root":'), root)
 
 
+def document_pieces(snapshot: DataFrame) -> DataFrame:
+    """Adds ``project_files`` and ``document``, the text of a piece as it stands in the whole document.
+
+    A project's texts, put together in order of ``part``, are its document
+    ``{root, files}`` from the first character to the last, whatever its size.
+    The snapshot is read twice: pass it stored.
+    """
+    # One row per project.
+    whole = snapshot.groupBy("project").agg(F.sum("files").alias("project_files"), F.max("part").alias("_last"))
+    names = whole.withColumnRenamed("project", "_project")
+    rows = snapshot.join(names, F.col("project").eqNullSafe(F.col("_project")))
+    start = F.when(F.col("part") == 0, F.concat(document_start(), F.lit(',"files":['))).otherwise(F.lit(","))
+    end = F.when(F.col("part") == F.col("_last"), F.lit("]}")).otherwise(F.lit(""))
+    return rows.withColumn("document", F.concat(start, "records", end)).drop("_project", "_last")
+
+
 def project_documents(snapshot: DataFrame) -> DataFrame:
     """Whole documents ``{root, files}``: a row ``project, files, document`` for each project.
 

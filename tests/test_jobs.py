@@ -19,6 +19,7 @@ from corpuslens.operators import analysis as N
 from corpuslens.operators import order as O
 from corpuslens.operators import review as V
 from corpuslens.operators.order import with_positions
+from corpuslens.operators.storage import materialised
 from corpuslens.plans import batch as B
 from corpuslens.schemas import CLASSES
 from corpuslens.sources import documents as D
@@ -576,3 +577,11 @@ def test_saved_starts_come_with_the_last_of_their_project(spark, tmp_path):
     assert sorted(map(tuple, found), key=key) == sorted(
         [("a", 0, 10, 30), ("a", 1, 30, 30), ("a", 2, 20, 30), ("b", 0, 5, 5), (None, 1, 7, 7), ("c", 2, None, None)], key=key
     )
+
+
+def test_pieces_put_together_are_the_whole_document(spark):
+    snapshot = materialised(N.project_snapshot(analysis_rows(spark, 1600), files_per_part=120))
+    pieces = N.document_pieces(snapshot).orderBy("project", "part").collect()
+    assert {(p.project, p.project_files) for p in pieces} == {("p\"q", 1200), ("small", 400)}
+    for whole in N.project_documents(snapshot).collect():
+        assert "".join(p.document for p in pieces if p.project == whole.project) == whole.document
