@@ -21,6 +21,7 @@ FILES = "path string, relative_path string, content binary, mtime timestamp, len
 
 BYTES_PER_TASK = 256 * 1024 * 1024
 ENTRIES_AT_ONCE = 10_000
+TASKS_PER_CORE = 2
 # Beginnings of the warnings about entries that cannot be looked at, and folders that cannot be listed to their end.
 NO_METADATA = "Filesystem metadata failed at "
 NO_TRAVERSAL = "Unable to continue directory traversal after "
@@ -175,12 +176,13 @@ def scan_single_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """Rows over all cores, where a table comes in fewer pieces than there are.
+    """Rows dealt evenly over all cores.
 
-    A large table has many row groups and is left as it is.
+    A table comes in pieces of bytes, so the many short rows of one may be a single
+    piece, while what is done with them costs time for each row.
     """
     cores = files.sparkSession.sparkContext.defaultParallelism
-    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
+    return files.repartition(max(TASKS_PER_CORE * cores, files.rdd.getNumPartitions()))
 
 
 def filter_source_rows(files: DataFrame, relative_path: Column) -> DataFrame:

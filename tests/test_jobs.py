@@ -585,3 +585,10 @@ def test_pieces_put_together_are_the_whole_document(spark):
     assert {(p.project, p.project_files) for p in pieces} == {("p\"q", 1200), ("small", 400)}
     for whole in N.project_documents(snapshot).collect():
         assert "".join(p.document for p in pieces if p.project == whole.project) == whole.document
+
+
+def test_rows_of_one_piece_are_dealt_over_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    many = spark.read.parquet(str(tmp_path / "one"), *[str(tmp_path / "one")] * 20)
+    sizes = FS.spread(many).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 16 and max(r["count"] for r in sizes) < 2 * min(r["count"] for r in sizes)
