@@ -93,10 +93,14 @@ def write_tree(files: DataFrame, root: str) -> None:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = FS.open_store(root)
+        made = set()
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 target = f"{top}/{path}"
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with store.open_output_stream(target) as out:
                     out.write(text.encode())
             yield batch[["path"]]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyarrow import fs
@@ -21,6 +21,7 @@ FILES = "path string, relative_path string, content binary, mtime timestamp, len
 
 BYTES_PER_TASK = 256 * 1024 * 1024
 ENTRIES_AT_ONCE = 10_000
+BYTES_AT_ONCE = 8 * 1024 * 1024  # contents that are handed on together; a larger file goes alone
 TASKS_PER_CORE = 2
 # Beginnings of the warnings about entries that cannot be looked at, and folders that cannot be listed to their end.
 NO_METADATA = "Filesystem metadata failed at "
@@ -56,20 +57,55 @@ def _local_entry(entry: os.DirEntry) -> Entry:
     return entry.path, kind, about.st_mtime_ns, about.st_size, ""
 
 
-def _listed(store: fs.FileSystem, folder: str) -> Iterator[Entry]:
-    """The entries of one folder; one without permission has none, and any other trouble is a warning."""
+def _listed(store: fs.FileSystem, folder: str, wanted: Callable[[str], bool] | None = None) -> Iterator[Entry]:
+    """The entries of one folder; one without permission has none, and any other trouble is a warning.
+
+    With ``wanted`` only the entries whose paths it takes are looked at.
+    """
     try:
         if isinstance(store, fs.LocalFileSystem):
             with os.scandir(folder) as entries:
-                yield from map(_local_entry, entries)
+                yield from (_local_entry(e) for e in entries if wanted is None or wanted(e.path))
         else:
-            yield from map(_described, store.get_file_info(fs.FileSelector(folder)))
+            found = map(_described, store.get_file_info(fs.FileSelector(folder)))
+            yield from (e for e in found if wanted is None or wanted(e[0]))
     except PermissionError:
         return
     except OSError as error:
         yield folder, "broken", None, 0, f"{NO_TRAVERSAL}{folder}: {error.strerror or error}"
 
 
+def _may_be_folder(entry: os.DirEntry) -> bool:
+    try:
+        return entry.is_dir(follow_symlinks=False)
+    except OSError:
+        return False
+
+
+def _folders_and_count(store: fs.FileSystem, folder: str) -> tuple[list[str], int]:
+    """Paths of a folder's folders, and how many other entries it has. Local files are counted by name alone."""
+    folders, count = [], 0
+    if not isinstance(store, fs.LocalFileSystem):
+        for path, kind, *_ in _listed(store, folder):
+            if kind == "directory":
+                folders.append(path)
+            else:
+                count += 1
+        return folders, count
+    try:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if _may_be_folder(entry) and _local_entry(entry)[1] == "directory":
+                    folders.append(entry.path)
+                else:
+                    count += 1
+    except PermissionError:
+        pass
+    except OSError:
+        count += 1
+    return folders, count
+
+
 def _entries(found: Iterable[Entry]) -> pd.DataFrame:
     frame = pd.DataFrame(list(found), columns=["path", "kind", "mtime", "length", "warning"])
     frame["mtime"] = pd.to_datetime(frame["mtime"]).dt.floor("us")
@@ -89,10 +125,10 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, _ = open_store(root)
         for batch in batches:
-            for path in batch["path"]:
-                found = _listed(files, path)
-                while piece := list(islice(found, ENTRIES_AT_ONCE)):
-                    yield _entries(piece)
+            # Many small folders make one piece, a large one several.
+            found = chain.from_iterable(_listed(files, path) for path in batch["path"])
+            while piece := list(islice(found, ENTRIES_AT_ONCE)):
+                yield _entries(piece)
 
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     level = spark.createDataFrame([(top.rstrip("/"),)], "path string")
@@ -133,14 +169,22 @@ def _with_content(root: str, files: DataFrame) -> DataFrame:
             except OSError:
                 return None
 
+        def made(rows: pd.DataFrame, contents: list[bytes | None]) -> pd.DataFrame:
+            # Of plain objects, so that bytes and nulls stay what they are.
+            whole = rows.assign(relative_path=rows["path"].str[skip:], content=pd.Series(contents, rows.index, object))
+            return whole[["path", "relative_path", "content", "mtime", "length"]]
+
         for batch in batches:
-            # One file at a time, so that a batch of large files is never held whole.
-            for i in range(len(batch)):
-                row = batch.iloc[i : i + 1]
-                path = row["path"].iloc[0]
-                yield row.assign(relative_path=path[skip:], content=[content(path)])[
-                    ["path", "relative_path", "content", "mtime", "length"]
-                ]
+            # A few megabytes at a time, so that a batch of large files is never held whole.
+            contents, start, held = [], 0, 0
+            for at, (path, length) in enumerate(zip(batch["path"], batch["length"], strict=True)):
+                if contents and held + length > BYTES_AT_ONCE:
+                    yield made(batch.iloc[start:at], contents)
+                    contents, start, held = [], at, 0
+                contents.append(content(path))
+                held += max(length, len(contents[-1] or b""))
+            if contents:
+                yield made(batch.iloc[start:], contents)
 
     return files.mapInPandas(read, FILES)
 
