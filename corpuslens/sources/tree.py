@@ -6,7 +6,8 @@
 
 A tree is cut into pieces of folder listings. A folder with many entries is several
 pieces, each of which takes the entries whose names hash to it, so no task has to read
-a large folder alone. Links to folders are not entered; see
+a large folder alone; only these entries are looked at. Where there are more than a few
+hundred pieces, a task takes several of them. Links to folders are not entered; see
 :func:`corpuslens.sources.files.list_tree` for the rest, and for warnings, which are
 rows with a null content here.
 """
@@ -24,10 +25,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from corpuslens.functions.paths import SKIPPED_DIRECTORIES, SOURCE_EXTENSIONS
-from corpuslens.sources.files import Entry, _described, _listed, open_store
+from corpuslens.sources.files import Entry, _described, _folders_and_count, _listed, open_store
 
 SCHEMA = "path string, relative_path string, content binary, mtime timestamp, length bigint, warning string"
-PER_PIECE = 1000  # entries of a folder that one piece reads
+PER_PIECE = 1000  # entries of a folder that one piece reads, or more where that makes over MOST_SLOTS pieces
+MOST_SLOTS = 64  # pieces of one folder, each of which goes through all its names
+MOST_TASKS = 256  # up to so many pieces have tasks of their own
 SETTLE_SECONDS = 1.0  # a file younger than this may still be written; a stream leaves it for its next batch
 
 
@@ -49,38 +52,65 @@ class Piece(InputPartition):
     alone: bool = False
 
 
+@dataclass
+class Pack(InputPartition):
+    """Pieces that one task reads one after the other."""
+
+    pieces: list[Piece]
+
+
+def packed(pieces: list[Piece], counts: list[int]) -> list[InputPartition]:
+    """Pieces as tasks of about equal numbers of entries; a listing counts as an entry."""
+    if len(pieces) <= MOST_TASKS:
+        return list(pieces)
+    room = max(PER_PIECE, -(-(sum(counts) + len(counts)) // MOST_TASKS))
+    packs, held = [Pack([])], 0
+    for piece, count in zip(pieces, counts, strict=True):
+        if packs[-1].pieces and held + count + 1 > room:
+            packs.append(Pack([]))
+            held = 0
+        packs[-1].pieces.append(piece)
+        held += count + 1
+    return packs
+
+
 class _Tree:
     def __init__(self, root: str):
         self.root = root
         self.store, self.top = open_store(root)
 
-    def pieces(self, since: int = -1, upto: int = 1 << 62) -> list[Piece]:
-        """Every folder's listing in pieces: names are gone through here, contents are read by the tasks."""
+    def pieces(self, since: int = -1, upto: int = 1 << 62) -> list[InputPartition]:
+        """Every folder's listing in pieces: names are counted here, files are looked at and read by the tasks."""
         about = self.store.get_file_info(self.top)
         if about.type == fs.FileType.File:
             return [Piece(self.top, since=since, upto=upto, alone=True)]
         if about.type != fs.FileType.Directory:
             raise FileNotFoundError(f"Unable to traverse {self.root}: no such folder")
-        made, todo = [], [self.top.rstrip("/") or "/"]
+        made, counts, todo = [], [], [self.top.rstrip("/") or "/"]
         while todo:
-            folder, count = todo.pop(), 0
-            for path, kind, *_ in _listed(self.store, folder):
-                if kind == "directory":
-                    if path.rsplit("/", 1)[-1] not in SKIPPED_DIRECTORIES:
-                        todo.append(path)
-                else:
-                    count += 1
-            slots = -(-count // PER_PIECE)
+            folder = todo.pop()
+            below, count = _folders_and_count(self.store, folder)
+            todo += [path for path in below if path.rsplit("/", 1)[-1] not in SKIPPED_DIRECTORIES]
+            slots = min(-(-count // PER_PIECE), MOST_SLOTS)
             made += [Piece(folder, slot, slots, since, upto) for slot in range(slots)]
-        return made
+            counts += [count // slots] * slots if slots else []
+        return packed(made, counts)
+
+    def all_rows(self, task: InputPartition) -> Iterator[tuple]:
+        for piece in task.pieces if isinstance(task, Pack) else [task]:
+            yield from self.rows(piece)
 
     def rows(self, piece: Piece) -> Iterator[tuple]:
+        def own(path: str) -> bool:
+            return zlib.crc32(path.encode("utf-8", "surrogateescape")) % piece.slots == piece.slot
+
         found: Iterator[Entry] = (
-            iter([_described(self.store.get_file_info(piece.folder))]) if piece.alone else _listed(self.store, piece.folder)
+            iter([_described(self.store.get_file_info(piece.folder))]) if piece.alone else _listed(self.store, piece.folder, own)
         )
         skip = len(self.top.rstrip("/")) + 1
         for path, kind, mtime, length, warning in found:
-            if zlib.crc32(path.encode("utf-8", "surrogateescape")) % piece.slots != piece.slot:
+            # The warning about a folder itself is the row of one of its pieces.
+            if not own(path):
                 continue
             name = path.rsplit("/", 1)[-1] if piece.alone else path[skip:]
             if warning and piece.since < 0:
@@ -101,11 +131,11 @@ class _Reader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
 
-    def partitions(self) -> list[Piece]:
+    def partitions(self) -> list[InputPartition]:
         return _Tree(self.root).pieces() or [Piece(self.root, slot=1)]
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        return _Tree(self.root).rows(partition)
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return _Tree(self.root).all_rows(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -120,11 +150,11 @@ class _StreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"upto": time.time_ns() - int(self.settle * 1e9)}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return _Tree(self.root).pieces(int(start["upto"]), int(end["upto"])) or [Piece(self.root, slot=1)]
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
-        return _Tree(self.root).rows(partition)
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return _Tree(self.root).all_rows(partition)
 
 
 class SourceTree(DataSource):

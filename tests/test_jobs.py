@@ -592,3 +592,24 @@ def test_rows_of_one_piece_are_dealt_over_all_cores(spark, tmp_path):
     many = spark.read.parquet(str(tmp_path / "one"), *[str(tmp_path / "one")] * 20)
     sizes = FS.spread(many).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 16 and max(r["count"] for r in sizes) < 2 * min(r["count"] for r in sizes)
+
+
+def test_small_folders_share_tasks_and_large_ones_few_listings(spark, tmp_path, monkeypatch):
+    for i in range(400):
+        (tmp_path / f"tree/p{i}").mkdir(parents=True)
+        (tmp_path / f"tree/p{i}/a.c").write_text(str(i))
+    (tmp_path / "tree/many").mkdir()
+    for i in range(300):
+        (tmp_path / f"tree/many/f{i}.c").write_text(str(i))
+    monkeypatch.setattr(ST, "PER_PIECE", 2)
+    monkeypatch.setattr(ST, "MOST_SLOTS", 10)
+    tree = ST._Tree(str(tmp_path / "tree"))
+    tasks = tree.pieces()
+    pieces = [piece for task in tasks for piece in task.pieces]
+    assert len(tasks) <= ST.MOST_TASKS and len(pieces) == 410
+    looked = []
+    monkeypatch.setattr(FS, "_local_entry", lambda e, look=FS._local_entry: looked.append(e.path) or look(e))
+    rows = [row for task in tasks for row in tree.all_rows(task)]
+    assert sorted(row[1] for row in rows) == sorted([f"p{i}/a.c" for i in range(400)] + [f"many/f{i}.c" for i in range(300)])
+    # Each file is looked at once, however often its folder is listed.
+    assert max(Counter(looked).values()) == 1
