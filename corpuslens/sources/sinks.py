@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import utc_stamp
 from corpuslens.operators.analysis import document_start, file_record
 from corpuslens.operators.incremental import status_counts
-from corpuslens.operators.storage import children
+from corpuslens.operators.storage import children, materialised
 from corpuslens.schemas import REVIEW_SNAPSHOT, RUN_STATE
 
 
@@ -19,10 +19,13 @@ def write_analysis_json(analysis: DataFrame, path: str) -> None:
     """One object per file and line, with fixed keys, in a folder per project.
 
     Rows are first ranged by project and path: a task writes the few projects of
-    its range, and a large project is shared by several tasks.
+    its range, and a large project is shared by several tasks. Short rows of many
+    projects cost a file each, so the number of tasks does not go by their bytes.
     """
-    records = analysis.select("project", "path", F.to_json(file_record()).alias("value"))
-    ranged = records.repartitionByRange("project", "path").select("project", "value")
+    # Written once: ranging samples its input, which must not parse all files again.
+    records = materialised(analysis.select("project", "path", F.to_json(file_record()).alias("value")))
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = records.repartitionByRange(tasks, "project", "path").select("project", "value")
     ranged.write.mode("overwrite").partitionBy("project").text(path)
 
 

@@ -613,3 +613,14 @@ def test_small_folders_share_tasks_and_large_ones_few_listings(spark, tmp_path,
     assert sorted(row[1] for row in rows) == sorted([f"p{i}/a.c" for i in range(400)] + [f"many/f{i}.c" for i in range(300)])
     # Each file is looked at once, however often its folder is listed.
     assert max(Counter(looked).values()) == 1
+
+
+def test_many_small_projects_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.concat(F.lit("p"), F.col("id") % 100).alias("project"), F.col("id").cast("string").alias("path"),
+        F.array(F.lit("h")).alias("headers"), F.array().cast(CLASSES).alias("classes"), F.lit("").alias("parse_error"),
+    )
+    K.write_analysis_json(rows, str(tmp_path / "out"))
+    writers = {p.name.split("-")[1] for p in (tmp_path / "out").glob("project=*/part-*")}
+    assert len(writers) >= 4
+    assert spark.read.text(str(tmp_path / "out")).count() == 400
