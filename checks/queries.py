@@ -204,7 +204,7 @@ def load_analysis_doc_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "documents")
     whole = N.project_documents(N.project_snapshot(analysis(spark, sf_dir)))
     laid_out = F.to_json(F.from_json("document", ANALYSIS_DOCUMENT), {"pretty": "true", "ignoreNullFields": "false"})
-    whole.select("project", laid_out.alias("value")).write.partitionBy("project").text(folder)
+    K.write_documents(whole.select(laid_out.alias("value")), folder)
     return D.load_analysis_doc(spark, folder, multi_line=True).select(
         "project", "pos", "path", joined("headers").alias("headers"), class_text().alias("classes"), "parse_error"
     )

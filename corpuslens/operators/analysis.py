@@ -102,7 +102,9 @@ def project_documents(snapshot: DataFrame) -> DataFrame:
     For readers that want one text for a project, which then has to fit a row.
     Reviews take the pieces instead.
     """
-    whole = snapshot.groupBy("project").agg(
+    # Written once, then dealt to a fixed number of tasks: many short documents cost time each, whatever their bytes.
+    tasks = int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = materialised(snapshot).repartition(tasks, "project").groupBy("project").agg(
         F.sum("files").alias("files"), F.array_sort(F.collect_list(F.struct("part", "records"))).alias("parts")
     )
     body = F.array_join(F.transform("parts", lambda p: p["records"]), ",")

@@ -37,6 +37,11 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """A file for each row of ``value``, all in one folder: a folder for each costs more than the file in it."""
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_review_snapshot(
     results: DataFrame, folder: str, run_id: str, model: str, run_ts: Column
 ) -> None:

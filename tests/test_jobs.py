@@ -624,3 +624,20 @@ def test_many_small_projects_are_written_by_many_tasks(spark, tmp_path):
     writers = {p.name.split("-")[1] for p in (tmp_path / "out").glob("project=*/part-*")}
     assert len(writers) >= 4
     assert spark.read.text(str(tmp_path / "out")).count() == 400
+
+
+def test_many_small_documents_are_written_by_many_tasks_without_folders(spark, tmp_path):
+    rows = spark.range(800).select(
+        F.concat(F.lit("p"), F.col("id") % 400).alias("project"), F.format_string("%04d", "id").alias("path"),
+        F.array(F.lit("h")).alias("headers"), F.array().cast(CLASSES).alias("classes"), F.lit("").alias("parse_error"),
+    )
+    whole = N.project_documents(N.project_snapshot(rows)).select(F.replace("document", F.lit(","), F.lit(",\n")).alias("value"))
+    K.write_documents(whole, str(tmp_path / "out"))
+    files = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-") and p.stat().st_size]
+    assert len(files) == 400 and not [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
+    assert len({p.name.split("-")[1] for p in files}) >= 4
+    assert all(len(json.loads(p.read_text())["files"]) == 2 for p in files)
+    back = D.load_analysis_doc(spark, str(tmp_path / "out"), multi_line=True).collect()
+    assert sorted((r.project, r.pos, r.path) for r in back) == sorted(
+        (f"p{i % 400}", i // 400, f"{i:04d}") for i in range(800)
+    )
