@@ -96,4 +96,5 @@ def running(
             lambda acc: acc["out"],
         )
 
-    return F.flatten(F.zip_with(numbers, starts, collect))
+    # Most texts have nothing to scan.
+    return F.when(F.size(items) == 0, nothing).otherwise(F.flatten(F.zip_with(numbers, starts, collect)))

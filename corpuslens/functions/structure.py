@@ -74,7 +74,11 @@ def collect_headers(names: Column) -> Column:
 
 
 def extract_headers(stripped: Column) -> Column:
-    quoted = F.regexp_extract_all(stripped, F.lit(INCLUDE), F.lit(1))
+    # A text without the word is not searched.
+    may_include = F.contains(stripped, F.lit("include"))
+    quoted = F.when(~may_include, F.array().cast("array<string>")).otherwise(
+        F.regexp_extract_all(stripped, F.lit(INCLUDE), F.lit(1))
+    )
     return collect_headers(
         F.transform(quoted, lambda name: F.substring(name, F.lit(2), F.length(name) - 2))
     )
@@ -142,7 +146,9 @@ def head_steps(stripped: Column) -> Column:
             F.endswith(trim_ws(gap), F.lit("enum")).alias("after_enum"),
         ),
     )
-    may_have_types = F.contains(stripped, F.lit("class")) | F.contains(stripped, F.lit("struct"))
+    may_have_types = (F.contains(stripped, F.lit("class")) | F.contains(stripped, F.lit("struct"))) & F.contains(
+        stripped, F.lit("{")
+    )
     return F.when(may_have_types, F.filter(steps, lambda step: step["head"].isNotNull())).otherwise(
         F.array().cast("array<struct<len:int,head:string,after_enum:boolean>>")
     )

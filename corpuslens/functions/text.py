@@ -36,7 +36,7 @@ def split_lines(text: Column) -> Column:
 
 
 def universal_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def content_hash(text: Column) -> Column:

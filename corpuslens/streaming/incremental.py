@@ -12,8 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from corpuslens.operators.incremental import status_counts
-from corpuslens.operators.storage import materialised, stages_dropped
+from corpuslens.operators.storage import join_few, materialised, stages_dropped
 from corpuslens.plans.batch import KEYS, ReviewOptions, review_run
+from corpuslens.sources.files import TASKS_PER_CORE
 from corpuslens.sources.structure_store import StructureStore
 
 
@@ -52,7 +53,9 @@ def stream_incremental_review(
         with stages_dropped(spark):
             waiting = _kept(spark, f"{folder}/waiting/{(batch_id - 1) % 2}", batch.schema)
             waiting = waiting.join(batch.select(*KEYS), KEYS, "left_anti")
-            rows = materialised(batch.unionByName(waiting))
+            # Few large files of a drop would be as few tasks in all that follows.
+            tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+            rows = materialised(batch.unionByName(waiting).repartition(tasks))
 
             def arrived(analysis: DataFrame) -> DataFrame:
                 store.add(analysis, batch_id)
@@ -60,7 +63,7 @@ def stream_incremental_review(
 
             results = review_run(rows, folder, f"batch-{batch_id:010d}", now(), options, context=arrived)
             again = results.filter(F.col("ai_status").isin("skipped", "error")).select(*KEYS)
-            left = rows.filter(F.col("text").isNotNull()).join(again, KEYS, "left_semi")
+            left = join_few(rows.filter(F.col("text").isNotNull()), materialised(again), KEYS, "left_semi")
             left.write.mode("overwrite").parquet(f"{folder}/waiting/{batch_id % 2}")
 
     return (
