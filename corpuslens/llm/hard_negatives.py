@@ -28,6 +28,8 @@ ROWS_PER_BLOCK = 4096
 ANCHORS_PER_BLOCK = 1024
 # Anchors scored at one go: a task holds their scores against one block.
 AT_ONCE = 128
+SLOTS_PER_CORE = 4
+BLOCKS_PER_SLOT = 8
 PAIRS = "ablock bigint, at int, anchor_id bigint, score bigint, id bigint"
 FOUND = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
 
@@ -61,7 +63,8 @@ def _bounds(score: int, low: int, high: int) -> tuple[int, int]:
 def _pairs(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
     """Scores each pair of blocks; ``choose`` picks lines and columns for a stretch of anchors."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):  # a pair is large: one at a time leaves Arrow's memory
+            row = batch.slice(k, 1).to_pylist()[0]
             ids, tags, matrix = unpacked(row["ids"], row["tags"], row["matrix"], row["dim"])
             a_ids, a_tags, a_matrix = unpacked(row["a_ids"], row["a_tags"], row["a_matrix"], row["dim"])
             for start in range(0, len(a_ids), AT_ONCE):
@@ -78,18 +81,25 @@ def _pairs(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["ablock", "at", "anchor_id", "score", "id"])
 
 
+def _slots(blocks: int, cores: int) -> int:
+    """How many slots the blocks of rows lie in: some for each core, and few blocks in each."""
+    return max(1, min(blocks, max(SLOTS_PER_CORE * cores, -(-blocks // BLOCKS_PER_SLOT))))
+
+
 def _paired(rows: DataFrame, anchors: DataFrame, slots: int) -> DataFrame:
     """Every block of anchors beside every block of rows of the same size, by a join on slots.
 
     Blocks of rows lie in slots and stay single; the far smaller blocks of anchors
-    are copied to all slots.
+    are copied to all slots. The copies grow with both sides, whatever size is
+    guessed for them, so they are shuffled and never sent through the driver. They
+    stream past the few blocks of their slot, which the join holds.
     """
     everywhere = anchors.select(
         "dim", F.col("block").alias("ablock"), F.col("ids").alias("a_ids"), F.col("tags").alias("a_tags"),
         F.col("matrix").alias("a_matrix"), "positives", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
     )
     placed = rows.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
-    return placed.join(everywhere, ["dim", "slot"]).drop("slot", "block")
+    return everywhere.hint("merge").join(placed, ["dim", "slot"]).drop("slot", "block")
 
 
 def _stream(sorted_rows: Iterator[pa.RecordBatch], negatives: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
@@ -153,7 +163,7 @@ def mine(
     blocks = steps.write("blocks", in_blocks(rows, ROWS_PER_BLOCK))
     anchors = steps.write("anchors", in_blocks(rows.where("asks"), ANCHORS_PER_BLOCK))
     steps.drop("rows")
-    slots = max(1, blocks.select("block").count())
+    slots = _slots(blocks.select("block").count(), spark.sparkContext.defaultParallelism)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pairs(batches, lambda row, start, scores, same, ids: _first(scores, same, ids, positives))

@@ -753,3 +753,14 @@ def test_negatives_equal_a_full_sort(spark, monkeypatch, size, grain):
     assert sorted(tuple(r) for r in got) == brute_negatives(rows, 10)
     assert hard_negatives.mine(vectors_of(spark, rows).limit(0), F.col("vec_id") % 10 == 0).collect() == []
     assert hard_negatives.mine(vectors_of(spark, rows), F.col("vec_id") < 0).collect() == []
+
+
+def test_copied_anchors_are_shuffled_not_broadcast(spark):
+    """Copies of the anchors grow with the square of the rows, while their table looks small."""
+    rows = [(i, [float(i % 7), 1.0], i % 3) for i in range(40)]
+    blocks = hard_negatives.in_blocks(vectors_of(spark, rows).select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("tag"), F.lit([1, 2]).cast("array<bigint>").alias("v")), 8)
+    met = hard_negatives._paired(blocks, blocks.withColumn("positives", F.lit(None)), 64)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert met.count() == blocks.count() ** 2
+    assert [hard_negatives._slots(n, 6) for n in (0, 5, 24, 192, 200, 100_000)] == [1, 5, 24, 24, 25, 12_500]
