@@ -88,8 +88,10 @@ SOURCE_FILTER = """regexp_matches(rel, '[^/]\\.(h|hh|hpp|hxx|c|cc|cpp|cxx)$') an
   'cmake-build-release', 'venv', '__pycache__'])"""
 
 
-def write_tree(files: DataFrame, root: str) -> None:
-    """Writes the files as a source tree, each task its own rows."""
+def written(files: DataFrame, root: str) -> DataFrame:
+    """Writes the files as a source tree, each task its own rows, and hands the rows on without their text."""
+    rest = files.drop("text")
+    names = rest.columns
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = FS.open_store(root)
@@ -103,11 +105,13 @@ def write_tree(files: DataFrame, root: str) -> None:
                     made.add(folder)
                 with store.open_output_stream(target) as out:
                     out.write(text.encode())
-            yield batch[["path"]]
+            yield batch[names]
+
+    return files.mapInPandas(write, rest.schema)
 
-    files.select("path", "text").mapInPandas(write, "path string").write.format("noop").mode(
-        "overwrite"
-    ).save()
+
+def write_tree(files: DataFrame, root: str) -> None:
+    written(files.select("path", "text"), root).write.format("noop").mode("overwrite").save()
 
 
 @query(f"with {Q.FILES} select path, cast(strlen(content) as bigint) as length, sha256(content) as digest from files where {SOURCE_FILTER}")
@@ -135,8 +139,8 @@ def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first source file and the first other one, each as a root of its own."""
     root = scratch(spark, "tree")
-    files = materialised(source_files(spark, sf_dir).select("path", "text", "relative_path"))
-    write_tree(files, root)
+    # The texts are kept once, in the tree; what is kept beside it are names.
+    files = materialised(written(source_files(spark, sf_dir).select("path", "text", "relative_path"), root))
     good = FS.filter_source_rows(files, F.col("relative_path")).agg(F.min("path")).first()[0]
     other = files.filter(~P.is_source_file(F.col("path"))).agg(F.min("path")).first()[0]
     found = FS.scan_single_file(spark, f"{root}/{good}").unionByName(

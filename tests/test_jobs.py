@@ -679,3 +679,25 @@ def test_line_ends_and_includes_of_texts_with_and_without_code(spark):
     assert [found[i].plain for i in range(4)] == ["a\n\nb\n", "\n\n", "", None]
     assert [found[i].headers for i in (2, 3, 4, 6)] == [[], None, [], ["y"]]
     assert [[c.name for c in found[i].classes] for i in (2, 4, 5, 6)] == [[], [], [], ["B"]]
+
+
+def test_texts_of_a_tree_are_kept_once(spark, tmp_path, monkeypatch):
+    """Beside the whole tree, the query on one file stores names alone."""
+    from checks import queries
+
+    source, root, kept = tmp_path / "in", str(tmp_path / "tree"), []
+    for name, columns, rows in (
+        ("part", "p_partkey long", [(k,) for k in range(40)]),
+        ("documents", "doc_id long, text string", [(k, f"a text {k} " * 50) for k in range(30)]),
+        ("pages", "page_id long, html string", [(k, f"<p>{k}</p>") for k in range(20)]),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(str(source / f"{name}.parquet"))
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: root)
+    monkeypatch.setattr(queries, "materialised", lambda rows: kept.append(rows.columns) or materialised(rows))
+    found = queries.QUERIES["scan_single_file"](spark, str(source)).collect()
+    assert kept == [["path", "relative_path"]]
+    files = {r.path: r.text for r in queries.source_files(spark, str(source)).collect()}
+    assert len(files) == 90
+    on_disk = {str(p.relative_to(root)): p.read_bytes() for p in Path(root).rglob("*") if p.is_file()}
+    assert on_disk == {path: text.encode() for path, text in files.items()}
+    assert [r.path for r in found] == [min(p for p in files if p.endswith((".cpp", ".hpp", ".h")) and "/build/" not in p and "/venv/" not in p and "/.git/" not in p)]
