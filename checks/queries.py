@@ -201,14 +201,31 @@ def load_analysis_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def laid_out(pieces: DataFrame) -> DataFrame:
+    """Adds ``value``, the text of a piece as it stands in the document laid out over lines.
+
+    A piece is laid out as a document of its own, and cut where the document
+    without any files has its list, which is written ``[ ]``.
+    """
+    lines = lambda document: F.to_json(F.from_json(document, ANALYSIS_DOCUMENT), {"pretty": "true", "ignoreNullFields": "false"})
+    start = F.concat(N.document_start(), F.lit(',"files":['))
+    rows = pinned(pieces, _none=lines(F.concat(start, F.lit("]}"))), _own=lines(F.concat(start, "records", F.lit("]}"))))
+    before, after = F.length("_none") - len("]\n}"), len(" ]\n}")
+    # What its text holds beside its files and what stands before them: the document's end, if it is the last one.
+    behind = F.length("document") - F.length("records") - F.when(F.col("part") == 0, F.length(start)).otherwise(len(","))
+    head = F.when(F.col("part") == 0, F.substring("_none", F.lit(1), before)).otherwise(F.lit(", "))
+    body = F.substring("_own", before + 1, F.length("_own") - before - after)
+    end = F.when(behind > 0, F.lit(" ]\n}")).otherwise(F.lit(""))
+    return rows.withColumn("value", F.concat(head, body, end)).drop("_none", "_own")
+
+
 @query(Q.upto("analysis", f"""select project, cast(pos as bigint) as pos, path, array_to_string(headers, ' | ') as headers,
   {CLASS_TEXT_SQL} as classes, parse_error from (select *, {POSITION_SQL} as pos from analysis)"""))
 def load_analysis_doc_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each project's document is one file, laid out over many lines."""
     folder = scratch(spark, "documents")
-    whole = N.project_documents(N.project_snapshot(analysis(spark, sf_dir)))
-    laid_out = F.to_json(F.from_json("document", ANALYSIS_DOCUMENT), {"pretty": "true", "ignoreNullFields": "false"})
-    K.write_documents(whole.select(laid_out.alias("value")), folder)
+    pieces = N.project_documents(N.project_snapshot(analysis(spark, sf_dir)), whole=False)
+    K.write_documents(laid_out(pieces), folder, "project")
     return D.load_analysis_doc(spark, folder, multi_line=True).select(
         "project", "pos", "path", joined("headers").alias("headers"), class_text().alias("classes"), "parse_error"
     )

@@ -96,12 +96,16 @@ def document_pieces(snapshot: DataFrame) -> DataFrame:
     return rows.withColumn("document", F.concat(start, "records", end)).drop("_project", "_last")
 
 
-def project_documents(snapshot: DataFrame) -> DataFrame:
+def project_documents(snapshot: DataFrame, whole: bool = True) -> DataFrame:
     """Whole documents ``{root, files}``: a row ``project, files, document`` for each project.
 
     For readers that want one text for a project, which then has to fit a row.
-    Reviews take the pieces instead.
+    Reviews take the pieces instead. Without ``whole`` a document comes as the rows
+    of :func:`document_pieces`, however large it is; these are not stored on the way,
+    as a reader of stored rows holds thousands of them at once.
     """
+    if not whole:
+        return document_pieces(snapshot)
     # Written once, then dealt to a fixed number of tasks: many short documents cost time each, whatever their bytes.
     tasks = int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = materialised(snapshot).repartition(tasks, "project").groupBy("project").agg(

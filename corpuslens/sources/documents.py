@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions.arrays import pinned
 from corpuslens.functions.review_text import default_status
 from corpuslens.operators.incremental import dedupe_last
 from corpuslens.schemas import ANALYSIS_DOCUMENT, CLASSES
+from corpuslens.sources.json_pieces import in_pieces
 
 
 def load_analysis_doc(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -18,15 +21,18 @@ def load_analysis_doc(spark: SparkSession, path: str, multi_line: bool = False)
 
     One object per line, as :func:`corpuslens.sources.sinks.write_snapshot` writes
     them, so a line is the unit of parallel reading; with ``multi_line`` each file is
-    one document, laid out over lines in any way. ``pos`` is the file's place
-    in its project.
+    one document, laid out over lines in any way, which is read as a stream and
+    handed on in pieces. ``pos`` is the file's place in its project.
     """
-    documents = spark.read.schema(ANALYSIS_DOCUMENT).option("multiLine", multi_line).json(path)
+    if multi_line:
+        documents = _laid_out_documents(spark, path)
+    else:
+        documents = spark.read.schema(ANALYSIS_DOCUMENT).json(path).withColumn("base", F.lit(0))
     return documents.select(
-        F.col("root").alias("project"), "first", F.posexplode("files").alias("pos", "file")
+        F.col("root").alias("project"), "first", "base", F.posexplode("files").alias("pos", "file")
     ).select(
         "project",
-        (F.coalesce("first", F.lit(0)) + F.col("pos")).cast("bigint").alias("pos"),
+        (F.coalesce("first", F.lit(0)) + F.col("base") + F.col("pos")).cast("bigint").alias("pos"),
         "file.path",
         F.coalesce("file.headers", F.array().cast("array<string>")).alias("headers"),
         F.coalesce("file.classes", F.array().cast(CLASSES)).alias("classes"),
@@ -34,6 +40,19 @@ def load_analysis_doc(spark: SparkSession, path: str, multi_line: bool = False)
     )
 
 
+def _laid_out_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of one file each: plain ones in pieces from ``base`` on, others whole by Spark's own reader."""
+    # Only names are asked for, so no content is read here.
+    files = spark.read.format("binaryFile").load(path).select("path")
+    pieces, others = in_pieces(files)
+    parsed = pinned(pieces, value=F.from_json("document", ANALYSIS_DOCUMENT)).select("value.*", "base")
+    if not others:
+        return parsed
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", other) for other in others]
+    whole = spark.read.schema(ANALYSIS_DOCUMENT).option("multiLine", True).json(paths)
+    return parsed.unionByName(whole.withColumn("base", F.lit(0).cast("bigint")))
+
+
 def load_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report documents, one to a file, as rows ``file, document`` for the two readers below."""
     return spark.read.text(path, wholetext=True).select(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +15,9 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import utc_stamp
 from corpuslens.operators.analysis import document_start, file_record
 from corpuslens.operators.incremental import status_counts
-from corpuslens.operators.storage import children, materialised
+from corpuslens.operators.storage import children, materialised, qualified
 from corpuslens.schemas import REVIEW_SNAPSHOT, RUN_STATE
+from corpuslens.sources.files import open_store
 
 
 def write_analysis_json(analysis: DataFrame, path: str) -> None:
@@ -37,9 +42,52 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """A file for each row of ``value``, all in one folder: a folder for each costs more than the file in it."""
-    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+def write_documents(documents: DataFrame, path: str, key: str | None = None) -> None:
+    """A file for each row of ``value``, all in one folder: a folder for each costs more than the file in it.
+
+    With ``key`` the rows of one key are the pieces of one file, put together in
+    order of ``part``. They stream into it, so no task holds a document. A file is
+    whole or not there; a task that is run again writes the same files again.
+    """
+    if key is None:
+        documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+        return
+    spark = documents.sparkSession
+    target = qualified(spark, path)
+    store, top = open_store(target)
+    if store.get_file_info(top).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{target} is there already")
+    store.create_dir(top, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = open_store(target)
+        current, out, hidden = None, None, f"{folder}/_open-{uuid.uuid4().hex}"
+        try:
+            for batch in batches:
+                for name, value in zip(*(batch.column(c) for c in ("name", "value")), strict=True):
+                    if name != current:
+                        if out is not None:
+                            out.close()
+                            files.move(hidden, f"{folder}/{current}.json")
+                        current, out = name, files.open_output_stream(hidden)
+                    out.write(value.as_buffer() or b"")
+            if out is not None:
+                out.close()
+                files.move(hidden, f"{folder}/{current}.json")
+                out = None
+        finally:
+            if out is not None:
+                if not out.closed:
+                    out.close()
+                if files.get_file_info(hidden).type == fs.FileType.File:
+                    files.delete_file(hidden)
+        yield from ()
+
+    # Named by the key, whatever characters that has; a null key has a name of its own.
+    pieces = documents.select(F.sha2(F.to_json(F.array(key)), 256).alias("name"), "part", "value")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_order = pieces.repartition(tasks, "name").sortWithinPartitions("name", "part")
+    in_order.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
 def write_review_snapshot(

@@ -1,5 +1,6 @@
 """Operators on skewed and dense inputs, and whole runs, against plain Python."""
 
+import io
 import json
 import os
 import random
@@ -26,6 +27,7 @@ from corpuslens.plans import batch as B
 from corpuslens.schemas import CLASSES
 from corpuslens.sources import documents as D
 from corpuslens.sources import files as FS
+from corpuslens.sources import json_pieces as JP
 from corpuslens.sources import sinks as K
 from corpuslens.sources import tree as ST
 from corpuslens.sources.files import read_text
@@ -701,3 +703,83 @@ def test_texts_of_a_tree_are_kept_once(spark, tmp_path, monkeypatch):
     on_disk = {str(p.relative_to(root)): p.read_bytes() for p in Path(root).rglob("*") if p.is_file()}
     assert on_disk == {path: text.encode() for path, text in files.items()}
     assert [r.path for r in found] == [min(p for p in files if p.endswith((".cpp", ".hpp", ".h")) and "/build/" not in p and "/venv/" not in p and "/.git/" not in p)]
+
+
+def old_reader(spark, path):
+    """Whole documents by Spark's own reader."""
+    rows = spark.read.schema(D.ANALYSIS_DOCUMENT).option("multiLine", True).json(path)
+    return rows.select("root", "first", F.posexplode("files").alias("pos", "file")).select(
+        "root", (F.coalesce("first", F.lit(0)) + F.col("pos")).alias("pos"), "file.path", F.coalesce("file.headers", F.array().cast("array<string>")),
+        F.coalesce("file.classes", F.array().cast(CLASSES)), F.coalesce("file.parse_error", F.lit("")),
+    )
+
+
+ENTRY = '{"path": "a.c", "headers": ["x", null], "classes": [{"name": "T", "public_methods": ["f"]}], "parse_error": null}'
+DOCUMENTS = [
+    '{"root": "p", "files": [%s, %s, null, {}, {"path": "\\u00e9\\ud83d\\ude00 \\" ]", "more": {"files": [1]}}]}' % (ENTRY, ENTRY),
+    '{"files": [%s], "first": 7,\r\n\t"root": null, "other": [1.5e3, true]}' % ENTRY,
+    '{"first": null, "root": "q", "files": [%s, {"path": "b", "path": "c", "classes": [null, {}]}]}' % ENTRY, '{"files": [%s]}' % ENTRY, '{"root": "r", "other": 1.50, "files": [{"x": {"y": []}}]}',
+    "{}", '{"root": "p", "files": null}', '{"root": "p", "files": []}', "", "  ", "null", "5", '"files"', "[]",
+    '{"root": "p", "files": [%s' % ENTRY, '{"root": "p", "files": [%s]' % ENTRY, '{"root": "p", "files": [%s]} x' % ENTRY, '{"root": "p", "files": [%s]}{"files": [%s]}' % (ENTRY, ENTRY),
+    '{"root": "p", "files": [%s], "files": [%s, %s]}' % (ENTRY, ENTRY, ENTRY), '{"root": "p", "root": "q", "files": [%s]}' % ENTRY, '{"root": "p", "files": [%s,]}' % ENTRY,
+    '{"root": "p", "files": [5, %s, [], "x", %s]}' % (ENTRY, ENTRY), '{"root": "p", "files": 5}', '{"root": "p", "files": {"path": "a"}}', "{'root': 'p', 'files': [{'path': 'a'}]}",
+    '[{"root": "p", "files": [%s]}, {"root": "q", "files": [%s]}]' % (ENTRY, ENTRY), '{"root": "a\nb", "files": [%s]}' % ENTRY, '{"root": "\\x", "files": [%s]}' % ENTRY, '{root: "p", "files": [%s]}' % ENTRY,
+    '{"root": 5.50, "files": [%s]}' % ENTRY, '{"first": "x", "files": [%s]}' % ENTRY, '{"first": 9223372036854775808, "files": [%s]}' % ENTRY, '{"root": {"a": [1]}, "files": [%s]}' % ENTRY,
+    '{"files": [%s, {"path": 5.50}, {"headers": 5}, {"classes": [{"name": 1.0}]}, {"headers": [1, {"a": 2}]}, {"parse_error": true}]}' % ENTRY, '{"other": NaN, "files": [%s]}' % ENTRY,
+    '{"Root": "p", "FILES": [%s], "files": [%s]}' % (ENTRY, ENTRY), '\ufeff{"root": "p", "files": [%s]}' % ENTRY, '{"root": "p", "files": [%s], "deep": %s1%s}' % (ENTRY, "[" * 5000, "]" * 5000),
+]
+
+
+def test_documents_in_pieces_are_read_as_whole_ones_are(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a [b] {c}"
+    folder.mkdir()
+    for i, text in enumerate(DOCUMENTS):
+        (folder / f"d{i:02d}.json").write_bytes(text.encode())
+    (folder / "utf16.json").write_bytes(DOCUMENTS[0].encode("utf-16"))
+    (folder / "bytes.json").write_bytes(b'{"root": "\xff", "files": [{}]}')
+    (folder / "_hidden.json").write_text('{"root": "hidden", "files": [{}]}')
+    (tmp_path / "copy").mkdir()
+    for file in folder.iterdir():
+        (tmp_path / "copy" / file.name).write_bytes(file.read_bytes())
+    want = sorted(map(str, map(tuple, old_reader(spark, str(tmp_path / "copy")).collect())))
+    assert len(want) > 20
+    for chunk, files in ((1 << 20, 500), (7, 2)):
+        monkeypatch.setattr(JP, "CHUNK", chunk)
+        monkeypatch.setattr(JP, "FILES_PER_PIECE", files)
+        got = sorted(map(str, map(tuple, D.load_analysis_doc(spark, str(tmp_path / "copy"), multi_line=True).collect())))
+        assert got == want
+    # By hand as well, with every text told plain or not.
+    kinds = []
+    for text in DOCUMENTS:
+        try:
+            head = JP.head_of(io.BytesIO(text.encode()))
+            entries = [e for base, piece in JP.pieces_of(io.BytesIO(text.encode()), head) for e in json.loads(piece)["files"]]
+            assert entries == (json.loads(text).get("files") or [])
+            kinds.append("plain")
+        except (ValueError, RecursionError):
+            kinds.append("odd")
+    assert kinds[:8] == ["plain"] * 8 and set(kinds[8:35]) == {"odd"}
+
+
+def test_large_documents_are_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    from checks import queries
+
+    rows = analysis_rows(spark, 1600).unionByName(analysis_rows(spark, 3).withColumn("project", F.concat(F.lit('"files" : [ ]'), "path")))
+    snapshot = materialised(N.project_snapshot(rows, files_per_part=120))
+    whole = {r.project: r.document for r in N.project_documents(snapshot).collect()}
+    laid = spark.createDataFrame(list(whole.items()), "project string, document string").select(
+        "project", F.to_json(F.from_json("document", D.ANALYSIS_DOCUMENT), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")
+    )
+    pieces = queries.laid_out(N.project_documents(snapshot, whole=False))
+    assert pieces.count() == 10 + 4 + 3
+    K.write_documents(pieces, str(tmp_path / "out"), "project")
+    assert not [p for p in (tmp_path / "out").iterdir() if p.is_dir() or p.name.startswith("_")]
+    assert sorted(p.read_text() for p in (tmp_path / "out").iterdir() if p.suffix == ".json") == sorted(r.value for r in laid.collect())
+    with pytest.raises(FileExistsError):
+        K.write_documents(pieces, str(tmp_path / "out"), "project")
+    seen = []
+    monkeypatch.setattr(D, "in_pieces", lambda files: (lambda found: seen.append((found[0].count(), found[1])) or found)(JP.in_pieces(files)))
+    back = D.load_analysis_doc(spark, str(tmp_path / "out"), multi_line=True)
+    want = old_reader(spark, str(tmp_path / "out"))
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert seen == [(3 + 1 + 3, [])]
